@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mercato.plans import inventory as inv
 from mercato.plans import kpi
 from mercato.sources.fixture import Star, star_from_testdata
 
@@ -32,6 +33,10 @@ _STAR_QUERIES: dict[str, Callable[[Star], DataFrame]] = {
     "kpi18_price_distribution": kpi.kpi18_price_distribution,
     "kpi19_price_volatility": kpi.kpi19_price_volatility,
     "kpi20_price_demand_corr": kpi.kpi20_price_demand_corr,
+    "kpi21_rolling_demand": inv.kpi21_rolling_demand,
+    "kpi22_reorder_alerts": inv.kpi22_reorder_alerts,
+    "kpi23_abc_summary": inv.kpi23_abc_summary,
+    "kpi24_risk_by_store_cat": inv.kpi24_risk_by_store_cat,
     "kpi25_demand_cv": kpi.kpi25_demand_cv,
     "kpi26_mom_category": kpi.kpi26_mom_category,
     "kpi27_cumulative_revenue": kpi.kpi27_cumulative_revenue,
@@ -40,6 +45,15 @@ _STAR_QUERIES: dict[str, Callable[[Star], DataFrame]] = {
     "bonus1_top5_per_store": kpi.bonus1_top5_per_store,
     "bonus2_demand_spikes": kpi.bonus2_demand_spikes,
     "bonus3_store_category_share": kpi.bonus3_store_category_share,
+    "kpi30_financial_summary": inv.kpi30_financial_summary,
+    "inv_abc": inv.inv_abc,
+    "inv_abc_summary": inv.inv_abc_summary,
+    "inv_recommendations": inv.inv_recommendations,
+    "inv_metric_histogram": inv.inv_metric_histogram,
+    "inv_stockout_risk": inv.inv_stockout_risk,
+    "inv_top_risk": inv.inv_top_risk,
+    "inv_financial_impact": inv.inv_financial_impact,
+    "inv_executive_summary": inv.inv_executive_summary,
 }
 
 
