@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mercato.plans import etl
 from mercato.plans import inventory as inv
 from mercato.plans import kpi
 from mercato.sources.fixture import Star, star_from_testdata
@@ -54,6 +55,10 @@ _STAR_QUERIES: dict[str, Callable[[Star], DataFrame]] = {
     "inv_top_risk": inv.inv_top_risk,
     "inv_financial_impact": inv.inv_financial_impact,
     "inv_executive_summary": inv.inv_executive_summary,
+    "etl_calendar": etl.etl_calendar,
+    "etl_melt": etl.etl_melt,
+    "etl_daily_aggregated": etl.etl_daily_aggregated,
+    "etl_top200_sample": etl.etl_top200_sample,
 }
 
 

@@ -57,26 +57,46 @@ def normalise(columns, rows):
     return cols, out
 
 
+def _frame(pdf):
+    """Canonical pandas frame: columns sorted by name, floats rounded to 6
+    decimals, dates/decimals/bools unified, rows sorted."""
+    import pandas as pd
+    pdf = pdf[sorted(pdf.columns)].copy()
+    for c in pdf.columns:
+        col = pdf[c]
+        if pd.api.types.is_bool_dtype(col):
+            pdf[c] = col.astype("float64")
+        elif pd.api.types.is_numeric_dtype(col):
+            pdf[c] = col.astype("float64").round(6) + 0.0
+        elif pd.api.types.is_datetime64_any_dtype(col):
+            pdf[c] = col.dt.strftime("%Y-%m-%d")
+        else:
+            pdf[c] = col.map(_norm).astype("object")
+    pdf = pdf.astype("object").where(pdf.notna(), None)
+    key = pdf.astype(str)
+    order = key.sort_values(list(key.columns)).index
+    return pdf.loc[order].reset_index(drop=True)
+
+
 def compare(spark, con, name, spark_fn, sql, sf_dir):
     t0 = time.time()
     sdf = spark_fn(spark, sf_dir)
-    s_rows = [tuple(r) for r in sdf.collect()]
+    s_pdf = sdf.toPandas()
     t1 = time.time()
-    res = con.execute(sql)
-    d_cols = [d[0] for d in res.description]
-    d_rows = res.fetchall()
+    d_pdf = con.execute(sql).df()
     t2 = time.time()
-    sc, sr = normalise(sdf.columns, s_rows)
-    dc, dr = normalise(d_cols, d_rows)
-    ok = sc == dc and sr == dr
-    info = {"name": name, "ok": ok, "spark_rows": len(sr), "oracle_rows": len(dr),
+    info = {"name": name, "spark_rows": len(s_pdf), "oracle_rows": len(d_pdf),
             "spark_s": round(t1 - t0, 2), "oracle_s": round(t2 - t1, 2)}
-    if not ok:
-        if sc != dc:
-            info["cols"] = (sc, dc)
-        else:
-            diff = [(a, b) for a, b in zip(sr, dr) if a != b][:3]
-            info["diff"] = diff
+    if sorted(s_pdf.columns) != sorted(d_pdf.columns):
+        info.update(ok=False, cols=(sorted(s_pdf.columns), sorted(d_pdf.columns)))
+        return info
+    a, b = _frame(s_pdf), _frame(d_pdf)
+    ok = len(a) == len(b) and a.equals(b)
+    info["ok"] = bool(ok)
+    if not ok and len(a) == len(b):
+        ne = (a != b) & ~(a.isna() & b.isna())
+        rows = ne.any(axis=1)
+        info["diff"] = [(a[rows].head(3).to_dict("records")), (b[rows].head(3).to_dict("records"))]
     return info
 
 
