@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mercato.plans import etl
+from mercato.plans import audit, etl
 from mercato.plans import inventory as inv
 from mercato.plans import kpi
 from mercato.sources.fixture import Star, star_from_testdata
@@ -59,6 +59,14 @@ _STAR_QUERIES: dict[str, Callable[[Star], DataFrame]] = {
     "etl_melt": etl.etl_melt,
     "etl_daily_aggregated": etl.etl_daily_aggregated,
     "etl_top200_sample": etl.etl_top200_sample,
+    "audit_report": audit.audit_report,
+    "audit_nulls": audit.audit_nulls,
+    "audit_events": audit.audit_events,
+    "audit_constraints": audit.audit_constraints,
+    "audit_cardinality": audit.audit_cardinality,
+    "audit_distinct_values": audit.audit_distinct_values,
+    "audit_price_summary": audit.audit_price_summary,
+    "audit_histogram": audit.audit_histogram,
 }
 
 
