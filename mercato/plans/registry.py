@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mercato.plans import audit, etl
+from mercato.plans import audit, eda, etl
 from mercato.plans import inventory as inv
 from mercato.plans import kpi
 from mercato.sources.fixture import Star, star_from_testdata
@@ -67,6 +67,21 @@ _STAR_QUERIES: dict[str, Callable[[Star], DataFrame]] = {
     "audit_distinct_values": audit.audit_distinct_values,
     "audit_price_summary": audit.audit_price_summary,
     "audit_histogram": audit.audit_histogram,
+    "eda_daily": eda.eda_daily,
+    "eda_weekly": eda.eda_weekly,
+    "eda_monthly": eda.eda_monthly,
+    "eda_peak_day": eda.eda_peak_day,
+    "eda_category_share": eda.eda_category_share,
+    "eda_category_monthly": eda.eda_category_monthly,
+    "eda_store_perf": eda.eda_store_perf,
+    "eda_state_revenue": eda.eda_state_revenue,
+    "eda_weekday_mean": eda.eda_weekday_mean,
+    "eda_month_mean": eda.eda_month_mean,
+    "eda_decomposition": eda.eda_decomposition,
+    "eda_top_events": eda.eda_top_events,
+    "eda_snap_lift": eda.eda_snap_lift,
+    "eda_yoy": eda.eda_yoy,
+    "eda_store_month_pivot": eda.eda_store_month_pivot,
 }
 
 
