@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mercato.plans import audit, eda, etl
+from mercato.plans import audit, eda, etl, forecasting
 from mercato.plans import inventory as inv
 from mercato.plans import kpi
 from mercato.sources.fixture import Star, star_from_testdata
@@ -82,6 +82,12 @@ _STAR_QUERIES: dict[str, Callable[[Star], DataFrame]] = {
     "eda_snap_lift": eda.eda_snap_lift,
     "eda_yoy": eda.eda_yoy,
     "eda_store_month_pivot": eda.eda_store_month_pivot,
+    "fc_holidays": forecasting.fc_holidays,
+    "fc_metrics": forecasting.fc_metrics,
+    "fc_category_90d": forecasting.fc_category_90d,
+    "fc_store_30d": forecasting.fc_store_30d,
+    "fc_components": forecasting.fc_components,
+    "fc_model_metrics": forecasting.fc_model_metrics,
 }
 
 
