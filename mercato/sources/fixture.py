@@ -145,3 +145,18 @@ def star_from_testdata(spark: SparkSession, sf_dir: str) -> Star:
         sales=sales,
         prices=prices,
     )
+
+
+def materialize_star(star: Star, path: str) -> Star:
+    """Write the five star tables as parquet under ``path`` (a folder on
+    shared storage) and return a Star that reads them back: the ETL step
+    that the KPI queries then share, and a lineage cut."""
+    import os
+    spark = star.sales.sparkSession
+    tables = {"dim_calendar": star.calendar, "dim_product": star.product, "dim_store": star.store,
+              "fact_sales": star.sales, "fact_prices": star.prices}
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(os.path.join(path, name))
+    read = {name: spark.read.parquet(os.path.join(path, name)) for name in tables}
+    return Star(calendar=read["dim_calendar"], product=read["dim_product"], store=read["dim_store"],
+                sales=read["fact_sales"], prices=read["fact_prices"])
