@@ -36,6 +36,13 @@ def wide_sales(star: Star, fill_zero: bool = True) -> DataFrame:
             .withColumn("day", (F.datediff("date", first) + 1).cast("int")))
     per_series = series_ids(long).groupBy(*ID_COLS).agg(
         F.map_from_entries(F.collect_list(F.struct("day", "units_sold"))).alias("_m"))
+    # Few rows but ~N values each, and every consumer multiplies them by N
+    # (melt) or evaluates N expressions per row: spread the rows over the
+    # cluster's cores instead of the one partition AQE would coalesce them to.
+    spark = star.sales.sparkSession
+    parallelism = max(spark.sparkContext.defaultParallelism,
+                      int(spark.conf.get("spark.sql.shuffle.partitions")))
+    per_series = per_series.repartition(parallelism, "id")
     # one selectExpr: the day expressions are parsed JVM-side in one call
     cell = "coalesce(_m[{i}], 0) AS d_{i}" if fill_zero else "_m[{i}] AS d_{i}"
     return per_series.selectExpr(*ID_COLS, *[cell.format(i=i) for i in range(1, n_days + 1)])
