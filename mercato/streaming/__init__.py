@@ -1,0 +1,4 @@
+"""Structured Streaming forms of the batch plans (the reference itself has
+no streaming; this is the daily ETL aggregate run incrementally)."""
+
+from mercato.streaming.incremental import daily_aggregate_stream, run_incremental  # noqa: F401
