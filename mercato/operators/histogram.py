@@ -16,13 +16,22 @@ from pyspark.sql import functions as F
 
 
 def histogram(df: DataFrame, value: str, bins: int, keys: Sequence[str] = (),
-              below_quantile: float | None = None, integral: bool = True) -> DataFrame:
+              below_quantile: float | None = None, integral: bool = True,
+              quantile_keys: Sequence[str] = ()) -> DataFrame:
+    """``below_quantile`` keeps values under that quantile of the column,
+    computed over all rows, or per ``quantile_keys`` group (one exact
+    percentile per group, joined back on the group keys)."""
     x = F.col(value)
     user_keys = list(keys)
     if not user_keys:  # one global group: a constant key keeps the joins equi-joins
         df = df.withColumn("_all", F.lit(0))
         keys = ["_all"]
-    if below_quantile is not None:
+    if below_quantile is not None and quantile_keys:
+        caps = df.groupBy(*quantile_keys).agg(
+            F.percentile(x.cast("double"), below_quantile).alias("_cap"))
+        # one row per quantile group (a handful of metrics): bounded broadcast
+        df = df.join(F.broadcast(caps), list(quantile_keys)).where(x < F.col("_cap")).drop("_cap")
+    elif below_quantile is not None:
         cap = df.agg(F.percentile(x.cast("double"), below_quantile)).scalar()
         df = df.where(x < cap)
     rng = df.groupBy(*keys).agg(F.min(x).alias("lo"), F.max(x).alias("hi"))

@@ -4,7 +4,10 @@ decomposition, event and SNAP effects, year-over-year growth, store x month
 matrix. The drawing is not rebuilt; these are the tables behind it.
 
 Means follow the reference: they are over pre-aggregate *rows*
-(date x dept x store), not over days, unless stated.
+(date x dept x store), not over days, unless stated; only those means need
+the zero-filled rows. Sums do not: zero rows add nothing, so the sum-only
+tables aggregate the sparse fact directly and take their group sets (every
+day, every year, every category-month) from the calendar.
 """
 
 from __future__ import annotations
@@ -14,6 +17,8 @@ from pyspark.sql import functions as F
 
 from mercato.functions import calendar as cal
 from mercato.functions.rounding import pd_round
+from mercato.operators.dense import expand_days
+from mercato.operators.pricing import with_price
 from mercato.operators.timeseries import decompose, regularise
 from mercato.plans.etl import daily_aggregated
 from mercato.sources.fixture import Star
@@ -26,8 +31,21 @@ def _totals(df: DataFrame, *keys) -> DataFrame:
                                  F.sum("total_revenue").alias("total_revenue"))
 
 
+def _sold(star: Star) -> DataFrame:
+    """Sale rows with category, state and revenue (unpriced days count 0)."""
+    s = with_price(star.sales, star.calendar, star.prices, "left")
+    s = s.join(star.product.select("product_id", "cat_id"), "product_id").join(star.store, "store_id")
+    return s.select("date", "cat_id", "store_id", "state_id",
+                    F.col("units_sold").alias("total_units"),
+                    (F.col("units_sold") * F.coalesce("sell_price", F.lit(0))).alias("total_revenue"))
+
+
 def _daily(star: Star) -> DataFrame:
-    return _totals(daily_aggregated(star), "date")
+    """Totals for every calendar day (0 on days without sales)."""
+    sums = _totals(_sold(star), "date")
+    return star.calendar.select("date").join(sums, "date", "left").select(
+        "date", F.coalesce("total_units", F.lit(0)).cast("bigint").alias("total_units"),
+        F.coalesce("total_revenue", F.lit(0)).alias("total_revenue"))
 
 
 def eda_daily(star: Star) -> DataFrame:
@@ -55,7 +73,7 @@ def eda_peak_day(star: Star) -> DataFrame:
 
 
 def eda_category_share(star: Star) -> DataFrame:
-    t = _totals(daily_aggregated(star), "cat_id")
+    t = _totals(_sold(star), "cat_id")
     allw = Window.partitionBy()  # one row per category
     rev = F.col("total_revenue").cast("double")
     units = F.col("total_units").cast("double")
@@ -65,18 +83,22 @@ def eda_category_share(star: Star) -> DataFrame:
 
 
 def eda_category_monthly(star: Star) -> DataFrame:
-    da = daily_aggregated(star)
-    return da.groupBy("cat_id", F.last_day("date").alias("month_end")).agg(
+    cats = _sold(star).select("cat_id").distinct()
+    months = expand_days(cats, star.first_day(), star.last_day()).select(
+        "cat_id", F.last_day("date").alias("month_end")).distinct()
+    sums = _sold(star).groupBy("cat_id", F.last_day("date").alias("month_end")).agg(
         F.sum("total_units").cast("bigint").alias("total_units"))
+    return months.join(sums, ["cat_id", "month_end"], "left").select(
+        "cat_id", "month_end", F.coalesce("total_units", F.lit(0)).cast("bigint").alias("total_units"))
 
 
 def eda_store_perf(star: Star) -> DataFrame:
-    t = _totals(daily_aggregated(star), "store_id", "state_id")
+    t = _totals(_sold(star), "store_id", "state_id")
     return t.withColumn("total_revenue", F.col("total_revenue").cast("double"))
 
 
 def eda_state_revenue(star: Star) -> DataFrame:
-    t = _totals(daily_aggregated(star), "state_id")
+    t = _totals(_sold(star), "state_id")
     return t.select("state_id", F.col("total_revenue").cast("double").alias("total_revenue"))
 
 
@@ -129,7 +151,7 @@ def eda_snap_lift(star: Star) -> DataFrame:
 
 
 def eda_yoy(star: Star) -> DataFrame:
-    t = _totals(daily_aggregated(star), "year")
+    t = _totals(_daily(star).withColumn("year", F.year("date")), "year")
     w = Window.orderBy("year")  # one row per year
     u = F.col("total_units").cast("double")
     r = F.col("total_revenue").cast("double")
@@ -140,8 +162,10 @@ def eda_yoy(star: Star) -> DataFrame:
 
 def eda_store_month_pivot(star: Star) -> DataFrame:
     """Store x month revenue in $ millions (months Jan..Dec as columns)."""
-    da = daily_aggregated(star)
-    p = (da.groupBy("store_id").pivot("month", list(range(1, 13)))
+    s = _sold(star).withColumn("month", F.month("date"))
+    p = (s.groupBy("store_id").pivot("month", list(range(1, 13)))
          .agg(F.sum("total_revenue")))
-    return p.select("store_id", *[F.round(F.col(str(m)).cast("double") / 1e6, 6).alias(name)
-                                  for m, name in zip(range(1, 13), MONTHS)])
+    # a month without sales is a zero-revenue month (every store has a row
+    # for every calendar day in the dense data)
+    return p.select("store_id", *[F.round(F.coalesce(F.col(str(m)), F.lit(0)).cast("double") / 1e6, 6)
+                                  .alias(name) for m, name in zip(range(1, 13), MONTHS)])

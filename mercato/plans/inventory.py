@@ -138,7 +138,7 @@ def inventory_recommendations(star: Star) -> DataFrame:
         "avg_price", F.round("avg_price", 8))
 
 
-def stockout_risk(star: Star, recs: DataFrame | None = None) -> DataFrame:
+def stockout_risk(star: Star, recs: DataFrame | None = None, keep=()) -> DataFrame:
     r = recs if recs is not None else _recommendations_raw(star)
     stock = F.col("current_stock_proxy")
     fc7 = F.col("forecast_7d")
@@ -150,21 +150,27 @@ def stockout_risk(star: Star, recs: DataFrame | None = None) -> DataFrame:
         fc7.alias("forecast_demand_7d"), score.alias("risk_score"),
         F.when(score >= RISK_HIGH, "HIGH").when(score >= RISK_MEDIUM, "MEDIUM")
         .otherwise("LOW").alias("risk_level"),
-        F.least(F.greatest(days, F.lit(0)), F.lit(999)).alias("days_to_stockout"))
+        F.least(F.greatest(days, F.lit(0)), F.lit(999)).alias("days_to_stockout"), *keep)
 
 
 RISK_COLUMNS = ["product_id", "store_id", "cat_id", "current_stock_proxy", "forecast_demand_7d",
                 "risk_score", "risk_level", "days_to_stockout"]
 
 
-def _impact_by_category(risk: DataFrame) -> DataFrame:
+def _impact_columns():
+    """Per series: 30-day holding cost of overstock and lost profit of
+    understock against the 7-day forecast, each rounded to cents."""
     stock = F.col("current_stock_proxy").cast("double")
     fc7, price = F.col("forecast_demand_7d"), F.col("avg_price")
     over = F.greatest(stock - fc7, F.lit(0.0))
     under = F.greatest(fc7 - stock, F.lit(0.0))
     holding = pd_round(over * price * HOLDING_RATE / 12, 2)
     lost_rev = pd_round(under * price, 2)
-    lost_profit = pd_round(lost_rev * GROSS_MARGIN, 2)
+    return holding, pd_round(lost_rev * GROSS_MARGIN, 2)
+
+
+def _impact_by_category(risk: DataFrame) -> DataFrame:
+    holding, lost_profit = _impact_columns()
     return risk.groupBy("cat_id").agg(
         F.sum(holding).alias("hc"), F.sum(lost_profit).alias("lp"),
         F.count_if(F.col("risk_level") == "HIGH").alias("high_risk"))
@@ -207,31 +213,33 @@ def inv_financial_impact(star: Star) -> DataFrame:
 
 
 def inv_metric_histogram(star: Star, bins: int = 30, quantile: float = 0.95) -> DataFrame:
-    recs = inventory_recommendations(star)
-    parts = []
-    for metric in ("safety_stock", "reorder_point", "eoq"):
-        h = histogram(recs.select("cat_id", F.col(metric).alias("value")), "value", bins,
-                      keys=["cat_id"], below_quantile=quantile)
-        parts.append(h.select(F.lit(metric).alias("metric"), "*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """30-bin histograms of safety stock, reorder point and EOQ per category,
+    each below its metric's p95: the recommendations are computed once and
+    unpivoted to (metric, category, value)."""
+    recs = _recommendations_raw(star)
+    metrics = ["safety_stock", "reorder_point", "eoq"]
+    long = recs.select("cat_id", *metrics).unpivot(["cat_id"], metrics, "metric", "value")
+    return histogram(long, "value", bins, keys=["metric", "cat_id"], below_quantile=quantile,
+                     quantile_keys=["metric"])
 
 
 def inv_executive_summary(star: Star) -> DataFrame:
+    """Class counts, HIGH-risk count, reorder-now count and total monthly
+    impact: one aggregate over the ABC rows and one over the risk rows."""
     abc = abc_classification(star).agg(
         F.count_if(F.col("abc_class") == "A").alias("class_a_skus"),
         F.count_if(F.col("abc_class") == "B").alias("class_b_skus"),
         F.count_if(F.col("abc_class") == "C").alias("class_c_skus"))
-    recs = _recommendations_raw(star)
-    risk = stockout_risk(star, recs)
-    reorder = recs.agg(F.count_if(F.col("recommended_order_qty") > 0)).scalar()
-    high = risk.agg(F.count_if(F.col("risk_level") == "HIGH")).scalar()
-    impact = _impact_by_category(risk).agg(F.sum(F.col("hc") + F.col("lp"))).scalar()
+    risk = stockout_risk(star, _recommendations_raw(star), keep=("recommended_order_qty",))
+    hc, lp = _impact_columns()
+    r = risk.agg(F.struct(
+        F.count_if(F.col("risk_level") == "HIGH").alias("high"),
+        F.count_if(F.col("recommended_order_qty") > 0).alias("reorder"),
+        F.sum(hc + lp).alias("impact")).alias("r")).scalar()
     return abc.select("class_a_skus", "class_b_skus", "class_c_skus",
-                      high.alias("high_risk_skus"), reorder.alias("reorder_now_skus"),
-                      pd_round(impact, 2).alias("total_monthly_impact"))
+                      r.getField("high").alias("high_risk_skus"),
+                      r.getField("reorder").alias("reorder_now_skus"),
+                      pd_round(r.getField("impact"), 2).alias("total_monthly_impact"))
 
 
 # ------------------------------------------------ KPIs on inventory tables

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,6 +124,11 @@ def star_from_testdata(spark: SparkSession, sf_dir: str) -> Star:
         .agg(F.sum("l_quantity").cast("bigint").alias("qty"),
              F.sum(F.round(F.col("l_extendedprice") * 100)).cast("bigint").alias("cents"))
     )
+    # sales, prices and the calendar bounds all derive from this aggregate;
+    # within one query Spark reuses the identical exchange, across jobs
+    # (materialize_star) the cache avoids re-scanning lineitem. A lost
+    # cached block is recomputed from lineage.
+    daily = daily.persist(StorageLevel.MEMORY_AND_DISK)
     sales = daily.select("date", "product_id", "store_id",
                          F.col("qty").cast("int").alias("units_sold"))
 
