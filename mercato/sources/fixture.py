@@ -40,6 +40,7 @@ class Star:
     store: DataFrame     # dim_store(store_id, state_id)
     sales: DataFrame     # sparse fact_sales(date, product_id, store_id, units_sold>0)
     prices: DataFrame    # fact_prices(store_id, product_id, wm_yr_wk, sell_price)
+    wide: DataFrame | None = None  # the wide daily file, when materialised
 
     # -- scalar helpers (uncorrelated scalar subqueries, planned JVM-side) --
     def n_days(self):
@@ -153,10 +154,11 @@ def star_from_testdata(spark: SparkSession, sf_dir: str) -> Star:
     )
 
 
-def materialize_star(star: Star, path: str) -> Star:
+def materialize_star(star: Star, path: str, with_wide: bool = True) -> Star:
     """Write the five star tables as parquet under ``path`` (a folder on
     shared storage) and return a Star that reads them back: the ETL step
-    that the KPI queries then share, and a lineage cut."""
+    that the KPI queries then share, and a lineage cut. ``with_wide`` also
+    writes the wide daily file (the raw input of the melt ETL and audit)."""
     import os
     spark = star.sales.sparkSession
     tables = {"dim_calendar": star.calendar, "dim_product": star.product, "dim_store": star.store,
@@ -164,5 +166,10 @@ def materialize_star(star: Star, path: str) -> Star:
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(os.path.join(path, name))
     read = {name: spark.read.parquet(os.path.join(path, name)) for name in tables}
-    return Star(calendar=read["dim_calendar"], product=read["dim_product"], store=read["dim_store"],
-                sales=read["fact_sales"], prices=read["fact_prices"])
+    out = Star(calendar=read["dim_calendar"], product=read["dim_product"], store=read["dim_store"],
+               sales=read["fact_sales"], prices=read["fact_prices"])
+    if with_wide:
+        from mercato.sources.wide import build_wide
+        build_wide(out).write.mode("overwrite").parquet(os.path.join(path, "sales_wide"))
+        out.wide = spark.read.parquet(os.path.join(path, "sales_wide"))
+    return out

@@ -6,10 +6,11 @@ d_N`` (0 = no sale). Built from a :class:`Star` by a pivot with an explicit
 column list; ``N`` is the number of calendar days (a one-number driver
 read that fixes the schema).
 
-The pivot is written as one ``map_from_entries(collect_list(...))`` per
-series (bounded by the number of days) and a single projection of the day
-columns: ``groupBy().pivot()`` with ~2,500 values keeps one aggregation
-buffer per value and takes tens of seconds just to analyse.
+The pivot lists its values explicitly (no discovery pass) and the day
+columns are produced by one ``selectExpr``. Measured at sf0.1 (3,750 rows x
+2,499 days, local[8], warm): 18 s, against 26 s for a
+``map_from_entries(collect_list(...))`` per series followed by 2,499 map
+lookups (Spark map lookups are linear scans).
 """
 
 from __future__ import annotations
@@ -28,21 +29,30 @@ def series_ids(df: DataFrame) -> DataFrame:
 
 
 def wide_sales(star: Star, fill_zero: bool = True) -> DataFrame:
+    """The wide table of ``star`` -- the materialised one when the star
+    carries it (the load job writes it once), else built by a pivot."""
+    if getattr(star, "wide", None) is not None:
+        return star.wide
+    return build_wide(star, fill_zero)
+
+
+def build_wide(star: Star, fill_zero: bool = True) -> DataFrame:
     n_days = star.calendar.count()
     first = star.first_day()
     long = (star.sales
             .join(star.product.select("product_id", "item_id", "dept_id", "cat_id"), "product_id")
             .join(star.store, "store_id")
             .withColumn("day", (F.datediff("date", first) + 1).cast("int")))
-    per_series = series_ids(long).groupBy(*ID_COLS).agg(
-        F.map_from_entries(F.collect_list(F.struct("day", "units_sold"))).alias("_m"))
+    long = series_ids(long)
     # Few rows but ~N values each, and every consumer multiplies them by N
     # (melt) or evaluates N expressions per row: spread the rows over the
     # cluster's cores instead of the one partition AQE would coalesce them to.
     spark = star.sales.sparkSession
     parallelism = max(spark.sparkContext.defaultParallelism,
                       int(spark.conf.get("spark.sql.shuffle.partitions")))
-    per_series = per_series.repartition(parallelism, "id")
+    # explicit pivot values: no discovery pass, one buffer slot per day
+    wide = (long.groupBy(*ID_COLS).pivot("day", list(range(1, n_days + 1)))
+            .agg(F.first("units_sold")).repartition(parallelism, "id"))
     # one selectExpr: the day expressions are parsed JVM-side in one call
-    cell = "coalesce(_m[{i}], 0) AS d_{i}" if fill_zero else "_m[{i}] AS d_{i}"
-    return per_series.selectExpr(*ID_COLS, *[cell.format(i=i) for i in range(1, n_days + 1)])
+    cell = "coalesce(`{i}`, 0) AS d_{i}" if fill_zero else "`{i}` AS d_{i}"
+    return wide.selectExpr(*ID_COLS, *[cell.format(i=i) for i in range(1, n_days + 1)])
