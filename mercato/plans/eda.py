@@ -20,7 +20,6 @@ from mercato.functions.rounding import pd_round
 from mercato.operators.dense import expand_days
 from mercato.operators.pricing import with_price
 from mercato.operators.timeseries import decompose, regularise
-from mercato.plans.etl import daily_aggregated
 from mercato.sources.fixture import Star
 
 MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
@@ -102,17 +101,50 @@ def eda_state_revenue(star: Star) -> DataFrame:
     return t.select("state_id", F.col("total_revenue").cast("double").alias("total_revenue"))
 
 
+def _row_mean(star: Star, group_cols, cal_filter=None, sold_filter=None, combo_filter=None):
+    """Mean of ``total_units`` over the rows of the zero-filled
+    ``daily_aggregated`` (one row per day x observed dept x store), grouped
+    by calendar attributes, without materialising those rows:
+    sum of units / (number of dept x store combinations x days in group)."""
+    cal_ = star.calendar if cal_filter is None else star.calendar.where(cal_filter)
+    days = cal_.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_days"))
+    sold = _sold_da(star)
+    if sold_filter is not None:
+        sold = sold.where(sold_filter)
+    sums = (sold.join(F.broadcast(cal_.select("date", *group_cols)), "date")
+            .groupBy(*group_cols).agg(F.sum("total_units").alias("_units")))
+    combos = _combos(star, combo_filter)
+    return (days.join(sums, list(group_cols), "left")
+            .select(*group_cols, (F.coalesce("_units", F.lit(0)).cast("double")
+                                  / (F.col("_days") * combos).cast("double")).alias("mean_units")))
+
+
+def _sold_da(star: Star) -> DataFrame:
+    s = star.sales.join(star.product.select("product_id", "dept_id", "cat_id"), "product_id")
+    return s.join(star.store, "store_id").select(
+        "date", "cat_id", "dept_id", "store_id", "state_id", F.col("units_sold").alias("total_units"))
+
+
+def _combos(star: Star, combo_filter=None):
+    """Number of observed (cat, dept, store, state) combinations (scalar)."""
+    c = (star.series().join(star.product.select("product_id", "dept_id", "cat_id"), "product_id")
+         .join(star.store, "store_id").select("cat_id", "dept_id", "store_id", "state_id").distinct())
+    if combo_filter is not None:
+        c = c.where(combo_filter)
+    return c.agg(F.count(F.lit(1))).scalar()
+
+
 def eda_weekday_mean(star: Star) -> DataFrame:
     """Mean units per pre-aggregate row by weekday, Monday first."""
-    da = daily_aggregated(star)
-    order = ((F.dayofweek("date") + 5) % 7 + 1).alias("day_order")
-    return da.groupBy("weekday", order).agg(F.avg("total_units").alias("mean_units"))
+    m = _row_mean(star, ["weekday"])
+    order = F.expr("array_position(array('Monday','Tuesday','Wednesday','Thursday','Friday',"
+                   "'Saturday','Sunday'), weekday)").cast("int")
+    return m.select("weekday", order.alias("day_order"), "mean_units")
 
 
 def eda_month_mean(star: Star) -> DataFrame:
-    da = daily_aggregated(star)
-    return da.groupBy("month").agg(F.avg("total_units").alias("mean_units")).select(
-        "month", cal.month_short_name(F.col("month")).alias("month_name"), "mean_units")
+    m = _row_mean(star, ["month"])
+    return m.select("month", cal.month_short_name(F.col("month")).alias("month_name"), "mean_units")
 
 
 def eda_decomposition(star: Star, period: int = 365) -> DataFrame:
@@ -129,23 +161,59 @@ def eda_decomposition(star: Star, period: int = 365) -> DataFrame:
 def eda_top_events(star: Star, k: int = 15) -> DataFrame:
     """Top events by units (sum over all rows of event days), with the mean
     units of a non-event row alongside."""
-    da = daily_aggregated(star)
-    normal = da.where(F.col("event_name_1").isNull()).agg(F.avg("total_units")).scalar()
-    ev = (da.where(F.col("event_name_1").isNotNull()).groupBy("event_name_1")
+    normal = _row_mean(star, ["is_event"], cal_filter=~F.col("is_event")).agg(
+        F.first("mean_units")).scalar()
+    ev_days = F.broadcast(star.calendar.where(F.col("event_name_1").isNotNull())
+                          .select("date", "event_name_1"))
+    ev = (_sold_da(star).join(ev_days, "date").groupBy("event_name_1")
           .agg(F.sum("total_units").cast("bigint").alias("total_units")))
+    # an event day without any sale still counts, with 0 units
+    names = star.calendar.where(F.col("event_name_1").isNotNull()).select("event_name_1").distinct()
+    ev = names.join(ev, "event_name_1", "left").select(
+        "event_name_1", F.coalesce("total_units", F.lit(0)).cast("bigint").alias("total_units"))
     return (ev.orderBy(F.desc("total_units"), "event_name_1").limit(k)
             .withColumn("no_event_row_mean", normal))
 
 
 def eda_snap_lift(star: Star) -> DataFrame:
-    """FOODS: mean units per row on SNAP vs non-SNAP days, by state."""
-    foods = daily_aggregated(star).where(F.col("cat_id") == "FOODS")
-    snap = (F.when(F.col("state_id") == "CA", F.col("snap_CA"))
-            .when(F.col("state_id") == "TX", F.col("snap_TX"))
-            .when(F.col("state_id") == "WI", F.col("snap_WI")))
-    g = foods.groupBy("state_id").agg(
-        F.avg(F.when(snap == 1, F.col("total_units"))).alias("snap_day"),
-        F.avg(F.when(snap == 0, F.col("total_units"))).alias("non_snap_day"))
+    """FOODS: mean units per pre-aggregate row on SNAP vs non-SNAP days, by
+    state -- (units on flagged days) / (FOODS dept x store combinations of
+    the state x flagged days), in one pass over the sales."""
+    def by_state(prefix: str):
+        arms = None
+        for st in cal.STATES:
+            cond = F.col("state_id") == st
+            val = F.col(f"{prefix}{st}")
+            arms = F.when(cond, val) if arms is None else arms.when(cond, val)
+        return arms
+
+    c = star.calendar.select("date", *[f"snap_{st}" for st in cal.STATES])
+    foods = _sold_da(star).where(F.col("cat_id") == "FOODS").join(F.broadcast(c), "date")
+    snap = by_state("snap_")
+    sums = foods.groupBy("state_id").agg(
+        F.sum(F.when(snap == 1, F.col("total_units"))).alias("u_on"),
+        F.sum(F.when(snap == 0, F.col("total_units"))).alias("u_off"))
+    combos = (star.series().join(star.product.select("product_id", "dept_id", "cat_id"), "product_id")
+              .join(star.store, "store_id").where(F.col("cat_id") == "FOODS")
+              .select("dept_id", "store_id", "state_id").distinct()
+              .groupBy("state_id").agg(F.count(F.lit(1)).alias("n")))
+    days = star.calendar.agg(F.struct(*[
+        F.count_if(F.col(f"snap_{st}") == v).alias(f"{k}{st}")
+        for st in cal.STATES for v, k in ((1, "on_"), (0, "off_"))]).alias("d")).scalar()
+    on_days = None
+    off_days = None
+    for st in cal.STATES:
+        cond = F.col("state_id") == st
+        on_days = (F.when(cond, days.getField(f"on_{st}")) if on_days is None
+                   else on_days.when(cond, days.getField(f"on_{st}")))
+        off_days = (F.when(cond, days.getField(f"off_{st}")) if off_days is None
+                    else off_days.when(cond, days.getField(f"off_{st}")))
+    g = combos.join(sums, "state_id", "left").select(
+        "state_id",
+        (F.coalesce("u_on", F.lit(0)).cast("double")
+         / F.nullif((F.col("n") * on_days).cast("double"), F.lit(0.0))).alias("snap_day"),
+        (F.coalesce("u_off", F.lit(0)).cast("double")
+         / F.nullif((F.col("n") * off_days).cast("double"), F.lit(0.0))).alias("non_snap_day"))
     return g.withColumn("lift_pct", (F.col("snap_day") - F.col("non_snap_day"))
                         / F.col("non_snap_day") * 100)
 
