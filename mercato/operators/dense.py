@@ -53,7 +53,22 @@ def expand_days(keys: DataFrame, first: Column, last: Column) -> DataFrame:
 
 def dense_rows(sales: DataFrame, series: DataFrame, first: Column, last: Column,
                keys: Sequence[str] = SERIES) -> DataFrame:
-    """Dense fact rows (date, *keys, units_sold) for the given series."""
-    grid = expand_days(series.select(*keys), first, last)
-    return (grid.join(sales.select("date", *keys, "units_sold"), ["date", *keys], "left")
-            .withColumn("units_sold", F.coalesce(F.col("units_sold"), F.lit(0))))
+    """Dense fact rows (date, *keys, units_sold) for the given series.
+
+    Sales and series are hash-partitioned by the series keys (an explicit
+    partition count, so AQE cannot fold the later N-fold expansion into a
+    few tasks); the day grid is generated inside those partitions and merged
+    with the sales by a union + group-by on (keys, date), which that
+    partitioning already satisfies -- the expanded grid is never shuffled
+    (a join on (keys, date) would reshuffle it)."""
+    keys = list(keys)
+    spark = sales.sparkSession
+    n = max(spark.sparkContext.defaultParallelism,
+            int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ser = series.select(*keys).repartition(n, *keys)
+    sold = (sales.select("date", *keys, "units_sold").repartition(n, *keys)
+            .join(ser, keys, "left_semi"))
+    grid = ser.select(*keys, F.explode(F.sequence(first, last)).alias("date"),
+                      F.lit(0).alias("units_sold"))
+    return (grid.unionByName(sold.select(*keys, "date", "units_sold"))
+            .groupBy("date", *keys).agg(F.sum("units_sold").cast("int").alias("units_sold")))
