@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import pathlib
+import tempfile
+import zipfile
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,9 +35,22 @@ def free_names(taken: Iterable[str], *bases: str) -> list[str]:
     return out
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the Arrow batches of this session."""
+def prepare_workers(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Bound the Arrow batches of this session and ship this package to the executors,
+    where Python may not find it by itself."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        top = pathlib.Path(__file__).resolve().parents[1]
+        archive = os.path.join(tempfile.mkdtemp(prefix="mercato-code-"), f"{top.name}.zip")
+        with zipfile.ZipFile(archive, "w") as z:
+            for source in sorted(top.rglob("*.py")):
+                z.write(source, source.relative_to(top.parent))
+        sc.addPyFile(archive)
+        _shipped.add(sc.applicationId)
+
+
+_shipped: set[str] = set()
 
 
 def freeze(df: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from mercato.llm import line_dedup, url_filter
+from mercato.llm import line_dedup, packing, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
     "op8_url_filter": url_filter.query,
+    "op9_best_fit_packing": packing.query,
 }
 
 ORACLE = {
