@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from mercato.llm import line_dedup, packing, url_filter
+from mercato.llm import decontaminate, line_dedup, packing, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
+    "op2_decontaminate": decontaminate.query,
     "op8_url_filter": url_filter.query,
     "op9_best_fit_packing": packing.query,
 }
 
 ORACLE = {
     "op1_line_dedup": line_dedup.SQL,
+    "op2_decontaminate": decontaminate.SQL,
     "op8_url_filter": url_filter.SQL,
 }
