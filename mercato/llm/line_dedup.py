@@ -51,13 +51,12 @@ def line_runs(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORD
     items = F.transform(lines, lambda x: F.struct(
         x["no"].alias("no"), F.xxhash64(x["line"]).alias("h"),
         (F.size(F.split(x["line"], r"\s+")) >= long_words).alias("long")))
-    # the array is computed once and kept as a column of its own; explode works on it
-    base = (docs.where("text is not null").select("doc_id", "text").distinct()
+    # repeated rows give equal run starts, which neither add nor remove a position
+    base = (docs.where("text is not null")
             .select("doc_id", F.xxhash64("text").alias("body"), items.alias("items"))
             .where(F.size("items") > 0))
     # one row a run start: its lines, the fingerprint that its window selects, its content
     part = F.slice(F.col("items"), F.col("at") + 1, window)
-    least = F.array_min(F.transform(part, lambda x, j: F.struct(x["h"].alias("h"), (-j).alias("back"))))
     wide = (base.select("doc_id", "body", "items", F.posexplode("items").alias("at", "item"))
             .select("doc_id", "body", "at", part.alias("part")))
     wide = wide.select("doc_id", "body", "at", "part", F.array_min(F.transform("part", lambda x, j: F.struct(
