@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from mercato.llm import decontaminate, language_id, line_dedup, packing, toxicity, url_filter
+from mercato.llm import decontaminate, fingerprint, language_id, line_dedup, packing, pii, toxicity, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
     "op2_decontaminate": decontaminate.query,
     "op5_toxicity": toxicity.query,
     "op6_language_id": language_id.query,
+    "op7_fingerprint": fingerprint.query,
     "op8_url_filter": url_filter.query,
     "op9_best_fit_packing": packing.query,
+    "op10_pii": pii.query,
 }
 
 ORACLE = {
