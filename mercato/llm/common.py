@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 
 from mercato.session import checkpoint_dir
 
-#: Rows of a batch handed to Python. Texts may be long (the largest seen are
-#: over 100 KB), so the default of 10,000 rows would be an unbounded buffer.
-BATCH_ROWS = 400
+#: Bytes of a batch handed to Python, or one row: texts may be long.
+BATCH_BYTES = 4 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,10 +34,10 @@ def free_names(taken: Iterable[str], *bases: str) -> list[str]:
     return out
 
 
-def prepare_workers(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+def prepare_workers(spark: SparkSession) -> None:
     """Bound the Arrow batches of this session and ship this package to the executors,
     where Python may not find it by itself."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     sc = spark.sparkContext
     if sc.applicationId not in _shipped:
         top = pathlib.Path(__file__).resolve().parents[1]

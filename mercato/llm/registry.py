@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from mercato.llm import decontaminate, fingerprint, jaccard, language_id, line_dedup, packing, pii, toxicity, url_filter
+from mercato.llm import decontaminate, fingerprint, jaccard, language_id, line_dedup, packing, pii, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
     "op2_decontaminate": decontaminate.query,
     "op3_ngram_jaccard": jaccard.query,
+    "op4_suffix_dedup": suffix_dedup.query,
     "op5_toxicity": toxicity.query,
     "op6_language_id": language_id.query,
     "op7_fingerprint": fingerprint.query,
