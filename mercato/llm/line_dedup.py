@@ -86,9 +86,10 @@ def line_runs(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORD
 
 
 def dedup_lines(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS,
-                report: bool = False) -> DataFrame:
+                report: bool = False, drop_emptied: bool = False) -> DataFrame:
     """``docs`` with the later repeated runs deleted from ``text`` and n_chars set anew
-    where there is such a column. ``report`` adds n_lines, n_removed and n_runs (maximal
+    where there is such a column. ``drop_emptied`` leaves out documents of which only blank
+    lines remain: all they said is said earlier. ``report`` adds n_lines, n_removed and n_runs (maximal
     runs of deleted lines; blank lines between them don't part them)."""
     k_id, k_body, nos, n_lines, n_removed, n_runs = free_names(
         docs.columns, "_k_id", "_k_body", "_nos", "n_lines", "n_removed", "n_runs")
@@ -108,6 +109,8 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WO
                .withColumn(n_removed, F.coalesce(F.size(gone), F.lit(0)).cast("long"))
                .withColumn(n_runs, F.when(gone.isNull(), F.lit(0)).otherwise(starts).cast("long")))
     out = out.withColumn("text", text)
+    if drop_emptied:
+        out = out.where(gone.isNull() | (F.trim(F.regexp_replace("text", "\n", "")) != ""))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(gone.isNull(), F.col("n_chars")).otherwise(
             F.length("text")).cast(docs.schema["n_chars"].dataType))
