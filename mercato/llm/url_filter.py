@@ -1,7 +1,7 @@
 """URL filters: a sort-merge range join of pages and host/path rules.
 
-Canonical key: the host with its labels reversed, then the path
-(``a.example.org/es/x`` -> ``org.example.a/es/x``). A rule covers its host and all
+Canonical key: the host with its labels reversed, a slash, then the path
+(``a.example.org/es/x`` -> ``org.example.a//es/x``); no host holds a slash, so its end is known. A rule covers its host and all
 subdomains, so a url is looked up under each suffix of its host; under one such
 key a rule is a *prefix*, that is an interval of the sorted keys.
 
@@ -63,7 +63,7 @@ def rule_stacks(rules: DataFrame) -> DataFrame:
     """rules(host, path, verdict) -> (key, stack): for each rule key the enclosing
     rules and itself, ordered by length. The enclosing rules are the rules among the
     key's own prefixes: an equi-join, not a scan of all pairs of rules."""
-    keyed = (rules.select((F.concat(_reversed(F.lower("host")), F.coalesce("path", F.lit("")))).alias("key"),
+    keyed = (rules.select(F.concat(_reversed(F.lower("host")), F.lit("/"), F.coalesce("path", F.lit(""))).alias("key"),
                           F.concat(F.lower("host"), F.coalesce("path", F.lit(""))).alias("rule"),
                           F.length("host").alias("host_len"), "verdict")
              .groupBy("key", "rule", "host_len").agg(F.max("verdict").alias("verdict")))
@@ -83,7 +83,7 @@ def match_urls(urls: DataFrame, rules: DataFrame, partitions: int | None = None)
     points = (urls.where(F.col("host") != "")
               .select("host", "path", F.explode(F.transform(
                   F.sequence(F.lit(1), F.size(labels)),
-                  lambda k: F.concat(F.array_join(F.slice(labels, F.lit(1), k), "."), F.col("path")))).alias("key"))
+                  lambda k: F.concat(F.array_join(F.slice(labels, F.lit(1), k), "."), F.lit("/"), F.col("path")))).alias("key"))
               .withColumn("stack", F.lit(None).cast("array<struct<size:int,host_len:int,key:string,rule:string,verdict:string>>"))
               .withColumn("kind", F.lit(1)))
     opens = (rule_stacks(rules).withColumn("host", F.lit("")).withColumn("path", F.lit(""))
