@@ -156,11 +156,12 @@ def phrase_packs(benchmark: DataFrame, size: int = SIZE, pack_bytes: int = PACK_
 
 
 def mark_benchmark(docs: DataFrame, benchmark: DataFrame, size: int = SIZE,
-                   names: tuple[str, ...] = REPORT) -> DataFrame:
-    """``docs`` with the columns ``names``: words, hit words, occurring items (number and
+                   names: tuple[str, ...] | None = None) -> DataFrame:
+    """``docs`` with the columns ``names`` (REPORT, with an underscore behind a taken one): words, hit words, occurring items (number and
     sorted ids, repeated where items share an id), merged spans of hits as bytes from..to."""
     spark = docs.sparkSession
     prepare_workers(spark)
+    names = names or tuple(free_names(docs.columns, *REPORT))
     packs = phrase_packs(benchmark, size)
     span = T.ArrayType(T.StructType([T.StructField("from", T.IntegerType()), T.StructField("to", T.IntegerType())]))
     kinds = (T.LongType(), T.LongType(), T.LongType(), T.ArrayType(T.StringType()), span)

@@ -271,6 +271,8 @@ def _with_keys(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                     if b > a and int(mix(own.sum(keepdims=True) * np.uint64(2 * (b - a) + 1)).view(np.int64)[0]) == ids[row]:
                         keep.append(row)
                         found.append(own.tobytes())
+            if not keep:
+                continue
             part = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found, pa.binary())],
                                              names=[*part.schema.names[:-1], "keys"])

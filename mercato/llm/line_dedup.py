@@ -31,11 +31,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.llm.common import free_names, read_table, sha256
+from mercato.llm.common import free_names, freeze, read_table, sha256
 
 #: lines of the shortest run that is always found
 WINDOW = 2
-#: words of a line that counts as a run alone
+#: words of a line that counts as a run alone, told by its spaces
 LONG_WORDS = 8
 
 
@@ -50,7 +50,7 @@ def line_runs(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORD
                      lambda x: x["line"] != "")
     items = F.transform(lines, lambda x: F.struct(
         x["no"].alias("no"), F.xxhash64(x["line"]).alias("h"),
-        (F.size(F.split(x["line"], r"\s+")) >= long_words).alias("long")))
+        (F.length(x["line"]) - F.length(F.replace(x["line"], F.lit(" "), F.lit(""))) >= long_words - 1).alias("long")))
     # repeated rows give equal run starts, which neither add nor remove a position
     base = (docs.where("text is not null")
             .select("doc_id", F.xxhash64("text").alias("body"), items.alias("items"))
@@ -76,7 +76,7 @@ def line_runs(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORD
     place = F.struct("doc_id", "body", "fp_at")
     prints = (runs.groupBy("fp").agg(F.min(place).alias("first"), F.max(place).alias("last"))
               .where("first != last").select("fp"))
-    near = runs.join(prints, "fp")
+    near = freeze(runs.join(prints, "fp").drop("fp", "fp_at"))       # used twice
     start = F.struct("doc_id", "body", "at")
     firsts = (near.groupBy("run").agg(F.min(start).alias("first"), F.max(start).alias("last"))
               .where("first != last").select("run", "first"))
@@ -138,7 +138,7 @@ pairs AS (
   FROM items WHERE next_line IS NOT NULL),
 longs AS (
   SELECT doc_id, ix, row_number() OVER (PARTITION BY line ORDER BY doc_id, ix) AS seen
-  FROM items WHERE len(regexp_split_to_array(line, '\s+')) >= 8),
+  FROM items WHERE length(line) - length(replace(line, ' ', '')) >= 7),
 gone AS (
   SELECT doc_id, ix FROM pairs WHERE seen > 1
   UNION SELECT doc_id, ix + 1 FROM pairs WHERE seen > 1
