@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 # ---------------------------------------------------------------------------
 # Fixed values of the test-data calendar adapter (not taken from any data):
 # yearly events by (month, day), and SNAP days of the month per state.
-# The DuckDB oracle spells the same values out in SQL.
+# The DuckDB oracle spells the same values out in SQL, in a list of its own.
 # ---------------------------------------------------------------------------
 FIXED_EVENTS = [
     # (month, day, event_name, event_type)

@@ -23,12 +23,16 @@ from pyspark.sql import functions as F
 SERIES = ["product_id", "store_id"]
 
 
-def series_moments(sales: DataFrame, n_days: Column, keys: Sequence[str] = SERIES) -> DataFrame:
-    """Per key: n (days), nz (days with a sale), sx = sum(x), sxx = sum(x^2)."""
+def series_moments(sales: DataFrame, n_days: Column, keys: Sequence[str] = SERIES,
+                   series: DataFrame | None = None) -> DataFrame:
+    """Per key: n (days), nz (days with a sale), sx = sum(x), sxx = sum(x^2). ``series`` adds
+    keys without a row in ``sales``, with zeros."""
     x = F.col("units_sold").cast("bigint")
-    return (sales.groupBy(*keys)
-            .agg(F.count(F.lit(1)).alias("nz"), F.sum(x).alias("sx"), F.sum(x * x).alias("sxx"))
-            .withColumn("n", n_days.cast("bigint")))
+    out = sales.groupBy(*keys).agg(F.count_if(x > 0).alias("nz"), F.sum(x).alias("sx"),
+                                   F.sum(x * x).alias("sxx"))
+    if series is not None:
+        out = series.select(*keys).join(out, list(keys), "left").fillna(0, ["nz", "sx", "sxx"])
+    return out.withColumn("n", n_days.cast("bigint"))
 
 
 def dense_mean(sx: str = "sx", n: str = "n") -> Column:

@@ -19,8 +19,10 @@ Model (additive decomposable regression in the style of Taylor & Letham,
   order 3) with Normal prior (scale ``seasonality_prior``);
 * one indicator per (holiday, day offset) seen in training, Normal prior
   (scale ``holiday_prior``);
-* interval: yhat +/- z * residual sd (z for ``interval_width``), which
-  omits the trend-uncertainty simulation of the original.
+* interval: yhat +/- z * sd (z for ``interval_width``). The variance is the residual one
+  plus, beyond the training part, that of the trend: changes of slope go on as often as
+  in the history and with Laplace sizes of the mean fitted scale b, so h ahead it is
+  rate * 2 * b^2 * h^3 / 3, the integral that the original simulates.
 
 Deterministic: no sampling, fixed iteration count.
 """
@@ -41,15 +43,26 @@ def fourier(days: np.ndarray, period: float, order: int) -> np.ndarray:
     return np.hstack([np.sin(x), np.cos(x)])
 
 
-def fit_predict(ds: np.ndarray, y: np.ndarray, holidays: list, n_train: int,
+def holiday_matrix(ds: np.ndarray, holidays: dict[int, list[str]], n_train: int) -> np.ndarray:
+    """One indicator column per holiday key seen in training."""
+    places = [(i, k) for i, day in enumerate(ds.tolist()) for k in holidays.get(day, ())]
+    keys = {k: j for j, k in enumerate(sorted({k for i, k in places if i < n_train}))}
+    out = np.zeros((len(ds), len(keys)))
+    for i, k in places:
+        if k in keys:
+            out[i, keys[k]] = 1.0
+    return out
+
+
+def fit_predict(ds: np.ndarray, y: np.ndarray, holidays: dict[int, list[str]], n_train: int,
                 n_changepoints: int = 25, changepoint_range: float = 0.8,
                 changepoint_prior: float = 0.05, seasonality_prior: float = 10.0,
                 holiday_prior: float = 10.0, interval_width: float = 0.80,
                 irls_iterations: int = 5) -> dict[str, np.ndarray]:
     """Fit on the first ``n_train`` points, predict every point of ``ds``.
 
-    ``ds``: days as integers (days since epoch), ascending; ``holidays``:
-    per point, the list of active holiday keys."""
+    ``ds``: days as integers (days since epoch), ascending; ``holidays``: the
+    holiday keys active on a day, for days that have any."""
     n = len(ds)
     y_tr = y[:n_train].astype(float)
     scale = float(np.max(np.abs(y_tr))) if n_train and np.max(np.abs(y_tr)) > 0 else 1.0
@@ -73,13 +86,7 @@ def fit_predict(ds: np.ndarray, y: np.ndarray, holidays: list, n_train: int,
                       fourier(ds.astype(float), WEEKLY_PERIOD, WEEKLY_ORDER)])
     n_year = 2 * YEARLY_ORDER
 
-    keys = sorted({k for ks in holidays[:n_train] for k in ks})
-    hol = np.zeros((n, len(keys)))
-    pos = {k: j for j, k in enumerate(keys)}
-    for i, ks in enumerate(holidays):
-        for k in ks:
-            if k in pos:
-                hol[i, pos[k]] = 1.0
+    hol = holiday_matrix(ds, holidays, n_train)
 
     X = np.hstack([np.ones((n, 1)), t[:, None], hinge, seas, hol])
     n_h = hinge.shape[1]
@@ -111,40 +118,41 @@ def fit_predict(ds: np.ndarray, y: np.ndarray, holidays: list, n_train: int,
     weekly = seas[:, n_year:] @ beta[s_seas][n_year:]
     holi = hol @ beta[s_hol] if hol.shape[1] else np.zeros(n)
     z = NormalDist().inv_cdf(0.5 + interval_width / 2.0)
-    half = z * np.sqrt(sigma2)
+    ahead = np.maximum(t - t[n_train - 1], 0.0)
+    slope_scale = float(np.mean(np.abs(beta[s_cp]))) if n_h else 0.0
+    rate = n_h / changepoint_range
+    half = z * np.sqrt(sigma2 + rate * 2.0 * slope_scale ** 2 * ahead ** 3 / 3.0)
     return {"yhat": fit * scale, "yhat_lower": (fit - half) * scale,
             "yhat_upper": (fit + half) * scale, "trend": trend * scale,
             "yearly": yearly * scale, "weekly": weekly * scale, "holidays": holi * scale}
 
 
-def forecast_group(pdf: pd.DataFrame, key: str, horizon: int, mode: str = "holdout",
-                   output: str = "forecast") -> pd.DataFrame:
-    """applyInPandas body. Input columns: key, ds (date), y, hol (list).
+def forecast_group(pdf: pd.DataFrame, keys: list[str], horizon: int, holidays: dict[int, list[str]],
+                   mode: str = "holdout", output: str = "forecast") -> pd.DataFrame:
+    """applyInPandas body. Input columns: keys, ds (date), y.
 
-    ``mode='holdout'`` fits on all but the last ``horizon`` days and
-    predicts them (the reference's saved "forecast" is this holdout);
-    ``mode='future'`` fits on all days and extends ``horizon`` days."""
+    ``mode='holdout'`` fits on all but the last ``horizon`` days and predicts them (the
+    reference's saved "forecast" is this holdout); ``mode='future'`` fits on all days and
+    extends ``horizon`` days, with the holidays that the calendar knows there. A holdout
+    needs a history longer than the horizon; a shorter series yields no rows."""
     pdf = pdf.sort_values("ds")
     ds = pd.to_datetime(pdf["ds"]).to_numpy(dtype="datetime64[D]").astype("int64")
     y = pdf["y"].to_numpy(dtype=float)
-    hol = [list(h) if h is not None else [] for h in pdf["hol"]]
-    if mode == "future":
-        n_train = len(ds)
-        extra = np.arange(ds[-1] + 1, ds[-1] + 1 + horizon)
-        ds = np.concatenate([ds, extra])
+    n_train = len(ds) if mode == "future" else len(ds) - horizon
+    key_values = {k: pdf[k].iloc[0] for k in keys}
+    if n_train < 2:
+        ds, y, n_train, horizon = ds[:0], y[:0], 0, 0
+    if mode == "future" and n_train:
+        ds = np.concatenate([ds, np.arange(ds[-1] + 1, ds[-1] + 1 + horizon)])
         y = np.concatenate([y, np.full(horizon, np.nan)])
-        hol = hol + [[] for _ in range(horizon)]
-    else:
-        n_train = max(len(ds) - horizon, 1)
-    res = fit_predict(ds, y, hol, n_train)
+    names = ("yhat", "yhat_lower", "yhat_upper", "trend", "yearly", "weekly", "holidays")
+    res = fit_predict(ds, y, holidays, n_train) if n_train else {k: y for k in names}
     dates = ds.astype("datetime64[D]")
-    kval = pdf[key].iloc[0]
     if output == "components":
-        return pd.DataFrame({key: kval, "ds": dates, "trend": res["trend"], "weekly": res["weekly"],
-                             "yearly": res["yearly"], "holidays": res["holidays"],
-                             "yhat": res["yhat"]})
+        return pd.DataFrame({"ds": dates, **{k: res[k] for k in ("trend", "weekly", "yearly", "holidays", "yhat")}}
+                            ).assign(**key_values)
     tail = slice(len(ds) - horizon, len(ds))
     return pd.DataFrame({
         "forecast_date": dates[tail], "predicted_demand": res["yhat"][tail],
         "lower_ci": res["yhat_lower"][tail], "upper_ci": res["yhat_upper"][tail],
-        "actual": y[tail], key: kval})
+        "actual": y[tail]}).assign(**key_values)

@@ -29,6 +29,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: long rows that one yielded frame holds at most (or one wide row's)
+SLICE_CELLS = 1_000_000
+
+
 def day_columns(df: DataFrame, prefix: str = "d_") -> list[str]:
     return [c for c in df.columns if c.startswith(prefix)]
 
@@ -39,15 +43,17 @@ def _melt_batches(id_cols: list[str], cols: list[str], var_name: str, value_name
 
     def run(batches):
         for pdf in batches:
-            n = len(pdf)
-            vals = pdf[cols].to_numpy(dtype="float64", na_value=np.nan).reshape(-1)
-            out = {c: np.repeat(pdf[c].to_numpy(), len(cols)) for c in id_cols}
-            out[var_name] = np.tile(names, n)
-            if fill is not None:
-                out[value_name] = np.nan_to_num(vals, nan=float(fill)).astype("int32")
-            else:
-                out[value_name] = pd.array(vals, dtype="Float64").astype("Int32")
-            yield pd.DataFrame(out)
+            rows = max(1, SLICE_CELLS // max(1, len(cols)))
+            for at in range(0, len(pdf), rows):
+                part = pdf.iloc[at:at + rows]
+                vals = part[cols].to_numpy(dtype="float64", na_value=np.nan).reshape(-1)
+                out = {c: np.repeat(part[c].to_numpy(), len(cols)) for c in id_cols}
+                out[var_name] = np.tile(names, len(part))
+                if fill is not None:
+                    out[value_name] = np.nan_to_num(vals, nan=float(fill)).astype("int32")
+                else:
+                    out[value_name] = pd.array(vals, dtype="Float64").astype("Int32")
+                yield pd.DataFrame(out)
     return run
 
 

@@ -39,6 +39,11 @@ def decompose(df: DataFrame, keys: Sequence[str], date: str, value: str,
     detrended values per phase (position mod period, counted from each
     series' first date), minus the mean of those phase means."""
     keys = list(keys)
+    # two full cycles, as each phase needs a trend on both sides; checked per series
+    size = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    df = df.withColumn(date, F.when(size < 2 * period, F.raise_error(F.lit(
+        f"decompose: a series has fewer than two periods of {period} rows")).cast(df.schema[date].dataType))
+        .otherwise(F.col(date)))
     order = Window.partitionBy(*keys).orderBy(date)
     h = period // 2
     frame = order.rowsBetween(-h, h)

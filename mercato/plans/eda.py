@@ -16,12 +16,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mercato.functions import calendar as cal
-from mercato.functions.rounding import pd_round
+from mercato.functions.rounding import pd_round, ratio
 from mercato.operators.dense import expand_days
 from mercato.operators.pricing import with_price
 from mercato.operators.timeseries import decompose, regularise
 from mercato.sources.fixture import Star
 
+WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 
 
@@ -39,6 +40,20 @@ def _sold(star: Star) -> DataFrame:
                     (F.col("units_sold") * F.coalesce("sell_price", F.lit(0))).alias("total_revenue"))
 
 
+def _units(star: Star, *keys) -> DataFrame:
+    """Units by date (and category): no price, no dimension that isn't asked for."""
+    s = star.sales
+    if "cat_id" in keys:
+        s = s.join(star.product.select("product_id", "cat_id"), "product_id")
+    return s.groupBy("date", *keys).agg(F.sum("units_sold").cast("bigint").alias("total_units"))
+
+
+def _daily_units(star: Star) -> DataFrame:
+    """Units for every calendar day (0 on days without sales)."""
+    return star.calendar.select("date").join(_units(star), "date", "left").select(
+        "date", F.coalesce("total_units", F.lit(0)).cast("bigint").alias("total_units"))
+
+
 def _daily(star: Star) -> DataFrame:
     """Totals for every calendar day (0 on days without sales)."""
     sums = _totals(_sold(star), "date")
@@ -54,20 +69,20 @@ def eda_daily(star: Star) -> DataFrame:
 
 def eda_weekly(star: Star) -> DataFrame:
     """Weeks ending Sunday, labelled by that Sunday."""
-    d = _daily(star)
+    d = _daily_units(star)
     return d.groupBy(cal.week_ending_sunday(F.col("date")).alias("week_end")).agg(
         F.sum("total_units").cast("bigint").alias("total_units"))
 
 
 def eda_monthly(star: Star) -> DataFrame:
-    d = _daily(star)
+    d = _daily_units(star)
     return d.groupBy(F.last_day("date").alias("month_end")).agg(
         F.sum("total_units").cast("bigint").alias("total_units"))
 
 
 def eda_peak_day(star: Star) -> DataFrame:
     """Day with the most units (first such day on ties)."""
-    d = _daily(star)
+    d = _daily_units(star)
     return d.orderBy(F.desc("total_units"), "date").limit(1).select("date", "total_units")
 
 
@@ -77,15 +92,16 @@ def eda_category_share(star: Star) -> DataFrame:
     rev = F.col("total_revenue").cast("double")
     units = F.col("total_units").cast("double")
     return t.select("cat_id", "total_units", rev.alias("total_revenue"),
-                    pd_round(rev / F.sum(rev).over(allw) * 100, 1).alias("revenue_share"),
-                    pd_round(units / F.sum(units).over(allw) * 100, 1).alias("units_share"))
+                    pd_round(ratio(rev, F.sum(rev).over(allw)) * 100, 1).alias("revenue_share"),
+                    pd_round(ratio(units, F.sum(units).over(allw)) * 100, 1).alias("units_share"))
 
 
 def eda_category_monthly(star: Star) -> DataFrame:
-    cats = _sold(star).select("cat_id").distinct()
+    units = _units(star, "cat_id")
+    cats = star.series().join(star.product.select("product_id", "cat_id"), "product_id").select("cat_id").distinct()
     months = expand_days(cats, star.first_day(), star.last_day()).select(
         "cat_id", F.last_day("date").alias("month_end")).distinct()
-    sums = _sold(star).groupBy("cat_id", F.last_day("date").alias("month_end")).agg(
+    sums = units.groupBy("cat_id", F.last_day("date").alias("month_end")).agg(
         F.sum("total_units").cast("bigint").alias("total_units"))
     return months.join(sums, ["cat_id", "month_end"], "left").select(
         "cat_id", "month_end", F.coalesce("total_units", F.lit(0)).cast("bigint").alias("total_units"))
@@ -136,10 +152,10 @@ def _combos(star: Star, combo_filter=None):
 
 def eda_weekday_mean(star: Star) -> DataFrame:
     """Mean units per pre-aggregate row by weekday, Monday first."""
+    # all seven: a weekday without a calendar day has no mean, but keeps its place
     m = _row_mean(star, ["weekday"])
-    order = F.expr("array_position(array('Monday','Tuesday','Wednesday','Thursday','Friday',"
-                   "'Saturday','Sunday'), weekday)").cast("int")
-    return m.select("weekday", order.alias("day_order"), "mean_units")
+    week = star.sales.sparkSession.createDataFrame(list(enumerate(WEEKDAYS, 1)), "day_order int, weekday string")
+    return F.broadcast(week).join(m, "weekday", "left").select("weekday", "day_order", "mean_units")
 
 
 def eda_month_mean(star: Star) -> DataFrame:
@@ -150,7 +166,7 @@ def eda_month_mean(star: Star) -> DataFrame:
 def eda_decomposition(star: Star, period: int = 365) -> DataFrame:
     """Additive decomposition of total daily units (daily frequency,
     gaps forward-filled as in the reference)."""
-    d = _daily(star).select(F.lit("total").alias("series_id"), "date",
+    d = _daily_units(star).select(F.lit("total").alias("series_id"), "date",
                             F.col("total_units").alias("y"))
     d = regularise(d, ["series_id"], "date", "y", fill="ffill")
     out = decompose(d, ["series_id"], "date", "y", period)
@@ -214,8 +230,7 @@ def eda_snap_lift(star: Star) -> DataFrame:
          / F.nullif((F.col("n") * on_days).cast("double"), F.lit(0.0))).alias("snap_day"),
         (F.coalesce("u_off", F.lit(0)).cast("double")
          / F.nullif((F.col("n") * off_days).cast("double"), F.lit(0.0))).alias("non_snap_day"))
-    return g.withColumn("lift_pct", (F.col("snap_day") - F.col("non_snap_day"))
-                        / F.col("non_snap_day") * 100)
+    return g.withColumn("lift_pct", ratio(F.col("snap_day") - F.col("non_snap_day"), F.col("non_snap_day")) * 100)
 
 
 def eda_yoy(star: Star) -> DataFrame:
@@ -224,8 +239,8 @@ def eda_yoy(star: Star) -> DataFrame:
     u = F.col("total_units").cast("double")
     r = F.col("total_revenue").cast("double")
     return t.select("year", "total_units", r.alias("total_revenue"),
-                    ((u - F.lag(u).over(w)) / F.lag(u).over(w) * 100).alias("yoy_units_growth"),
-                    ((r - F.lag(r).over(w)) / F.lag(r).over(w) * 100).alias("yoy_rev_growth"))
+                    (ratio(u - F.lag(u).over(w), F.lag(u).over(w)) * 100).alias("yoy_units_growth"),
+                    (ratio(r - F.lag(r).over(w), F.lag(r).over(w)) * 100).alias("yoy_rev_growth"))
 
 
 def eda_store_month_pivot(star: Star) -> DataFrame:

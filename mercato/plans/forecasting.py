@@ -33,18 +33,20 @@ def holiday_keys(calendar: DataFrame, lower: int = -1, upper: int = 1) -> DataFr
             .groupBy("ds").agg(F.sort_array(F.collect_list("k")).alias("hol")))
 
 
-def daily_series(star: Star, key: str) -> DataFrame:
-    """(key, ds, y): daily units per key for every calendar day, 0-filled."""
-    s = star.sales
-    if key in ("cat_id", "dept_id"):
-        s = s.join(star.product.select("product_id", key), "product_id")
-    elif key == "state_id":
-        s = s.join(star.store, "store_id")
-    sums = s.groupBy(key, "date").agg(F.sum("units_sold").cast("bigint").alias("y"))
-    keys = s.select(key).distinct()
-    grid = expand_days(keys, star.first_day(), star.last_day())
-    return (grid.join(sums, [key, "date"], "left")
-            .select(key, F.col("date").alias("ds"), F.coalesce("y", F.lit(0)).cast("double").alias("y")))
+def daily_series(star: Star, *keys: str) -> DataFrame:
+    """(keys, ds, y): daily units per key for every calendar day, 0-filled. Keys may be
+    composite, item x store included."""
+    wanted = {"cat_id", "dept_id", "item_id"} & set(keys)
+
+    def with_keys(df: DataFrame) -> DataFrame:
+        if wanted:
+            df = df.join(star.product.select("product_id", *sorted(wanted)), "product_id")
+        return df.join(star.store.select("store_id", "state_id"), "store_id") if "state_id" in keys else df
+
+    sums = with_keys(star.sales).groupBy(*keys, "date").agg(F.sum("units_sold").cast("bigint").alias("y"))
+    grid = expand_days(with_keys(star.series()).select(*keys).distinct(), star.first_day(), star.last_day())
+    return (grid.join(sums, [*keys, "date"], "left")
+            .select(*keys, F.col("date").alias("ds"), F.coalesce("y", F.lit(0)).cast("double").alias("y")))
 
 
 FORECAST_FIELDS = [T.StructField("forecast_date", T.DateType()),
@@ -54,22 +56,31 @@ FORECAST_FIELDS = [T.StructField("forecast_date", T.DateType()),
                    T.StructField("actual", T.DoubleType())]
 
 
-def forecast(star: Star, key: str, horizon: int, mode: str = "holdout") -> DataFrame:
-    series = daily_series(star, key).join(F.broadcast(holiday_keys(star.calendar)), "ds", "left")
-    schema = T.StructType(FORECAST_FIELDS + [T.StructField(key, T.StringType())])
+def holidays_by_day(calendar: DataFrame) -> dict[int, list[str]]:
+    """Active holiday keys by day number; at most three rows an event day, the same for all
+    series, so they go to the model once and not with every row."""
+    days = holiday_keys(calendar).select(F.unix_date("ds").alias("day"), "hol").collect()
+    return {r["day"]: list(r["hol"]) for r in days}
+
+
+def forecast(star: Star, key: str | list[str], horizon: int, mode: str = "holdout") -> DataFrame:
+    keys, holidays = [key] if isinstance(key, str) else list(key), holidays_by_day(star.calendar)
+    schema = T.StructType(FORECAST_FIELDS + [T.StructField(k, T.StringType()) for k in keys])
+
     def fn(pdf):
-        return forecast_group(pdf, key=key, horizon=horizon, mode=mode)
-    return series.groupBy(key).applyInPandas(fn, schema)
+        return forecast_group(pdf, keys, horizon, holidays, mode=mode)
+    return daily_series(star, *keys).groupBy(*keys).applyInPandas(fn, schema)
 
 
-def components(star: Star, key: str, horizon: int) -> DataFrame:
-    series = daily_series(star, key).join(F.broadcast(holiday_keys(star.calendar)), "ds", "left")
-    schema = T.StructType([T.StructField(key, T.StringType()), T.StructField("ds", T.DateType())]
+def components(star: Star, key: str | list[str], horizon: int) -> DataFrame:
+    keys, holidays = [key] if isinstance(key, str) else list(key), holidays_by_day(star.calendar)
+    schema = T.StructType([*(T.StructField(k, T.StringType()) for k in keys), T.StructField("ds", T.DateType())]
                           + [T.StructField(c, T.DoubleType())
                              for c in ("trend", "weekly", "yearly", "holidays", "yhat")])
+
     def fn(pdf):
-        return forecast_group(pdf, key=key, horizon=horizon, output="components")
-    return series.groupBy(key).applyInPandas(fn, schema)
+        return forecast_group(pdf, keys, horizon, holidays, output="components")[[f.name for f in schema]]
+    return daily_series(star, *keys).groupBy(*keys).applyInPandas(fn, schema)
 
 
 def metrics(df: DataFrame, keys, actual: str = "actual", pred: str = "predicted") -> DataFrame:
@@ -134,3 +145,22 @@ def fc_model_metrics(star: Star) -> DataFrame:
     sto = forecast(star, "store_id", STORE_HORIZON).withColumnRenamed("predicted_demand", "predicted")
     return _level_metrics(cat, "cat_id", "category").unionByName(
         _level_metrics(sto, "store_id", "store"))
+
+
+def fc_dept_store(star: Star) -> DataFrame:
+    """Composite keys: the next 30 days of each department in each store."""
+    return forecast(star, ["dept_id", "store_id"], STORE_HORIZON, mode="future").drop("actual")
+
+
+def fc_checks(star: Star) -> DataFrame:
+    """What must hold of any fit, per category: rows and dates of the forecast, days of the
+    components, their sum against the prediction, the prediction inside its interval."""
+    f = forecast(star, "cat_id", CATEGORY_HORIZON).groupBy("cat_id").agg(
+        F.count(F.lit(1)).alias("forecast_rows"), F.min("forecast_date").alias("first_day"),
+        F.max("forecast_date").alias("last_day"),
+        F.count_if((F.col("lower_ci") > F.col("predicted_demand")) | (F.col("upper_ci") < F.col("predicted_demand"))).alias("outside"))
+    total = sum((F.col(c) for c in ("weekly", "yearly", "holidays")), F.col("trend"))
+    c = components(star, "cat_id", CATEGORY_HORIZON).groupBy("cat_id").agg(
+        F.count(F.lit(1)).alias("component_rows"),
+        F.count_if(F.abs(total - F.col("yhat")) > 1e-6 * (1 + F.abs("yhat"))).alias("unequal"))
+    return f.join(c, "cat_id")

@@ -46,9 +46,13 @@ def _cat(df: DataFrame, star: Star) -> DataFrame:
 def series_revenue(star: Star) -> DataFrame:
     """Per series: total units and revenue, unpriced days counted as 0."""
     s = with_price(star.sales, star.calendar, star.prices, "left")
-    return _cat(s, star).groupBy("product_id", "store_id", "cat_id").agg(
-        F.sum("units_sold").cast("bigint").alias("total_units"),
-        F.coalesce(F.sum("revenue"), F.lit(0)).alias("revenue"))
+    sums = s.groupBy("product_id", "store_id").agg(
+        F.sum("units_sold").cast("bigint").alias("total_units"), F.sum("revenue").alias("revenue"))
+    if star.series_ids is not None:
+        sums = star.series_ids.join(sums, ["product_id", "store_id"], "left")
+    return _cat(sums, star).select(
+        "product_id", "store_id", "cat_id", F.coalesce("total_units", F.lit(0)).cast("bigint").alias("total_units"),
+        F.coalesce("revenue", F.lit(0)).alias("revenue"))
 
 
 def abc_classification(star: Star, a: float = ABC_A, b: float = ABC_B) -> DataFrame:
@@ -74,7 +78,7 @@ def abc_summary(abc: DataFrame) -> DataFrame:
     return g.select(
         "abc_class", "num_skus", F.round("total_revenue", 2).alias("total_revenue"),
         pd_round(F.col("num_skus") / F.sum("num_skus").over(allw) * 100, 1).alias("sku_pct"),
-        pd_round(F.col("total_revenue") / F.sum("total_revenue").over(allw) * 100, 1).alias("rev_pct"))
+        pd_round(ratio(F.col("total_revenue"), F.sum("total_revenue").over(allw)) * 100, 1).alias("rev_pct"))
 
 
 # ------------------------------------------------------- demand statistics
@@ -82,7 +86,7 @@ def abc_summary(abc: DataFrame) -> DataFrame:
 def demand_stats(star: Star) -> DataFrame:
     """mean/std of daily units over every day, mean price over priced days
     (NULL -> 1.0), total units; std of a one-day series -> 0."""
-    m = series_moments(star.sales, star.n_days())
+    m = series_moments(star.sales, star.n_days(), series=star.series_ids)
     # each price row covers every calendar day of its week for that series
     pdays = (star.prices.join(F.broadcast(week_days(star.calendar)), "wm_yr_wk")
              .groupBy(*SERIES).agg(F.sum(F.col("sell_price") * F.col("week_days")).alias("pd"),
@@ -293,9 +297,7 @@ def kpi24_risk_by_store_cat(star: Star) -> DataFrame:
 
 
 def kpi30_financial_summary(star: Star) -> DataFrame:
-    ir = _recommendations_raw(star)
-    sr = stockout_risk(star, ir).select(*SERIES, "days_to_stockout", "risk_level")
-    j = ir.join(sr, SERIES, "left")
+    j = stockout_risk(star, keep=("eoq",))
     return j.groupBy("cat_id").agg(
         F.sum(F.col("eoq") * F.lit(0.25)).cast("double").alias("estimated_annual_holding_cost_usd"),
         F.round(F.avg("days_to_stockout"), 1).alias("avg_days_to_stockout"),

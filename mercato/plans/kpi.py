@@ -25,8 +25,8 @@ def _units_sum(c="units_sold"):
 
 
 def _sold(star: Star, how: str = "inner") -> DataFrame:
-    """Sale rows (units > 0) with price; the sparse fact holds exactly them."""
-    return with_price(star.sales, star.calendar, star.prices, how)
+    """Sale rows (units > 0) with price."""
+    return with_price(star.sold(), star.calendar, star.prices, how)
 
 
 def _with_dims(df: DataFrame, star: Star, product_cols=("cat_id",), store_cols=()) -> DataFrame:
@@ -40,7 +40,7 @@ def _with_dims(df: DataFrame, star: Star, product_cols=("cat_id",), store_cols=(
 def _share(col: str, n: int = 2):
     """``ROUND(x / SUM(x) OVER () * 100, n)`` over an already-aggregated
     (bounded) frame."""
-    return F.round(F.col(col).cast("double") / F.sum(F.col(col).cast("double")).over(Window.partitionBy()) * 100, n)
+    return F.round(ratio(F.col(col), F.sum(F.col(col).cast("double")).over(Window.partitionBy())) * 100, n)
 
 
 # ---------------------------------------------------------------- core KPIs
@@ -111,9 +111,11 @@ def kpi05_top_units(star: Star, k: int = 20) -> DataFrame:
     s = _with_dims(_sold(star, "left"), star, ("dept_id", "cat_id"))
     g = s.groupBy("product_id", "dept_id", "cat_id").agg(
         _units_sum().alias("total_units_sold"),
-        money(F.sum("revenue")).alias("total_revenue"),
-        F.count_distinct("store_id").alias("stores_selling"))
-    return g.orderBy(F.desc("total_units_sold"), "product_id").limit(k)
+        money(F.sum("revenue")).alias("total_revenue"))
+    # the fact has a row for each series, sold or not
+    stores = star.series().groupBy("product_id").agg(F.count_distinct("store_id").alias("stores_selling"))
+    top = g.orderBy(F.desc("total_units_sold"), "product_id").limit(k)
+    return top.join(stores, "product_id").select(*g.columns, "stores_selling")
 
 
 def kpi06_top_revenue(star: Star, k: int = 20) -> DataFrame:
@@ -163,7 +165,7 @@ def _cat_spine_sums(star: Star, grain_cols, grain_exprs) -> DataFrame:
     cats = _with_dims(star.series(), star, ("cat_id",)).select("cat_id").distinct()
     spine = expand_days(cats, star.first_day(), star.last_day()).select(
         "cat_id", *[e.alias(n) for n, e in zip(grain_cols, grain_exprs)]).distinct()
-    sold = _with_dims(star.sales, star, ("cat_id",))
+    sold = _with_dims(star.sold(), star, ("cat_id",))
     sums = sold.groupBy("cat_id", *[e.alias(n) for n, e in zip(grain_cols, grain_exprs)]).agg(
         _units_sum().alias("units"))
     keys = ["cat_id", *grain_cols]
@@ -321,7 +323,7 @@ def kpi20_price_demand_corr(star: Star) -> DataFrame:
 # -------------------------------------------------- variability and growth
 
 def kpi25_demand_cv(star: Star) -> DataFrame:
-    m = _with_dims(series_moments(star.sales, star.n_days()), star, ("cat_id",))
+    m = _with_dims(series_moments(star.sales, star.n_days(), series=star.series_ids), star, ("cat_id",))
     mean, std = dense_mean(), dense_std()
     cv = std / F.nullif(mean, F.lit(0.0))
     return (m.where(mean > 0).select(
@@ -356,7 +358,7 @@ def kpi28_category_pairs(star: Star) -> DataFrame:
     is reduced to its sorted category set, the sets are counted (at most
     2^|categories| distinct sets), and pairs are expanded only from the
     distinct sets, weighted by their counts."""
-    s = _with_dims(star.sales, star, ("cat_id",))
+    s = _with_dims(star.sold(), star, ("cat_id",))
     sets = (s.groupBy("date", "store_id").agg(F.sort_array(F.collect_set("cat_id")).alias("cats"))
             .groupBy("cats").agg(F.count(F.lit(1)).alias("days")))
     pairs = sets.select(
@@ -370,7 +372,7 @@ def kpi28_category_pairs(star: Star) -> DataFrame:
 
 
 def kpi29_zero_sales(star: Star, k: int = 20, threshold: float = 0.3) -> DataFrame:
-    m = _with_dims(series_moments(star.sales, star.n_days()), star, ("cat_id",))
+    m = _with_dims(series_moments(star.sales, star.n_days(), series=star.series_ids), star, ("cat_id",))
     zero = F.col("n") - F.col("nz")
     return (m.where(zero.cast("double") / F.col("n") > threshold)
             .select("product_id", "store_id", "cat_id", zero.alias("zero_sale_days"),
@@ -391,10 +393,10 @@ def bonus1_top5_per_store(star: Star, k: int = 5) -> DataFrame:
 
 
 def bonus2_demand_spikes(star: Star, k: int = 50, z: float = 3.0) -> DataFrame:
-    m = series_moments(star.sales, star.n_days())
+    m = series_moments(star.sales, star.n_days(), series=star.series_ids)
     stats = m.select("product_id", "store_id", dense_mean().alias("mean"), dense_std().alias("std"))
     zs = (F.col("units_sold") - F.col("mean")) / F.nullif(F.col("std"), F.lit(0.0))
-    sold = star.sales.join(stats, ["product_id", "store_id"]).select(
+    sold = star.sold().join(stats, ["product_id", "store_id"]).select(
         "date", "product_id", "store_id", "units_sold", "mean", zs.alias("z"))
     # zero days qualify only for series whose mean exceeds z standard
     # deviations; expand just those series' days (usually none).

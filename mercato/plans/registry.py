@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mercato.plans import audit, eda, etl, forecasting
+from mercato.plans import audit, eda, etl, files, forecasting, views
 from mercato.plans import inventory as inv
 from mercato.plans import kpi
+from mercato.plans.ordering import ordered
 from mercato.sources.fixture import Star, star_from_testdata
 
 _STAR_QUERIES: dict[str, Callable[[Star], DataFrame]] = {
@@ -88,15 +89,22 @@ _STAR_QUERIES: dict[str, Callable[[Star], DataFrame]] = {
     "fc_store_30d": forecasting.fc_store_30d,
     "fc_components": forecasting.fc_components,
     "fc_model_metrics": forecasting.fc_model_metrics,
+    "fc_dept_store": forecasting.fc_dept_store,
+    "fc_checks": forecasting.fc_checks,
+    "audit_derived_constraints": audit.audit_derived_constraints,
+    "view_sql_state_year": views.view_sql_state_year,
+    **files.QUERIES,
 }
 
 
-def star_queries() -> dict[str, Callable[[Star], DataFrame]]:
-    return dict(_STAR_QUERIES)
+def _in_order(name: str, fn: Callable[[Star], DataFrame]) -> Callable[[Star], DataFrame]:
+    def run(star: Star) -> DataFrame:
+        return ordered(name, fn(star))
+    return run
 
 
-def register(name: str, fn: Callable[[Star], DataFrame]) -> None:
-    _STAR_QUERIES[name] = fn
+def star_queries() -> dict[str, Callable[[Star], DataFrame]]:
+    return {name: _in_order(name, fn) for name, fn in _STAR_QUERIES.items()}
 
 
 def bind(fn: Callable[[Star], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -107,4 +115,4 @@ def bind(fn: Callable[[Star], DataFrame]) -> Callable[[SparkSession, str], DataF
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: bind(fn) for name, fn in _STAR_QUERIES.items()}
+    return {name: bind(fn) for name, fn in star_queries().items()}

@@ -38,9 +38,11 @@ class Star:
     calendar: DataFrame  # dim_calendar
     product: DataFrame   # dim_product(product_id, item_id, dept_id, cat_id)
     store: DataFrame     # dim_store(store_id, state_id)
-    sales: DataFrame     # sparse fact_sales(date, product_id, store_id, units_sold>0)
+    sales: DataFrame     # fact_sales(date, product_id, store_id, units_sold): sparse or dense
     prices: DataFrame    # fact_prices(store_id, product_id, wm_yr_wk, sell_price)
     wide: DataFrame | None = None  # the wide daily file, when materialised
+    series_ids: DataFrame | None = None  # all series, where some have no row in ``sales``
+    files: str | None = None  # folder of the wide file with series that never sold (plans.files)
 
     # -- scalar helpers (uncorrelated scalar subqueries, planned JVM-side) --
     def n_days(self):
@@ -53,9 +55,16 @@ class Star:
         return self.calendar.agg(F.max("date")).scalar()
 
     def series(self) -> DataFrame:
-        """Observed (product_id, store_id) series: the rows of the wide file."""
+        """(product_id, store_id) series: the rows of the wide file, those that never
+        sold included."""
+        if self.series_ids is not None:
+            return self.series_ids
         return self.sales.select("product_id", "store_id").distinct()
 
+    def sold(self) -> DataFrame:
+        """Rows with a sale; a dense fact also holds a row for each day without."""
+        return self.sales.where(F.col("units_sold") > 0)
+
 
 def calendar_from_bounds(bounds: DataFrame) -> DataFrame:
     """``dim_calendar`` for the day range of a one-row (start, end) frame."""

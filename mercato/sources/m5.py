@@ -11,8 +11,12 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mercato.operators.melt import day_columns, melt_wide
+from mercato.sources.fixture import Star
+
 WIDE_ID_COLS = ["id", "item_id", "dept_id", "cat_id", "store_id", "state_id"]
 
 CALENDAR_SCHEMA = T.StructType([
@@ -90,3 +94,25 @@ def load_raw(spark: SparkSession, raw_dir: str) -> tuple[DataFrame, DataFrame, D
     return (read_wide(spark, os.path.join(raw_dir, INPUT_FILES["sales"])),
             read_calendar(spark, os.path.join(raw_dir, INPUT_FILES["calendar"])),
             read_prices(spark, os.path.join(raw_dir, INPUT_FILES["prices"])))
+
+
+def star_from_m5(wide: DataFrame, calendar: DataFrame, prices: DataFrame) -> Star:
+    """The star schema of the three input files.
+
+    Series, items and stores come from the rows of the wide file, so a series that never
+    sold is one too; the fact keeps the days with a sale (all other days of the file are 0).
+    The calendar is cut to the days of the file: it may go on beyond them. NULL cells are 0."""
+    days = day_columns(wide)
+    last = max(int(d.split("_")[1]) for d in days)
+    number = F.substring("d", 3, 10).cast("int")
+    cal = calendar.where(number <= last).withColumn("is_weekend", F.col("wday").isin(1, 2)).withColumn(
+        "is_event", F.col("event_name_1").isNotNull())
+    ids = wide.select(F.col("item_id").alias("product_id"), "item_id", "dept_id", "cat_id", "store_id", "state_id")
+    sold = melt_wide(wide, ["item_id", "store_id"], days, fill=None).where(F.col("units_sold") > 0)
+    # one row a day of the file
+    sales = sold.join(F.broadcast(cal.select("d", "date")), "d").select(
+        "date", F.col("item_id").alias("product_id"), "store_id", "units_sold")
+    return Star(calendar=cal, product=ids.select("product_id", "item_id", "dept_id", "cat_id").distinct(),
+                store=ids.select("store_id", "state_id").distinct(), sales=sales,
+                prices=prices.withColumnRenamed("item_id", "product_id") if "item_id" in prices.columns else prices,
+                wide=wide, series_ids=ids.select("product_id", "store_id").distinct())

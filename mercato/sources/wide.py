@@ -2,7 +2,7 @@
 
 One row per series with six id columns -- ``id, item_id, dept_id, cat_id,
 store_id, state_id`` -- and one integer column per calendar day ``d_1 ...
-d_N`` (0 = no sale). Built from a :class:`Star` by a pivot with an explicit
+d_N`` (NULL where the fact has no row; consumers read it as 0). Built from a :class:`Star` by a pivot with an explicit
 column list; ``N`` is the number of calendar days (a one-number driver
 read that fixes the schema).
 
@@ -28,7 +28,7 @@ def series_ids(df: DataFrame) -> DataFrame:
     return df.withColumn("id", F.concat_ws("_", "product_id", "store_id"))
 
 
-def wide_sales(star: Star, fill_zero: bool = True) -> DataFrame:
+def wide_sales(star: Star, fill_zero: bool = False) -> DataFrame:
     """The wide table of ``star`` -- the materialised one when the star
     carries it (the load job writes it once), else built by a pivot."""
     if getattr(star, "wide", None) is not None:
@@ -36,7 +36,7 @@ def wide_sales(star: Star, fill_zero: bool = True) -> DataFrame:
     return build_wide(star, fill_zero)
 
 
-def build_wide(star: Star, fill_zero: bool = True) -> DataFrame:
+def build_wide(star: Star, fill_zero: bool = False) -> DataFrame:
     n_days = star.calendar.count()
     first = star.first_day()
     long = (star.sales
