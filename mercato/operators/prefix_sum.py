@@ -24,18 +24,21 @@ from pyspark.sql import functions as F
 
 
 def prefix_sum(df: DataFrame, value: str, order: Sequence[Column], out: str = "cumulative",
-               num_partitions: int | None = None) -> DataFrame:
+               num_partitions: int | None = None, total: str | None = None) -> DataFrame:
+    """``df`` with the running sum ``out`` and, if named, the sum of all rows ``total``.
+    The input is computed once: range sampling and the sorting pass read its checkpoint."""
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    ranged = (df.checkpoint(eager=True).repartitionByRange(n, *order).sortWithinPartitions(*order)
               .withColumn("_pid", F.spark_partition_id()))
     ranged = ranged.checkpoint(eager=True)
 
     totals = ranged.groupBy("_pid").agg(F.sum(value).alias("_part_total"))
     # bounded by the partition count: a single-partition window is safe here
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_pid", F.coalesce(F.sum("_part_total").over(before),
-                                               F.lit(0)).alias("_offset"))
+    everything = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    offsets = totals.select("_pid", F.coalesce(F.sum("_part_total").over(before), F.lit(0)).alias("_offset"),
+                            *([F.sum("_part_total").over(everything).alias(total)] if total else []))
 
     running = Window.partitionBy("_pid").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)

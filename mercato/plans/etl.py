@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,10 +24,10 @@ from mercato.sources.wide import ID_COLS, series_ids, wide_sales
 CALENDAR_COLS = ["date", "d", "wm_yr_wk", "weekday", "wday", "month", "year",
                  "event_name_1", "event_type_1", "event_name_2", "event_type_2",
                  "snap_CA", "snap_TX", "snap_WI"]
-ENRICH_CAL_COLS = ["d", "date", "wm_yr_wk", "year", "month", "weekday", "wday",
-                   "event_name_1", "event_type_1", "snap_CA", "snap_TX", "snap_WI"]
+#: fixed values: the column lists of the stored tables
 AGG_KEYS = ["date", "cat_id", "dept_id", "store_id", "state_id", "year", "month", "weekday",
             "wday", "event_name_1", "snap_CA", "snap_TX", "snap_WI"]
+ENRICH_CAL_COLS = ["d", "wm_yr_wk", *[c for c in AGG_KEYS if c in CALENDAR_COLS]]
 SAMPLE_COLS = ["date", "product_id", "item_id", "dept_id", "cat_id", "store_id", "state_id",
                "year", "month", "weekday", "wday", "event_name_1", "snap_CA", "snap_TX",
                "snap_WI", "units_sold", "sell_price"]
@@ -149,14 +150,60 @@ def run_etl(wide: DataFrame, calendar: DataFrame, prices: DataFrame, out_dir: st
     return verify_outputs(wide.sparkSession, out_dir)
 
 
+#: every file that the jobs leave, with its columns
+OUTPUTS = {
+    "calendar_clean": CALENDAR_COLS,
+    "daily_aggregated": [*AGG_KEYS, "total_units", "total_revenue"],
+    "sales_enriched_sample": SAMPLE_COLS,
+    "abc_classification": ["product_id", "store_id", "total_units_sold", "total_revenue", "revenue_pct",
+                           "cumulative_pct", "abc_class", "analysis_date"],
+    "inventory_recommendations": ["product_id", "store_id", "avg_daily_demand", "demand_std", "lead_time_days",
+                                  "service_level_z", "safety_stock", "reorder_point", "eoq", "forecast_30d",
+                                  "current_stock_proxy", "recommended_order_qty", "analysis_date"],
+    "stockout_risk": ["product_id", "store_id", "current_stock_proxy", "forecast_demand_7d", "risk_score",
+                      "risk_level", "days_to_stockout", "alert_date"],
+    "category_forecasts": ["cat_id", "forecast_date", "predicted_demand", "lower_ci", "upper_ci"],
+    "store_forecasts": ["store_id", "forecast_date", "predicted_demand", "lower_ci", "upper_ci"],
+}
+
+
+def run_analytics(star: Star, out_dir: str) -> dict[str, int]:
+    """The tables that the inventory and forecasting analyses store, under the schema's names;
+    recommendations are computed once, for two of them."""
+    from mercato.plans import forecasting, inventory
+    spark, today = star.sales.sparkSession, F.current_date()
+    path = lambda name: os.path.join(out_dir, f"{name}.parquet")
+
+    def write(name: str, df: DataFrame) -> None:
+        df.select(*OUTPUTS[name]).write.mode("overwrite").parquet(path(name))
+
+    write("abc_classification", inventory.abc_classification(star)
+          .withColumnRenamed("total_units", "total_units_sold").withColumn("analysis_date", today))
+    recs = inventory.policy_table(star)
+    recs.write.mode("overwrite").parquet(path("_policy"))
+    recs = spark.read.parquet(path("_policy"))
+    write("inventory_recommendations", recs.withColumn("service_level_z", F.lit(inventory.Z_SCORE))
+          .withColumn("analysis_date", today))
+    write("stockout_risk", inventory.stockout_risk(star, recs).withColumn("alert_date", today))
+    write("category_forecasts", forecasting.fc_category_90d(star))
+    write("store_forecasts", forecasting.fc_store_30d(star))
+    return verify_outputs(spark, out_dir)
+
+
 def verify_outputs(spark, out_dir: str) -> dict[str, int]:
-    """Read every output back: row count, column count, bytes on disk."""
+    """Read every output back: rows, bytes on disk, columns that are missing or too many (their
+    number; 0 is right). A file that isn't there has -1 rows."""
     report = {}
-    for name in ("calendar_clean", "daily_aggregated", "sales_enriched_sample"):
-        df = spark.read.parquet(os.path.join(out_dir, f"{name}.parquet"))
+    for name, columns in OUTPUTS.items():
+        try:
+            df = spark.read.parquet(os.path.join(out_dir, f"{name}.parquet"))
+        except AnalysisException:
+            report[name] = -1
+            continue
         stats = df.select(F.input_file_name().alias("f"), F.col("_metadata.file_size").alias("s")) \
             .distinct().agg(F.sum("s")).collect()[0][0]
         report[name] = df.count()
         report[f"{name}_columns"] = len(df.columns)
+        report[f"{name}_unexpected"] = len(set(df.columns) ^ set(columns))
         report[f"{name}_bytes"] = int(stats or 0)
     return report

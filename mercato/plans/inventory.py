@@ -57,9 +57,9 @@ def series_revenue(star: Star) -> DataFrame:
 
 def abc_classification(star: Star, a: float = ABC_A, b: float = ABC_B) -> DataFrame:
     rev = series_revenue(star)
-    total = rev.agg(F.sum("revenue")).scalar()
     order = [F.desc("revenue"), F.asc("product_id"), F.asc("store_id")]
-    cum = prefix_sum(rev, "revenue", order, out="cum")
+    cum = prefix_sum(rev, "revenue", order, out="cum", total="all")
+    total = F.col("all")
     # exact decimal comparison of the running total with the class cut-offs
     cls = (F.when(F.col("cum") <= total * F.lit(Decimal(str(a))), "A")
            .when(F.col("cum") <= total * F.lit(Decimal(str(b))), "B").otherwise("C"))
@@ -118,7 +118,8 @@ def _policy(stats: DataFrame) -> DataFrame:
             .withColumn("eoq", eoq))
 
 
-def _recommendations_raw(star: Star) -> DataFrame:
+def policy_table(star: Star) -> DataFrame:
+    """Demand statistics, policy and stock proxy of every series."""
     stats = _policy(demand_stats(star))
     stock = stock_proxy(star)
     out = stats.join(stock, SERIES, "left").withColumn(
@@ -137,13 +138,13 @@ def _recommendations_raw(star: Star) -> DataFrame:
 
 def inventory_recommendations(star: Star) -> DataFrame:
     """The recommendations table; float statistics reported to 8 decimals."""
-    r = _recommendations_raw(star)
+    r = policy_table(star)
     return r.withColumn("demand_std", F.round("demand_std", 8)).withColumn(
         "avg_price", F.round("avg_price", 8))
 
 
 def stockout_risk(star: Star, recs: DataFrame | None = None, keep=()) -> DataFrame:
-    r = recs if recs is not None else _recommendations_raw(star)
+    r = recs if recs is not None else policy_table(star)
     stock = F.col("current_stock_proxy")
     fc7 = F.col("forecast_7d")
     score = fc7 / F.when(stock == 0, F.lit(0.1)).otherwise(stock.cast("double"))
@@ -220,7 +221,7 @@ def inv_metric_histogram(star: Star, bins: int = 30, quantile: float = 0.95) ->
     """30-bin histograms of safety stock, reorder point and EOQ per category,
     each below its metric's p95: the recommendations are computed once and
     unpivoted to (metric, category, value)."""
-    recs = _recommendations_raw(star)
+    recs = policy_table(star)
     metrics = ["safety_stock", "reorder_point", "eoq"]
     long = recs.select("cat_id", *metrics).unpivot(["cat_id"], metrics, "metric", "value")
     return histogram(long, "value", bins, keys=["metric", "cat_id"], below_quantile=quantile,
@@ -234,7 +235,7 @@ def inv_executive_summary(star: Star) -> DataFrame:
         F.count_if(F.col("abc_class") == "A").alias("class_a_skus"),
         F.count_if(F.col("abc_class") == "B").alias("class_b_skus"),
         F.count_if(F.col("abc_class") == "C").alias("class_c_skus"))
-    risk = stockout_risk(star, _recommendations_raw(star), keep=("recommended_order_qty",))
+    risk = stockout_risk(star, policy_table(star), keep=("recommended_order_qty",))
     hc, lp = _impact_columns()
     r = risk.agg(F.struct(
         F.count_if(F.col("risk_level") == "HIGH").alias("high"),

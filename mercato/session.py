@@ -36,12 +36,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts.
 
     Read ``spark.checkpoint.dir`` from the session (the cluster names a
-    shared, fault-tolerant folder there). Only when it is unset -- tests,
-    a laptop -- fall back to a fresh local scratch folder."""
+    shared, fault-tolerant folder there). Only when it is unset and all runs
+    in this process -- tests, a laptop -- a fresh local folder takes its place;
+    on a cluster each executor would write to a folder of its own."""
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir", None) or spark.conf.get(
         "spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="mercato-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -50,15 +50,89 @@ def test_price_missing_week(spark):
 
 
 def test_null_event_group_kept(spark):
-    long = spark.createDataFrame(
-        [("A", "d_1", 1), ("A", "d_2", 2), ("A", "d_3", 3)], "id string, d string, units_sold int")
-    cal = spark.createDataFrame(
-        [("d_1", None), ("d_2", "Christmas"), ("d_3", None)], "d string, event_name_1 string")
-    g = long.join(cal, "d").groupBy("event_name_1").agg(F.sum("units_sold").alias("u"))
-    got = {r.event_name_1: r.u for r in g.collect()}
+    rows = [("2024-01-06", None, 1), ("2024-01-06", "Christmas", 2), ("2024-01-06", None, 3)]
+    df = spark.createDataFrame(rows, "date string, event_name_1 string, units_sold int")
+    for c in etl.AGG_KEYS:
+        if c not in df.columns:
+            df = df.withColumn(c, F.lit(1))
+    got = {r.event_name_1: r.total_units for r in etl.aggregate_daily(df.withColumn("revenue", F.lit(0))).collect()}
     assert got == {None: 4, "Christmas": 2}
 
 
+def test_zero_rows_are_no_sales(spark):
+    """A dense fact: one sale, two rows with 0 units."""
+    sales = [("2024-01-06", "P1", "S1", 4), ("2024-01-07", "P1", "S1", 0), ("2024-01-08", "P2", "S1", 0)]
+    prices = [("S1", p, "2024-01-06", 2.0) for p in ("P1", "P2")]
+    star = make_star(spark, sales, "2024-01-06", "2024-01-12", prices=prices,
+                     products=[("P1", "D", "FOODS"), ("P2", "D", "HOBBIES")])
+    assert kpi.kpi01_totals(star).collect()[0].total_transactions == 1
+    assert kpi.kpi27_cumulative_revenue(star).count() == 1
+    assert kpi.kpi28_category_pairs(star).count() == 0
+    zero = {r.product_id: r.zero_sale_days for r in kpi.kpi29_zero_sales(star).collect()}
+    assert zero == {"P1": 6, "P2": 7}
+
+
+def test_no_division_by_zero(spark):
+    """A year without sales between two others; a state that only sells on SNAP days."""
+    from mercato.plans import eda
+    sales = [("2022-01-02", "P1", "S1", 1), ("2024-01-02", "P1", "S1", 2)]
+    star = make_star(spark, sales, "2022-01-01", "2024-01-03", prices=[("S1", "P1", "2022-01-02", 1.0)])
+    yoy = {r.year: r for r in eda.eda_yoy(star).collect()}
+    assert yoy[2023].yoy_units_growth == -100 and yoy[2024].yoy_units_growth is None
+    lift = eda.eda_snap_lift(star).collect()[0]
+    assert lift.non_snap_day == 0 and lift.lift_pct is None
+    nothing = make_star(spark, [("2024-01-02", "P1", "S1", 0)], "2024-01-01", "2024-01-03")
+    assert kpi.kpi08_category_revenue(nothing).count() == 0
+    assert {r.rev_pct for r in inventory.inv_abc_summary(nothing).collect()} == {None}
+
+
+def test_weekdays_keep_their_places(spark):
+    from mercato.plans import eda
+    star = make_star(spark, [("2024-01-06", "P1", "S1", 7)], "2024-01-06", "2024-01-08")
+    got = {r.weekday: (r.day_order, r.mean_units) for r in eda.eda_weekday_mean(star).collect()}
+    assert len(got) == 7 and got["Saturday"] == (6, 7.0) and got["Tuesday"] == (2, None) and got["Monday"] == (1, 0.0)
+
+
+def test_null_keys_are_no_duplicates(spark):
+    from mercato.plans.audit import audit_constraints, duplicate_keys
+    df = spark.createDataFrame([(None, 1), ("a", 1), ("b", 1), ("b", 1)], "k string, v int")
+    assert df.select(duplicate_keys(df, ["k"]).alias("n")).first().n == 1
+    star = make_star(spark, [("2024-01-06", "P1", "S1", 1)], "2024-01-06", "2024-01-06")
+    star.sales = star.sales.unionByName(spark.createDataFrame(
+        [(None, "P1", "S1", 1), (None, "P2", "S1", 1)], star.sales.schema))
+    got = {r.constraint_name: r.violations for r in audit_constraints(star).collect()}
+    assert got["pk_fact_sales"] == 0 and got["nn_fact_sales"] == 2
+    assert got["fk_sales_calendar"] == 0 and got["fk_sales_product"] == 1
+
+
+@pytest.mark.parametrize("q", [0.0, 0.3, 0.95, 1.0])
+def test_quantile_by_counts(spark, q):
+    from mercato.operators.histogram import quantile
+    rng = np.random.default_rng(int(q * 100))
+    rows = [(k, int(v)) for k in ("a", "b", "c") for v in rng.integers(0, 30, rng.integers(1, 90))]
+    got = {r.k: r.c for r in quantile(spark.createDataFrame(rows, "k string, v int"), "v", q, ["k"], "c").collect()}
+    for k in got:
+        assert got[k] == pytest.approx(np.quantile([v for n, v in rows if n == k], q))
+
+
+def test_row_order_of_ordered_queries(spark):
+    from mercato.plans.ordering import ORDER, ordered
+    from mercato.plans.registry import star_queries
+    assert set(ORDER) <= set(star_queries()) and len(ORDER) == 30
+    df = spark.createDataFrame([("a", 2.0), ("b", None), ("c", 5.0), ("d", 2.0)], "cat_id string, total_revenue double")
+    assert [r.cat_id for r in ordered("kpi08_category_revenue", df).collect()] == ["b", "c", "a", "d"]
+    up = df.select(F.col("total_revenue").alias("year"), F.col("cat_id").alias("month"))
+    assert [r.month for r in ordered("kpi02_monthly_revenue", up).collect()] == ["a", "d", "c", "b"]
+    sales = [(f"2024-0{m}-0{k + 2}", f"P{k}", f"S{k % 2}", k + m) for m in (1, 2, 3) for k in range(5)]
+    prices = [(f"S{k % 2}", f"P{k}", f"2024-0{m}-0{k + 2}", 1.0 + k) for m in (1, 2, 3) for k in range(5)]
+    star = make_star(spark, sales, "2024-01-01", "2024-03-20", prices=list(dict.fromkeys(prices)))
+    for name in ("kpi10_monthly_category", "kpi11_store_revenue", "kpi13_store_ranking", "kpi14_weekday", "kpi25_demand_cv",
+                 "kpi27_cumulative_revenue", "bonus1_top5_per_store", "kpi22_reorder_alerts"):
+        rows = [tuple(r) for r in star_queries()[name](star).collect()]
+        again = [tuple(r) for r in ordered(name, spark.createDataFrame(rows, star_queries()[name](star).schema)).collect()]
+        assert rows == again, name
+
+
 def test_abc_tie_at_cut_is_deterministic(spark):
     # revenues 40, 25, 25, 10 (total 100): cumulative 40, 65, 90, 100; P2 and
     # P3 tie, the tie key puts P2 first; P3 crosses 70 % and lands in B.

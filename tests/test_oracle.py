@@ -1,7 +1,5 @@
 """Every registered query against its DuckDB oracle on the sf0.001 tables
-(rows-only queries: they run and return rows). The large row-level outputs
-(views, melt, wide audit) run only with MERCATO_SLOW=1; the driver checks
-all of them at sf0.01."""
+(rows-only queries: they run and return rows)."""
 
 from __future__ import annotations
 
@@ -13,8 +11,6 @@ import __spark_entry__ as E
 from oracle_compare import compare, duck_connect
 
 SF = os.environ.get("MERCATO_TEST_SF", "/root/testdata/sf0.001")
-SLOW = {"view_daily_sales", "view_daily_sales_revenue", "etl_melt", "audit_report",
-        "kpi21_rolling_demand", "etl_top200_sample", "etl_daily_aggregated"}
 QUERIES = E.queries()
 ORACLE = E.oracle_sql()
 
@@ -28,8 +24,6 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, name):
-    if name in SLOW and not os.environ.get("MERCATO_SLOW"):
-        pytest.skip("large row-level output; set MERCATO_SLOW=1")
     if name not in ORACLE:
         assert QUERIES[name](spark, SF).count() > 0
         return

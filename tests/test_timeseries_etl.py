@@ -50,8 +50,8 @@ def test_forecast_beats_seasonal_naive_and_is_deterministic():
     rng = np.random.default_rng(0)
     y = 50 + 0.1 * t + 8 * np.sin(2 * np.pi * t / 7) + rng.normal(0, 1.0, n)
     ds = (np.datetime64("2020-01-01") + t).astype("datetime64[D]").astype("int64")
-    res = fit_predict(ds, y, [[] for _ in t], n - h)
-    res2 = fit_predict(ds, y, [[] for _ in t], n - h)
+    res = fit_predict(ds, y, {}, n - h)
+    res2 = fit_predict(ds, y, {}, n - h)
     assert np.array_equal(res["yhat"], res2["yhat"])
     model_mae = np.mean(np.abs(y[-h:] - res["yhat"][-h:]))
     naive = np.array([y[n - h - 7 + (i % 7)] for i in range(h)])
@@ -111,26 +111,60 @@ def test_etl_job_on_csv(spark, tmpdir_path):
     assert report["daily_aggregated_bytes"] > 0
 
 
-def test_incremental_daily_aggregate_matches_batch(spark, tmpdir_path):
-    from mercato.plans.etl import aggregate_daily, enrich
-    from mercato.sources.m5 import load_raw
-    from mercato.sources.wide import ID_COLS
-    from mercato.operators.melt import melt_wide
-    from mercato.streaming import run_incremental
-    raw = os.path.join(tmpdir_path, "raw")
+def test_all_outputs_are_written_and_verified(spark, tmpdir_path):
+    from mercato.plans.etl import OUTPUTS, run_analytics, run_etl, verify_outputs
+    from mercato.sources.m5 import load_raw, star_from_m5
+    raw, out = os.path.join(tmpdir_path, "raw"), os.path.join(tmpdir_path, "out")
     os.makedirs(raw)
     _write_inputs(raw)
     wide, cal, prices = load_raw(spark, raw)
-    long = melt_wide(wide, ID_COLS)
-    src = os.path.join(tmpdir_path, "incoming")
-    # two arrivals: series A/B, then series C
-    long.where(F.col("id") != "C_S2").write.parquet(os.path.join(src, "part1"))
-    long.where(F.col("id") == "C_S2").write.mode("append").parquet(os.path.join(src, "part1"))
-    out = os.path.join(tmpdir_path, "agg")
-    q = run_incremental(spark, os.path.join(src, "part1"), cal, prices, out,
-                        checkpoint=os.path.join(tmpdir_path, "ckpt"))
-    q.awaitTermination(120)
-    got = spark.read.parquet(out).agg(F.sum("total_units"), F.count(F.lit(1))).collect()[0]
-    want = aggregate_daily(enrich(long, cal, prices.withColumnRenamed("item_id", "product_id"))).agg(
-        F.sum("total_units"), F.count(F.lit(1))).collect()[0]
-    assert tuple(got) == tuple(want)
+    run_etl(wide, cal, prices, out, k=2)
+    half = verify_outputs(spark, out)
+    assert half["stockout_risk"] == -1 and half["calendar_clean"] == 10
+    star = star_from_m5(wide, cal, prices)
+    report = run_analytics(star, out)
+    assert all(report[f"{name}_unexpected"] == 0 for name in OUTPUTS)
+    # the series that never sold has its row in each table
+    assert report["abc_classification"] == report["inventory_recommendations"] == report["stockout_risk"] == 3
+    risk = {r.product_id: r for r in spark.read.parquet(os.path.join(out, "stockout_risk.parquet")).collect()}
+    assert risk["B"].forecast_demand_7d == 0 and risk["B"].alert_date is not None
+    # ten days are no history for 90 or 30 held-out ones
+    assert report["category_forecasts"] == report["store_forecasts"] == 0
+
+
+def test_star_from_files_keeps_series_that_never_sold(spark, tmpdir_path):
+    from mercato.plans import audit, kpi
+    from mercato.sources.m5 import load_raw, star_from_m5
+    _write_inputs(tmpdir_path)
+    star = star_from_m5(*load_raw(spark, tmpdir_path))
+    assert star.series().count() == 3 and star.sales.where("units_sold <= 0").count() == 0
+    zero = {r.product_id: r for r in kpi.kpi29_zero_sales(star).collect()}
+    assert zero["B"].zero_sale_days == zero["B"].total_days == 10
+    totals = kpi.kpi01_totals(star).collect()[0]
+    assert totals.total_transactions == star.sales.count()
+    report = {r.table_name: r for r in audit.audit_report(star).collect()}
+    assert report["sales_wide"].always_zero_series == 1 and report["sales_wide"].always_zero_pct == pytest.approx(33.33)
+    assert report["sell_prices"].unique_items == 3 and report["sell_prices"].unique_stores == 2
+
+
+def test_short_series_do_not_decompose(spark):
+    with pytest.raises(Exception, match="fewer than two periods"):
+        decompose(_series(spark, range(20)), ["k"], "ds", "y", 14).collect()
+
+
+def test_forecast_future_and_short_history():
+    from mercato.operators.forecast import forecast_group
+    n, horizon = 400, 20
+    t = np.arange(n)
+    days = (np.datetime64("2021-01-01") + t).astype("datetime64[D]")
+    first = int(days[0].astype("int64"))
+    feast = {first + k: ["Feast|0"] for k in (50, 150, 250, 350, n + 5)}
+    y = 100.0 + 40.0 * np.isin(t, (50, 150, 250, 350)) + 0.3 * np.maximum(t - 150, 0) - 0.5 * np.maximum(t - 300, 0)
+    pdf = pd.DataFrame({"a": "x", "b": "y", "ds": days, "y": y})
+    out = forecast_group(pdf, ["a", "b"], horizon, feast, mode="future").reset_index(drop=True)
+    assert len(out) == horizon and list(out.columns[-2:]) == ["a", "b"]
+    assert out.predicted_demand[5] > out.predicted_demand.drop(5).max() + 15     # the known feast ahead
+    width = (out.upper_ci - out.lower_ci).to_numpy()
+    assert (np.diff(width) > 0).all()            # the trend's uncertainty grows
+    assert len(forecast_group(pdf.head(20), ["a", "b"], 20, {})) == 0
+    assert len(forecast_group(pdf.head(25), ["a", "b"], 20, {})) == 20
