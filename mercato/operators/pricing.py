@@ -27,8 +27,12 @@ def with_price(sales: DataFrame, calendar: DataFrame, prices: DataFrame,
     """Add ``sell_price`` (DECIMAL(10,2)) and ``revenue = units * price``.
 
     ``how='left'`` keeps unpriced rows with NULL price/revenue (the view
-    semantics); ``how='inner'`` drops them (the KPI semantics)."""
+    semantics); ``how='inner'`` drops them (the KPI semantics). A stored fact
+    carries its price (``sources.fixture.materialize_star``) and isn't joined again."""
     s = with_week(sales, calendar)
+    if "sell_price" in s.columns:
+        out = s if how == "left" else s.where(F.col("sell_price").isNotNull())
+        return out.withColumn("revenue", F.col("units_sold") * F.col("sell_price"))
     out = s.join(prices.select(*PRICE_KEYS, "sell_price"), PRICE_KEYS, how)
     return out.withColumn("revenue", F.col("units_sold") * F.col("sell_price"))
 

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mercato.functions import calendar as cal
+from mercato.operators.pricing import with_price
 from mercato.sources.testdata import read_table
 
 
@@ -170,8 +171,13 @@ def materialize_star(star: Star, path: str, with_wide: bool = True) -> Star:
     writes the wide daily file (the raw input of the melt ETL and audit)."""
     import os
     spark = star.sales.sparkSession
+    # the fact is stored with its week and price, so that no query joins them again, and in
+    # ranges of days: a query over the last weeks skips the other files' row groups
+    priced = with_price(star.sales, star.calendar, star.prices, "left").select(
+        "date", "product_id", "store_id", "units_sold", "wm_yr_wk", "sell_price")
     tables = {"dim_calendar": star.calendar, "dim_product": star.product, "dim_store": star.store,
-              "fact_sales": star.sales, "fact_prices": star.prices}
+              "fact_sales": priced.repartitionByRange("date").sortWithinPartitions("date"),
+              "fact_prices": star.prices}
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(os.path.join(path, name))
     read = {name: spark.read.parquet(os.path.join(path, name)) for name in tables}
