@@ -56,15 +56,18 @@ def expand_days(keys: DataFrame, first: Column, last: Column) -> DataFrame:
 
 
 def dense_rows(sales: DataFrame, series: DataFrame, first: Column, last: Column,
-               keys: Sequence[str] = SERIES) -> DataFrame:
-    """Dense fact rows (date, *keys, units_sold) for the given series.
+               keys: Sequence[str] = SERIES, prices: DataFrame | None = None,
+               calendar: DataFrame | None = None) -> DataFrame:
+    """Dense fact rows (date, *keys, units_sold) for the given series; with ``prices`` and
+    ``calendar`` also sell_price, null in weeks without one.
 
     Sales and series are hash-partitioned by the series keys (an explicit
     partition count, so AQE cannot fold the later N-fold expansion into a
     few tasks); the day grid is generated inside those partitions and merged
     with the sales by a union + group-by on (keys, date), which that
     partitioning already satisfies -- the expanded grid is never shuffled
-    (a join on (keys, date) would reshuffle it)."""
+    (a join on (keys, date) would reshuffle it). Prices join the same union, each week's
+    row spread over its at most seven days."""
     keys = list(keys)
     spark = sales.sparkSession
     n = max(spark.sparkContext.defaultParallelism,
@@ -74,5 +77,14 @@ def dense_rows(sales: DataFrame, series: DataFrame, first: Column, last: Column,
             .join(ser, keys, "left_semi"))
     grid = ser.select(*keys, F.explode(F.sequence(first, last)).alias("date"),
                       F.lit(0).alias("units_sold"))
-    return (grid.unionByName(sold.select(*keys, "date", "units_sold"))
-            .groupBy("date", *keys).agg(F.sum("units_sold").cast("int").alias("units_sold")))
+    rows = grid.unionByName(sold.select(*keys, "date", "units_sold"))
+    units = F.sum("units_sold").cast("int").alias("units_sold")
+    if prices is None:
+        return rows.groupBy("date", *keys).agg(units)
+    days = F.broadcast(calendar.where((F.col("date") >= first) & (F.col("date") <= last)).select("date", "wm_yr_wk"))
+    priced = (prices.select(*keys, "wm_yr_wk", "sell_price").repartition(n, *keys)
+              .join(ser, keys, "left_semi").join(days, "wm_yr_wk")
+              .select(*keys, "date", F.lit(0).alias("units_sold"), "sell_price"))
+    no_price = F.lit(None).cast(prices.schema["sell_price"].dataType)
+    return (rows.withColumn("sell_price", no_price).unionByName(priced)
+            .groupBy("date", *keys).agg(units, F.max("sell_price").alias("sell_price")))

@@ -109,8 +109,7 @@ def etl_top200_sample(star: Star, k: int = 200) -> DataFrame:
         F.sum("units_sold").cast("bigint").alias("lifetime_units")))
     top = totals.orderBy(F.desc("lifetime_units"), "id").limit(k).select("id", "product_id", "store_id")
     dense = dense_rows(star.sales, top.select("product_id", "store_id"), star.first_day(),
-                       star.last_day())
-    dense = with_price(dense, star.calendar, star.prices, "left")
+                       star.last_day(), prices=star.prices, calendar=star.calendar)
     cal = F.broadcast(star.calendar.select("date", "year", "month", "weekday", "wday", "event_name_1",
                                            "snap_CA", "snap_TX", "snap_WI"))
     out = (dense.join(cal, "date")

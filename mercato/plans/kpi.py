@@ -422,23 +422,29 @@ def bonus3_store_category_share(star: Star) -> DataFrame:
 
 # ------------------------------------------------------------------ views
 
-def view_daily_sales(star: Star) -> DataFrame:
-    """``vw_daily_sales`` over the dense fact (no surrogate id)."""
-    dense = dense_rows(star.sales, star.series(), star.first_day(), star.last_day())
+VIEW_COLUMNS = ["date", "year", "month", "weekday", "is_weekend", "is_event", "event_name_1", "snap_CA", "snap_TX",
+                "snap_WI", "product_id", "dept_id", "cat_id", "store_id", "state_id", "units_sold"]
+
+
+def _view_rows(star: Star, dense: DataFrame) -> DataFrame:
     c = star.calendar.select("date", "year", "month", "weekday", "is_weekend", "is_event",
                              "event_name_1", "snap_CA", "snap_TX", "snap_WI")
     return (dense.join(F.broadcast(c), "date")
             .join(star.product.select("product_id", "dept_id", "cat_id"), "product_id")
-            .join(star.store, "store_id")
-            .select("date", "year", "month", "weekday", "is_weekend", "is_event", "event_name_1",
-                    "snap_CA", "snap_TX", "snap_WI", "product_id", "dept_id", "cat_id",
-                    "store_id", "state_id", "units_sold"))
+            .join(star.store, "store_id"))
+
+
+def view_daily_sales(star: Star) -> DataFrame:
+    """``vw_daily_sales`` over the dense fact (no surrogate id)."""
+    dense = dense_rows(star.sales, star.series(), star.first_day(), star.last_day())
+    return _view_rows(star, dense).select(*VIEW_COLUMNS)
 
 
 def view_daily_sales_revenue(star: Star) -> DataFrame:
     """The view + weekly price and revenue (money reported as DOUBLE, exact
     for cents)."""
-    v = view_daily_sales(star)
-    return (with_price(v, star.calendar, star.prices, "left").drop("wm_yr_wk")
-            .withColumn("sell_price", F.col("sell_price").cast("double"))
-            .withColumn("revenue", F.col("revenue").cast("double")))
+    dense = dense_rows(star.sales, star.series(), star.first_day(), star.last_day(),
+                       prices=star.prices, calendar=star.calendar)
+    price = F.col("sell_price")
+    return _view_rows(star, dense).select(*VIEW_COLUMNS, price.cast("double").alias("sell_price"),
+                                          (F.col("units_sold") * price).cast("double").alias("revenue"))
