@@ -42,12 +42,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mercato.llm.common import freeze, prepare_workers, read_table
-from mercato.llm.textbytes import chunks, column, mix, span_hashes
+from mercato.llm.textbytes import chunks, column, mix, rolling_hashes, span_hashes
 
 SPAN = 50
 SEED = 16
 LEFT = SPAN - SEED
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: text for each range of seeds: some 350,000 anchors
 RANGE_BYTES = 6 << 20
 HOT = 60_000
@@ -68,7 +68,7 @@ def shards(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
     prepare_workers(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press, number = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId() << 32
+        press, number = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId() << 32
         ids, ends, parts, size = [], [0], [], 0
 
         def flush() -> pa.RecordBatch:
@@ -112,20 +112,19 @@ def anchors(shard: Shard) -> Anchors:
     none = np.zeros(0, np.int64)
     if len(data) < SPAN:
         return Anchors(none, none.view(np.uint64), none, none, none)
-    place = np.arange(len(data) - SEED + 1)
-    seed = span_hashes(data, place, place + SEED)
-    least = (seed & ~_POSITION) | (_POSITION - place.astype(np.uint64))   # equal hashes: the last
+    seed = rolling_hashes(data, SEED)
+    least = seed & ~_POSITION
+    least |= _POSITION - np.arange(len(seed), dtype=np.uint64)           # equal hashes: the last
     width, have = LEFT + 1, 1
     while 2 * have <= width:
-        least = np.minimum(least[:-have], least[have:])
+        least = np.minimum(least[:-have], least[have:], out=least[:-have])
         have *= 2
     if have < width:
-        least = np.minimum(least[:have - width], least[width - have:])
-    bounds = np.zeros(len(data) + 1, np.int64)
-    long = np.flatnonzero(np.diff(at) >= SPAN)
-    np.add.at(bounds, at[:-1][long], 1)
-    np.add.at(bounds, at[1:][long] - SPAN + 1, -1)
-    start = np.flatnonzero(np.cumsum(bounds[:len(least)]) > 0)            # windows within a document
+        least = np.minimum(least[:have - width], least[width - have:], out=least[:have - width])
+    inside = np.zeros(len(least), bool)                                  # windows within a document
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        inside[a:max(a, b - SPAN + 1)] = True
+    start = np.flatnonzero(inside)
     if not len(start):
         return Anchors(none, none.view(np.uint64), none, none, none)
     chosen = (_POSITION - (least[start] & _POSITION)).astype(np.int64)
@@ -351,7 +350,7 @@ def _flags(row: dict) -> np.ndarray:
 
 def _send_runs(table: DataFrame, ranges: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for row in batch.to_pylist():
                 shard = _unpack(row)
@@ -361,7 +360,7 @@ def _send_runs(table: DataFrame, ranges: int) -> DataFrame:
                 for r, s in _by_range(ctx.range):
                     shared, rest = front_code(ctx.right[s])
                     out.append((r, row["shard"], s.stop - s.start, press.compress(
-                        shared.tobytes() + ctx.sizes[s].tobytes() + ctx.left[s].tobytes() + rest.tobytes()), ctx.least[s].tobytes()))
+                        shared.tobytes() + ctx.sizes[s].tobytes() + ctx.left[s].tobytes() + rest.tobytes()), press.compress(ctx.least[s].tobytes())))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (
                         pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)],
@@ -383,7 +382,7 @@ def _merge(sent: DataFrame) -> DataFrame:
             runs.append((keys, shared.tolist()))
             lefts.append(left.reshape(n, LEFT))
             sizes.append(size.reshape(n, 2))
-            least.append(np.frombuffer(row["least"], np.int64))
+            least.append(np.frombuffer(press.decompress(row["least"]), np.int64))
         order, shared = loser_tree(runs)
         many = np.array([len(x) for x in least])
         base = np.cumsum(many) - many

@@ -91,6 +91,24 @@ def _powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
+def rolling_hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """``span_hashes`` of all spans of ``size`` bytes, in little memory."""
+    power, inverse = _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.add(data, np.uint64(1), out=sums[1:])
+    sums[1:] *= power[:len(data)]
+    np.cumsum(sums, out=sums)
+    out = sums[size:] - sums[:-size]
+    del sums
+    out *= inverse[:len(out)]
+    out += np.uint64(size)
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        out ^= out >> np.uint64(33)
+        out *= np.uint64(factor)
+    out ^= out >> np.uint64(33)
+    return out
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
