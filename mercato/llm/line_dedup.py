@@ -74,12 +74,13 @@ def line_runs(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORD
             F.array(F.col("part")[0]["no"]).alias("nos"))))
         .otherwise(F.array()))).alias("r")).select("doc_id", "body", "r.*")
     place = F.struct("doc_id", "body", "fp_at")
-    prints = (runs.groupBy("fp").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-              .where("first != last").select("fp"))
+    # written, so that the join with them is one that Spark can split at a hot line
+    prints = freeze(runs.groupBy("fp").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+                    .where("first != last").select("fp"))
     near = freeze(runs.join(prints, "fp").drop("fp", "fp_at"))       # used twice
     start = F.struct("doc_id", "body", "at")
-    firsts = (near.groupBy("run").agg(F.min(start).alias("first"), F.max(start).alias("last"))
-              .where("first != last").select("run", "first"))
+    firsts = freeze(near.groupBy("run").agg(F.min(start).alias("first"), F.max(start).alias("last"))
+                    .where("first != last").select("run", "first"))
     later = near.join(firsts, "run").where(F.struct("doc_id", "body", "at") > F.col("first"))
     return (later.select("doc_id", "body", F.explode("nos").alias("no"))
             .groupBy("doc_id", "body").agg(F.sort_array(F.collect_set("no")).alias("line_nos")))
