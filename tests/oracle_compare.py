@@ -100,6 +100,29 @@ def compare(spark, con, name, spark_fn, sql, sf_dir):
     return info
 
 
+def compare_in_duckdb(spark, con, name, spark_fn, sql, sf_dir, out):
+    """For large outputs: the Spark rows are written to ``out`` and both sides are subtracted
+    from each other, repeated rows included, in DuckDB."""
+    spark_fn(spark, sf_dir).write.mode("overwrite").parquet(out)
+    source = f"read_parquet('{out}/*.parquet')"
+    kinds = {r[0]: r[1] for r in con.execute(f"DESCRIBE SELECT * FROM {source}").fetchall()}
+    other = {r[0]: r[1] for r in con.execute(f"DESCRIBE SELECT * FROM ({sql})").fetchall()}
+    if set(kinds) != set(other):
+        return {"name": name, "ok": False, "cols": (sorted(kinds), sorted(other))}
+    number = ("INT", "DOUBLE", "FLOAT", "DECIMAL", "BOOLEAN")
+
+    def cols(types):
+        return ", ".join(f"ROUND(CAST({c} AS DOUBLE), 6) + 0.0 AS {c}" if any(k in types[c] for k in number)
+                         else f"CAST({c} AS VARCHAR) AS {c}" for c in sorted(types))
+    a, b = f"SELECT {cols(kinds)} FROM {source}", f"SELECT {cols(other)} FROM ({sql})"
+    con.execute(f"CREATE OR REPLACE TEMP TABLE _spark AS {a}")
+    con.execute(f"CREATE OR REPLACE TEMP TABLE _oracle AS {b}")
+    rows, extra, missing = con.execute(
+        "SELECT (SELECT COUNT(*) FROM _spark), (SELECT COUNT(*) FROM (FROM _spark EXCEPT ALL FROM _oracle)), "
+        "(SELECT COUNT(*) FROM (FROM _oracle EXCEPT ALL FROM _spark))").fetchone()
+    return {"name": name, "ok": extra == missing == 0, "rows": rows, "extra": extra, "missing": missing}
+
+
 def main(argv):
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     names = argv[2:]
