@@ -18,7 +18,7 @@ import numpy as np
 
 VOCABULARY = "byte_bpe_50k"
 #: pieces kept by a worker, some 200 bytes each; then the table starts anew
-KEPT = 600_000
+KEPT = 300_000
 _ODD = re.compile(r"\s\s|^\s|\s\Z|<\|endoftext\|>")
 _SPECIAL = "<|endoftext|>"
 _made: dict[str, Callable[[str], np.ndarray]] = {}
