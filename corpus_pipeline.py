@@ -28,8 +28,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of alike shingle sets, that of the least doc_id."""
-    return jaccard.keep_one(docs)
+    """One document of each group of alike shingle sets, that of the least doc_id: alike are
+    sets of five-word shingles of which 0.8 or more are shared."""
+    return jaccard.keep_one(docs, size=5, percent=80)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
