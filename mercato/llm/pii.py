@@ -7,12 +7,16 @@ form, attempt), so it is the same wherever the entity occurs and can't be turned
 without the key. It keeps kind and format: digits stay digits, letters keep their case,
 hexadecimal stays so, punctuation and grouping stay; a phone keeps its country code, a card
 its first digit and a valid check digit, an address stays an address; a name is spelled in
-the script of the original, with an ending for the title's gender. The canonical form drops
+the script of the original (in Latin where ``SYLLABLES`` doesn't have it), with an ending for
+the title's gender. The canonical form drops
 grouping and case, so other spellings of a number share one surrogate (coreference).
 
 Collision checks: surrogates of distinct entities must differ, and none may equal an entity
 of the corpus. Losers (all but the first by canonical form) try again with the next attempt,
 until there are none; one round a shuffle of the distinct entities, then of the losers.
+The space grows with the attempt (names get more syllables, others more characters after
+``SAME_FORM`` or ``SAME_DIGITS`` attempts), so the rounds end however many entities there are.
+An e-mail's domain is an entity of its own and draws by itself, once for all its addresses.
 
 All is DataFrame functions. Entities are made distinct (combined before the shuffle), so a
 hot one is one row; only documents that hold an entity are shuffled to be put together again.
@@ -42,7 +46,7 @@ _SECRET = r"(?i:password|passwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']
 #: kind -> pattern; the order decides
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    "secret": rf"\b{_SECRET}[A-Za-z0-9_+/-]{{8,}}",
+    "secret": rf"\b{_SECRET}(?=[_+/-]*[A-Za-z0-9])[A-Za-z0-9_+/-]{{8,}}",
     "access_key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}\b",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -56,11 +60,14 @@ PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 HINT = rf"[0-9@]|(?:{_TITLES})\.? \p{{Lu}}|[=:]"
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 GROUPED = ("card", "phone", "ssn", "iban")
-#: consonants and vowels of names, by script
+#: attempts in the entity's own form; numbers of a fixed length keep it longer
+SAME_FORM, SAME_DIGITS = 4, 16
+#: consonants, vowels and endings of names, by script; the first is that of all other scripts
 SYLLABLES = {
     "Latin": ("bdfgklmnprstv", "aeiou", "a", "n"),
     "Cyrillic": ("бвдгклмнпрст", "аеиоу", "а", "н"),
     "Greek": ("βγδκλμνπρστφ", "αεηιο", "α", "ς"),
+    "Armenian": ("բգդզլխկմնպստ", "աեիոէ", "ա", "ն"),
 }
 
 
@@ -83,8 +90,9 @@ def canonical(kind: Column, value: Column) -> Column:
 
 
 def _stream(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
-    """Hex digits, 64 for every 16 characters of the entity and 64 more."""
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length(canon) / 16).cast("int")), lambda b: F.sha2(
+    """Hex digits, 64 for every 16 characters of the entity and 64 more, and 64 for every 4 attempts."""
+    last = (F.floor(F.length(canon) / 16) + F.floor(attempt / 4)).cast("int")
+    return F.array_join(F.transform(F.sequence(F.lit(0), last), lambda b: F.sha2(
         F.concat_ws("|", F.lit(key), kind, canon, attempt.cast("string"), b.cast("string")).cast("binary"), 256)), "")
 
 
@@ -113,6 +121,13 @@ def _same_shape(text: Column, stream: Column) -> Column:
         .otherwise(c))), "")
 
 
+def _more(canon: Column, stream: Column, attempt: Column, form: int, letters: str) -> Column:
+    """Characters behind a surrogate: none for the first ``form`` attempts, then one more each time as many."""
+    many = F.floor(attempt / form).cast("int")
+    return F.when(many == 0, "").otherwise(F.array_join(F.transform(
+        F.sequence(F.lit(1), many), lambda i: _pick(letters, _number(stream, F.length(canon) + i - 1, len(letters)))), ""))
+
+
 def _phone(canon: Column, stream: Column) -> Column:
     """The country code kept; area and exchange begin with 2 to 9."""
     code = F.greatest(F.lit(0), F.length(canon) - 10)
@@ -131,15 +146,16 @@ def _card(canon: Column, stream: Column) -> Column:
     return F.concat(body, ((10 - total % 10) % 10).cast("string"))
 
 
-def _spelled(token: Column, stream: Column, female: Column, male: Column, first: Column) -> Column:
-    """A name of three syllables and, for a first name, an ending by gender."""
-    out = token
+def _spelled(token: Column, stream: Column, attempt: Column, female: Column, male: Column, first: Column) -> Column:
+    """A name of three syllables, one more for every two attempts, and, for a first name, an ending by gender."""
+    out = None
+    last = (2 + F.floor(attempt / 2)).cast("int")
     for script, (consonants, vowels, a, n) in SYLLABLES.items():
-        letters = F.concat(*[_pick(alphabet, _number(stream, F.lit(2 * s + v), len(alphabet)))
-                             for s in range(3) for v, alphabet in enumerate((consonants, vowels))])
+        letters = F.array_join(F.transform(F.sequence(F.lit(0), last), lambda s: F.concat(  # noqa: B023
+            _pick(consonants, _number(stream, 2 * s, len(consonants))), _pick(vowels, _number(stream, 2 * s + 1, len(vowels))))), "")  # noqa: B023
         ending = F.when(first & female, F.lit(a)).when(first & male, F.lit(n)).otherwise(F.lit(""))
-        spelled = F.concat(F.upper(F.substring(letters, 1, 1)), F.substring(letters, 2, 9), ending)
-        out = F.when(F.regexp_like(token, F.lit(rf"^\p{{Is{script}}}")), spelled).otherwise(out)
+        spelled = F.concat(F.upper(F.substring(letters, 1, 1)), F.substring(letters, F.lit(2), F.length(letters)), ending)
+        out = spelled if out is None else F.when(F.regexp_like(token, F.lit(rf"^\p{{Is{script}}}")), spelled).otherwise(out)
     return out
 
 
@@ -149,27 +165,28 @@ def _named(canon: Column, attempt: Column, key: str) -> Column:
     title = F.regexp_replace(parts[0], r"\.$", "")
     rest = F.slice(parts, F.lit(2), F.size(parts) - 1)
     return F.concat_ws(" ", parts[0], F.array_join(F.transform(rest, lambda t, i: _spelled(
-        t, _stream(F.lit("name"), t, attempt, key), title.isin(*FEMALE), title.isin(*MALE),
+        t, _stream(F.lit("name"), t, attempt, key), attempt, title.isin(*FEMALE), title.isin(*MALE),
         (i == 0) & (F.size(rest) > 1))), " "))
 
 
 def surrogate(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> Column:
-    """The replacement of a canonical form."""
+    """The replacement of a canonical form; of an e-mail address only of what is before the domain."""
     stream = _stream(kind, canon, attempt, key)
+    digits = _more(canon, stream, attempt, SAME_DIGITS, DIGITS)
+    letters = _more(canon, stream, attempt, SAME_FORM, LOWER)
     octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (1 + _number(stream, i, 254)).cast("string")), ".")
-    head, tail = F.substring_index(canon, ".", -1), F.substring_index(canon, "@", 1)
-    domain = F.substring_index(canon, "@", -1)
-    domain = F.substring(domain, F.lit(1), F.length(domain) - F.length(head))
-    of_domain = _stream(F.lit("domain"), domain, attempt * 0, key)
-    return (F.when(kind == "email", F.concat(_same_shape(tail, stream), F.lit("@"), _same_shape(domain, of_domain), head))
-            .when(kind == "access_key", F.concat(F.substring(canon, 1, 4), _same_shape(F.substring(canon, 5, 64), stream)))
-            .when(kind == "iban", F.concat(F.substring(canon, 1, 2), _same_shape(F.substring(canon, 3, 64), stream)))
-            .when(kind == "ssn", F.concat(F.lit("9"), F.substring(_same_shape(canon, stream), 2, 8)))
-            .when(kind == "phone", _phone(canon, stream))
-            .when(kind == "card", _card(canon, stream))
-            .when(kind == "ip", octets)
+    top, local = F.substring_index(canon, ".", -1), F.substring_index(canon, "@", 1)
+    body = F.substring(canon, F.lit(1), F.length(canon) - F.length(top) - 1)
+    return (F.when(kind == "email", F.concat(_same_shape(local, stream), letters, F.lit("@"), F.substring_index(canon, "@", -1)))
+            .when(kind == "domain", F.concat(_same_shape(body, stream), letters, F.lit("."), top))
+            .when(kind == "access_key", F.concat(F.substring(canon, 1, 4), _same_shape(F.substring(canon, 5, 64), stream), digits))
+            .when(kind == "iban", F.concat(F.substring(canon, 1, 2), _same_shape(F.substring(canon, 3, 64), stream), digits))
+            .when(kind == "ssn", F.concat(F.lit("9"), F.substring(_same_shape(canon, stream), 2, 8), digits))
+            .when(kind == "phone", F.concat(_phone(canon, stream), digits))
+            .when(kind == "card", F.concat(_card(canon, stream), digits))
+            .when(kind == "ip", F.concat(octets, digits))
             .when(kind == "name", _named(canon, attempt, key))
-            .otherwise(_same_shape(canon, stream)))
+            .otherwise(F.concat(_same_shape(canon, stream), letters)))
 
 
 def fitted(kind: Column, entity: Column, made: Column) -> Column:
@@ -178,7 +195,8 @@ def fitted(kind: Column, entity: Column, made: Column) -> Column:
         F.regexp_like(c, F.lit("[0-9A-Za-z]")),
         F.substring(made, F.length(F.regexp_replace(F.substring(entity, F.lit(1), i + 1), "[^0-9A-Za-z]", "")), F.lit(1))).otherwise(c))
     prefix = F.regexp_extract(entity, f"^({_SECRET})", 1)
-    return (F.when(kind.isin(*GROUPED), F.array_join(places, ""))
+    plain = F.length(F.regexp_replace(entity, "[^0-9A-Za-z]", ""))
+    return (F.when(kind.isin(*GROUPED), F.concat(F.array_join(places, ""), F.substring(made, plain + 1, F.length(made))))
             .when(kind == "secret", F.concat(prefix, made)).otherwise(made))
 
 
@@ -202,6 +220,18 @@ def assign(canons: DataFrame, key: str = KEY) -> DataFrame:
                            .select("kind", "canon", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt"))))
 
 
+def replacements(spellings: DataFrame, key: str = KEY) -> DataFrame:
+    """spellings(entity, kind, canon) -> (entity, kind, new)."""
+    domain = F.when(F.col("kind") == "email", F.substring_index("canon", "@", -1))
+    domains = spellings.select(F.lit("domain").alias("kind"), domain.alias("canon")).where("canon is not null")
+    made = assign(spellings.select("kind", "canon").union(domains).distinct(), key)
+    of_domain = made.where("kind = 'domain'").select(F.col("canon").alias("domain"), F.col("made").alias("new_domain"))
+    new = F.coalesce(F.concat(F.substring_index("made", "@", 1), F.lit("@"), "new_domain"),
+                     fitted(F.col("kind"), F.col("entity"), F.col("made")))
+    return (spellings.join(made, ["kind", "canon"]).withColumn("domain", domain).join(of_domain, "domain", "left")
+            .select("entity", "kind", new.alias("new")))
+
+
 def replace_pii(docs: DataFrame, key: str = KEY, report: bool = False) -> DataFrame:
     """``docs`` with surrogates in ``text``; n_chars, if there is one, set anew. ``report`` adds
     n_entities and kinds (sorted, distinct, comma-joined)."""
@@ -214,9 +244,7 @@ def replace_pii(docs: DataFrame, key: str = KEY, report: bool = False) -> DataFr
     kinded = (each.select("entity").distinct().withColumn("kind", kind_of(F.col("entity")))
               .withColumn("canon", canonical(F.col("kind"), value_of(F.col("kind"), F.col("entity")))))
     spellings = freeze(kinded)
-    made = assign(spellings.select("kind", "canon").distinct(), key)
-    by_entity = spellings.join(made, ["kind", "canon"]).select(
-        "entity", "kind", fitted(F.col("kind"), F.col("entity"), F.col("made")).alias("new"))
+    by_entity = replacements(spellings, key)
     gathered = (each.join(by_entity, "entity").groupBy(k_id, k_body)
                 .agg(F.array_sort(F.collect_set(F.struct("nth", "new", "kind"))).alias(found)))
     parts = F.split(text, PATTERN, -1)

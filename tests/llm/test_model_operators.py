@@ -254,6 +254,25 @@ def test_pii_collisions_are_resolved(spark, monkeypatch):
     assert len(set(own)) == 12 and not set(own) & {f"s{k}" for k in range(12)}
 
 
+def test_pii_ends_where_no_surrogate_is_left(spark, monkeypatch):
+    """Secrets of punctuation, one free digit, other scripts, one-letter addresses; more names than three syllables spell."""
+    monkeypatch.setattr(pii, "SYLLABLES", {k: (c[:2], v[:2], a, n) for k, (c, v, a, n) in pii.SYLLABLES.items()})
+    names = [f"Mr. {'' if k % 2 else 'Z'}{chr(65 + k % 26)}{chr(97 + k // 26)}q" for k in range(260)]
+    one = [f"token = -------{k}" for k in range(10)]
+    mails = [f"{c}@-.com" for c in "abcdefghijklmnopqrstuvwxyz_-"] + ["_@--.com", "a@x.com"]
+    other = ["Mr. Արամ", "Mrs. 𝐀𝐧𝐧𝐚", "Mr. Ⲁⲛⲛⲁ"]
+    rules = "Password: ____________ and token = --------"
+    rows = [(0, rules)] + [(k, t) for k, t in enumerate(names + one + mails + other, 1)]
+    got = {r["doc_id"]: r["text"] for r in rows_of(pii.replace_pii(H.documents(spark, rows)))}
+    assert got[0] == rules and all(t for t in got.values())
+    said = {t for _, t in rows[1:]}
+    new = [got[k] for k, _ in rows[1:]]
+    assert len(set(new)) == len(new) and not set(new) & said
+    assert len({t.split("@")[1] for t in new if "@" in t}) == 3
+    assert all(t.startswith("token = -------") for t in new[260:270])
+    assert re.fullmatch(r"Mr\. [\u0531-\u0587]+", new[-3]) and re.fullmatch(r"Mrs\. [A-Z][a-z]+", new[-2])
+
+
 # --- pipeline
 
 def test_pipeline_stages(spark, tmp_path):
