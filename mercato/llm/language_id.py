@@ -45,6 +45,7 @@ UNKNOWN = "und"
 _FAMILY_OF = {lang: family for family, langs in FAMILIES.items() for lang in langs}
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = _LETTER[65:91] = _LETTER[128:] = True
+_ASCII_LETTER = _LETTER & (np.arange(256) < 128)
 _CLASS = np.where(_LETTER, LOWER, 32).astype(np.uint32)
 
 
@@ -72,13 +73,16 @@ def trigrams(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     return bucket[keep], places[np.minimum(texts.at, len(key))]
 
 
+def _has_ascii_letter(texts: Texts) -> np.ndarray:
+    """One value a row."""
+    upto = np.concatenate([[0], np.cumsum(_ASCII_LETTER[texts.data], dtype=np.uint32)])
+    return upto[texts.at[1:]] > upto[texts.at[:-1]]
+
+
 def _has_letter(texts: Texts, row: int) -> bool:
     part = texts.data[texts.at[row]:texts.at[row + 1]]
-    mask = _LETTER[part]
-    if not mask.any():
+    if not _LETTER[part].any():
         return False
-    if (mask & (part < 128)).any():
-        return True
     return any(ch.isalpha() for ch in part.tobytes().decode("utf-8", "replace"))
 
 
@@ -164,7 +168,7 @@ def predict(texts: Texts, model: Model) -> tuple[list[str], np.ndarray]:
     best = votes.argmax(axis=1)
     score = score * squash(worst[np.arange(rows), best])
     langs = [model.langs[k] for k in best]
-    for r in np.flatnonzero(np.diff(at) < 8).tolist() + [r for r in range(rows) if not np.diff(texts.at[r:r + 2])[0]]:
+    for r in np.flatnonzero(~_has_ascii_letter(texts)).tolist():
         if not _has_letter(texts, r):
             langs[r], score[r] = UNKNOWN, 0.0
     return langs, score

@@ -96,6 +96,16 @@ def test_language_edges(spark):
     assert language_id.identify(docs.limit(0), one).count() == 0
 
 
+def test_language_of_long_texts_without_letters(spark):
+    junk = ["😀😀😀", "★★★★", "—————", "🎉 " * 500, "═" * 3000 + "\n" + "│ 12 │" * 40, "• 1\n• 2\n• 3\n" * 9, "٠١٢٣٤٥٦٧٨٩" * 5, "…" * 70_000]
+    words = ["😀" * 4000 + "日本", "— a", "★★★★ été", "Ω" + "—" * 50]
+    model = language_id.train(["the and of " * 9, "der die und " * 9], ["en", "de"])
+    docs = H.documents(spark, list(enumerate(junk + words)))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in rows_of(language_id.identify(docs, model))}
+    assert [got[i] for i in range(len(junk))] == [("und", 0.0)] * len(junk)
+    assert all(got[len(junk) + i][0] in ("en", "de") for i in range(len(words)))
+
+
 # --- packing
 
 def check_packing(rows, ids_of, size=1024):
