@@ -1,12 +1,12 @@
 """PII: detected entities get surrogates.
 
 Entities are found by one pattern: e-mail addresses, secrets that follow a name and ``=`` or
-``:``, access keys, IBANs, social security, phone and card numbers, IPv4 addresses, and
-names after a title. A surrogate is made from a keyed SHA-256 stream over (kind, canonical
+``:``, access keys, IBANs, social security, phone and card numbers, IPv4 and IPv6 addresses,
+and names after a title; of such a name also its other mentions in the document, part by part. A surrogate is made from a keyed SHA-256 stream over (kind, canonical
 form, attempt), so it is the same wherever the entity occurs and can't be turned back
 without the key. It keeps kind and format: digits stay digits, letters keep their case,
 hexadecimal stays so, punctuation and grouping stay; a phone keeps its country code, a card
-its first digit and a valid check digit, an address stays an address; a name is spelled in
+its first digit and its length and a valid check digit, an address stays an address; a name is spelled in
 the script of the original (in Latin where ``SYLLABLES`` doesn't have it), with an ending for
 the title's gender. The canonical form drops
 grouping and case, so other spellings of a number share one surrogate (coreference).
@@ -16,14 +16,18 @@ of the corpus. Losers (all but the first by canonical form) try again with the n
 until there are none; one round a shuffle of the distinct entities, then of the losers.
 The space grows with the attempt (names get more syllables, others more characters after
 ``SAME_FORM`` or ``SAME_DIGITS`` attempts), so the rounds end however many entities there are.
-An e-mail's domain is an entity of its own and draws by itself, once for all its addresses.
+An e-mail's domain is an entity of its own and draws by itself, once for all its addresses; so
+is each part of a name (a first name by the title's gender, others without), and what is
+checked are the parts: a surname has one surrogate wherever it occurs.
 
 All is DataFrame functions. Entities are made distinct (combined before the shuffle), so a
 hot one is one row; only documents that hold an entity are shuffled to be put together again.
 
 Defined cases: null text stays null; a text without entities is returned as it is; rows of
 equal doc_id and text are treated alike, each row stays; matches don't overlap, the leftmost
-is taken and at one place the first kind of the list. Other columns pass through.
+is taken and at one place the first kind of the list; a name's part of one letter is replaced
+only behind its title; n_entities counts matches of the pattern, not the bare mentions of a
+name. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -40,9 +44,13 @@ FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Signo
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Signor", "Г-н", "Κύριος")
 NEUTRAL = ("Dr", "Prof")
 _TITLES = "|".join((*FEMALE, *MALE, *NEUTRAL))
-_NAME = r"\p{Lu}[\p{L}'’-]*+"
+#: a possessive 's is no part of it
+_NAME = r"\p{Lu}[\p{L}\p{M}]*+(?:['’-](?!s(?![\p{L}\p{M}]))[\p{L}\p{M}]++)*+"
 _SECRET = r"(?i:password|passwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?"
 
+#: between two digits of a phone number with its country code; no card begins behind it
+_GAP = r"(?: ?\((?:0\))?|\)? (?!(?:[0-9]{4}[ -]?){3}[0-9])|\)|[./-])?"
+_HEX = "[0-9A-Fa-f]{1,4}"
 #: kind -> pattern; the order decides
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
@@ -50,18 +58,23 @@ PATTERNS = {
     "access_key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}\b",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": r"(?<![0-9+-])[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "card": r"(?<![0-9+-])(?:[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}|3[47][0-9]{2}([ -]?)[0-9]{6}\2[0-9]{5})(?![0-9-])",
+    "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
+             rf"|(?<![0-9+])(?:\+[1-9]|00[1-9][0-9]{{0,2}}[ .-])(?:{_GAP}[0-9]){{7,14}}(?![0-9])"
+             r"|(?<![0-9.+-])(?:0[1-9](?:[ .][0-9]{2}){4}|[6-9][0-9]{2}(?: [0-9]{2}){3})(?![0-9]|[.-][0-9])",
+    "ipv6": rf"(?<![0-9A-Za-z:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?=[0-9A-Fa-f:]*[0-9]){_HEX}(?::{_HEX}){{0,5}}::(?:{_HEX}(?::{_HEX}){{0,5}})?)(?![0-9A-Za-z:])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "name": rf"\b(?:{_TITLES})\.? {_NAME}(?: {_NAME})?",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: no entity without one of these
-HINT = rf"[0-9@]|(?:{_TITLES})\.? \p{{Lu}}|[=:]"
+HINT = rf"[0-9@]|(?:{_TITLES})\.? \p{{Lu}}|[=:]|AKIA|ASIA"
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 GROUPED = ("card", "phone", "ssn", "iban")
 #: attempts in the entity's own form; numbers of a fixed length keep it longer
 SAME_FORM, SAME_DIGITS = 4, 16
+#: calling codes of one and two digits; all others have three
+COUNTRY = r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 #: consonants, vowels and endings of names, by script; the first is that of all other scripts
 SYLLABLES = {
     "Latin": ("bdfgklmnprstv", "aeiou", "a", "n"),
@@ -84,8 +97,21 @@ def value_of(kind: Column, entity: Column) -> Column:
     return F.when(kind == "secret", F.regexp_replace(entity, f"^{_SECRET}", "")).otherwise(entity)
 
 
+def _groups(address: Column) -> tuple[Column, Column]:
+    """The groups of an IPv6 address before and behind its double colon."""
+    of = lambda text: F.filter(F.split(text, ":"), lambda g: g != "")
+    before = F.regexp_extract(address, "^(.*?)(?:::|$)", 1)
+    return of(before), of(F.substring(address, F.length(before) + 1, F.length(address)))
+
+
 def canonical(kind: Column, value: Column) -> Column:
-    return (F.when(kind.isin(*GROUPED), F.regexp_replace(value, "[^0-9A-Za-z]", ""))
+    """A phone keeps the sign of its country code, an IPv6 address gets all its eight groups."""
+    plain = F.regexp_replace(value, "[^0-9A-Za-z]", "")
+    before, behind = _groups(F.lower(value))
+    zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - F.size(before) - F.size(behind)))
+    full = F.array_join(F.transform(F.concat(before, zeros, behind), lambda g: F.lpad(g, 4, "0")), ":")
+    return (F.when((kind == "phone") & F.regexp_like(value, F.lit(r"^(?:\+|00[1-9])")), F.concat(F.lit("+"), F.regexp_replace(plain, "^00", "")))
+            .when(kind == "ipv6", full).when(kind.isin(*GROUPED), plain)
             .when(kind == "email", F.lower(value)).otherwise(value))
 
 
@@ -129,44 +155,56 @@ def _more(canon: Column, stream: Column, attempt: Column, form: int, letters: st
 
 
 def _phone(canon: Column, stream: Column) -> Column:
-    """The country code kept; area and exchange begin with 2 to 9."""
-    code = F.greatest(F.lit(0), F.length(canon) - 10)
-    return F.concat(F.substring(canon, F.lit(1), code), F.array_join(F.transform(
-        F.sequence(F.lit(0), F.lit(9)), lambda i: F.when(i.isin(0, 3), _pick(DIGITS[2:], _number(stream, i, 8)))
+    """The country code kept; the number, and the exchange of ten digits, begin with 2 to 9."""
+    code = F.when(canon.startswith("+"), F.concat(F.lit("+"), F.regexp_extract(canon, COUNTRY, 1))).otherwise(F.lit(""))
+    many = F.length(canon) - F.length(code)
+    return F.concat(code, F.array_join(F.transform(
+        F.sequence(F.lit(0), many - 1), lambda i: F.when((i == 0) | ((i == 3) & (many == 10)), _pick(DIGITS[2:], _number(stream, i, 8)))
         .otherwise(_pick(DIGITS, _number(stream, i, 10)))), ""))
 
 
 def _card(canon: Column, stream: Column) -> Column:
-    """The first digit kept, the last one the Luhn check digit."""
-    body = F.concat(F.substring(canon, 1, 1), F.array_join(F.transform(
-        F.sequence(F.lit(1), F.lit(14)), lambda i: _pick(DIGITS, _number(stream, i, 10))), ""))
+    """The first digit kept (two of 15 digits), the last one the Luhn check digit."""
+    kept = F.when(F.length(canon) == 15, 2).otherwise(1)
+    body = F.concat(F.substring(canon, F.lit(1), kept), F.array_join(F.transform(
+        F.sequence(kept, F.length(canon) - 2), lambda i: _pick(DIGITS, _number(stream, i, 10))), ""))
     total = F.aggregate(F.transform(_chars(body), lambda c, i: F.when(
-        i % 2 == 0, F.floor(c.cast("int") * 2 / 10) + c.cast("int") * 2 % 10).otherwise(c.cast("int")).cast("long")),
+        (F.length(body) - i) % 2 == 1, F.floor(c.cast("int") * 2 / 10) + c.cast("int") * 2 % 10).otherwise(c.cast("int")).cast("long")),
         F.lit(0).cast("long"), lambda a, b: a + b)
     return F.concat(body, ((10 - total % 10) % 10).cast("string"))
 
 
-def _spelled(token: Column, stream: Column, attempt: Column, female: Column, male: Column, first: Column) -> Column:
-    """A name of three syllables, one more for every two attempts, and, for a first name, an ending by gender."""
+def _ipv6(canon: Column, stream: Column) -> Column:
+    """Each group that isn't zero by another such."""
+    return F.array_join(F.transform(F.split(canon, ":"), lambda g, i: F.when(g == "0000", g).otherwise(
+        F.lpad(F.lower(F.hex(1 + _number(stream, i, 65535))), 4, "0"))), ":")
+
+
+def _token(kind: Column, canon: Column) -> Column:
+    """What stands in the text for a canonical form."""
+    return F.when(kind == "part", F.regexp_replace(canon, "^[fm]?:", "")).otherwise(canon)
+
+
+def _spelled(token: Column, stream: Column, attempt: Column, female: Column, male: Column) -> Column:
+    """A name of three syllables, one more for every two attempts, and an ending by gender, if any."""
     out = None
     last = (2 + F.floor(attempt / 2)).cast("int")
     for script, (consonants, vowels, a, n) in SYLLABLES.items():
         letters = F.array_join(F.transform(F.sequence(F.lit(0), last), lambda s: F.concat(  # noqa: B023
             _pick(consonants, _number(stream, 2 * s, len(consonants))), _pick(vowels, _number(stream, 2 * s + 1, len(vowels))))), "")  # noqa: B023
-        ending = F.when(first & female, F.lit(a)).when(first & male, F.lit(n)).otherwise(F.lit(""))
+        ending = F.when(female, F.lit(a)).when(male, F.lit(n)).otherwise(F.lit(""))
         spelled = F.concat(F.upper(F.substring(letters, 1, 1)), F.substring(letters, F.lit(2), F.length(letters)), ending)
         out = spelled if out is None else F.when(F.regexp_like(token, F.lit(rf"^\p{{Is{script}}}")), spelled).otherwise(out)
     return out
 
 
-def _named(canon: Column, attempt: Column, key: str) -> Column:
-    """Each part of a name by itself, so that a surname alone is replaced as in the full name."""
-    parts = F.split(canon, " ")
-    title = F.regexp_replace(parts[0], r"\.$", "")
-    rest = F.slice(parts, F.lit(2), F.size(parts) - 1)
-    return F.concat_ws(" ", parts[0], F.array_join(F.transform(rest, lambda t, i: _spelled(
-        t, _stream(F.lit("name"), t, attempt, key), attempt, title.isin(*FEMALE), title.isin(*MALE),
-        (i == 0) & (F.size(rest) > 1))), " "))
+def _parts(name: Column) -> Column:
+    """The parts of a name behind its title as (gender of a first name):(token)."""
+    tokens = F.split(name, " ")
+    title = F.regexp_replace(tokens[0], r"\.$", "")
+    gender = F.when(title.isin(*FEMALE), "f").when(title.isin(*MALE), "m").otherwise("")
+    rest = F.slice(tokens, F.lit(2), F.size(tokens) - 1)
+    return F.transform(rest, lambda t, i: F.concat_ws(":", F.when((i == 0) & (F.size(rest) > 1), gender).otherwise(""), t))
 
 
 def surrogate(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> Column:
@@ -185,18 +223,27 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> C
             .when(kind == "phone", F.concat(_phone(canon, stream), digits))
             .when(kind == "card", F.concat(_card(canon, stream), digits))
             .when(kind == "ip", F.concat(octets, digits))
-            .when(kind == "name", _named(canon, attempt, key))
+            .when(kind == "ipv6", F.concat(_ipv6(canon, stream), digits))
+            .when(kind == "part", _spelled(_token(kind, canon), stream, attempt, canon.startswith("f:"), canon.startswith("m:")))
             .otherwise(F.concat(_same_shape(canon, stream), letters)))
 
 
 def fitted(kind: Column, entity: Column, made: Column) -> Column:
     """The surrogate in the grouping of this spelling, behind its prefix."""
+    digits = F.concat(F.when((kind == "phone") & entity.startswith("00"), "00").otherwise(""), F.regexp_replace(made, "[^0-9A-Za-z]", ""))
     places = F.transform(_chars(entity), lambda c, i: F.when(
         F.regexp_like(c, F.lit("[0-9A-Za-z]")),
-        F.substring(made, F.length(F.regexp_replace(F.substring(entity, F.lit(1), i + 1), "[^0-9A-Za-z]", "")), F.lit(1))).otherwise(c))
+        F.substring(digits, F.length(F.regexp_replace(F.substring(entity, F.lit(1), i + 1), "[^0-9A-Za-z]", "")), F.lit(1))).otherwise(c))
     prefix = F.regexp_extract(entity, f"^({_SECRET})", 1)
+    before, behind = _groups(entity)
+    short = lambda groups: F.array_join(F.transform(groups, lambda g: F.regexp_replace(g, "^0{1,3}", "")), ":")
+    of_full = F.split(made, ":")
+    address = F.when(~entity.contains("::"), short(of_full)).otherwise(F.concat(
+        short(F.slice(of_full, F.lit(1), F.size(before))), F.lit("::"),
+        short(F.slice(of_full, 9 - F.size(behind), F.size(behind)))))
     plain = F.length(F.regexp_replace(entity, "[^0-9A-Za-z]", ""))
-    return (F.when(kind.isin(*GROUPED), F.concat(F.array_join(places, ""), F.substring(made, plain + 1, F.length(made))))
+    return (F.when(kind.isin(*GROUPED), F.concat(F.array_join(places, ""), F.substring(digits, plain + 1, F.length(digits))))
+            .when(kind == "ipv6", address)
             .when(kind == "secret", F.concat(prefix, made)).otherwise(made))
 
 
@@ -204,7 +251,7 @@ def _clashes(drawn: DataFrame, canons: DataFrame) -> DataFrame:
     """(kind, canon) that must draw again: not the first with a surrogate, or it is an entity."""
     first = drawn.groupBy("kind", "made").agg(F.min("canon").alias("first"), F.count("*").alias("n"))
     shared = drawn.join(first.where("n > 1"), ["kind", "made"]).where("canon != first").select("kind", "canon")
-    real = drawn.join(canons.select("kind", F.col("canon").alias("made")), ["kind", "made"]).select("kind", "canon")
+    real = drawn.join(canons.select("kind", _token(F.col("kind"), F.col("canon")).alias("made")).distinct(), ["kind", "made"]).select("kind", "canon")
     return shared.union(real).distinct()
 
 
@@ -221,21 +268,40 @@ def assign(canons: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def replacements(spellings: DataFrame, key: str = KEY) -> DataFrame:
-    """spellings(entity, kind, canon) -> (entity, kind, new)."""
+    """spellings(entity, kind, canon) -> (entity, kind, new, mentions): of a name the parts that
+    are replaced wherever they stand, as (minus length, token, surrogate)."""
     domain = F.when(F.col("kind") == "email", F.substring_index("canon", "@", -1))
     domains = spellings.select(F.lit("domain").alias("kind"), domain.alias("canon")).where("canon is not null")
-    made = assign(spellings.select("kind", "canon").union(domains).distinct(), key)
+    others, names = spellings.where("kind != 'name'"), spellings.where("kind = 'name'")
+    parts = names.select("entity", F.posexplode(_parts(F.col("canon"))).alias("nth", "canon"))
+    made = assign(others.select("kind", "canon").union(domains).union(parts.select(F.lit("part"), "canon")).distinct(), key)
     of_domain = made.where("kind = 'domain'").select(F.col("canon").alias("domain"), F.col("made").alias("new_domain"))
     new = F.coalesce(F.concat(F.substring_index("made", "@", 1), F.lit("@"), "new_domain"),
                      fitted(F.col("kind"), F.col("entity"), F.col("made")))
-    return (spellings.join(made, ["kind", "canon"]).withColumn("domain", domain).join(of_domain, "domain", "left")
-            .select("entity", "kind", new.alias("new")))
+    token = _token(F.lit("part"), F.col("canon"))
+    mention = F.struct((-F.length(token)).alias("shorter"), token.alias("token"), F.col("made").alias("made"))
+    named = (parts.join(made.where("kind = 'part'").drop("kind"), "canon").groupBy("entity")
+             .agg(F.array_sort(F.collect_list(F.struct("nth", "made"))).alias("parts"),
+                  F.collect_set(F.when(F.length(token) > 1, mention)).alias("mentions"))
+             .select("entity", F.lit("name").alias("kind"),
+                     F.concat_ws(" ", F.substring_index("entity", " ", 1), F.col("parts.made")).alias("new"), "mentions"))
+    return (others.join(made, ["kind", "canon"]).withColumn("domain", domain).join(of_domain, "domain", "left")
+            .select("entity", "kind", new.alias("new"), F.lit(None).cast(named.schema["mentions"].dataType).alias("mentions"))
+            .unionByName(named))
+
+
+def _mentions_replaced(text: Column, mentions: Column) -> Column:
+    """``text`` with the whole words that are parts of names by their surrogates, long ones first."""
+    edge = r"\p{L}\p{M}\p{N}"
+    return F.aggregate(mentions, text, lambda done, m: F.when(done.contains(m["token"]), F.regexp_replace(
+        done, F.concat(F.lit(f"(?<![{edge}])"), m["token"], F.lit(f"(?![{edge}])")), m["made"])).otherwise(done))
 
 
 def replace_pii(docs: DataFrame, key: str = KEY, report: bool = False) -> DataFrame:
     """``docs`` with surrogates in ``text``; n_chars, if there is one, set anew. ``report`` adds
     n_entities and kinds (sorted, distinct, comma-joined)."""
-    k_id, k_body, found, n_entities, kinds = free_names(docs.columns, "_k_id", "_k_body", "_found", "n_entities", "kinds")
+    k_id, k_body, found, parts_of, n_entities, kinds = free_names(
+        docs.columns, "_k_id", "_k_body", "_found", "_parts", "n_entities", "kinds")
     text = F.col("text")
     has = F.coalesce(F.regexp_like(text, F.lit(HINT)) & F.regexp_like(text, F.lit(PATTERN)), F.lit(False))
     holders = docs.where(has)
@@ -246,8 +312,10 @@ def replace_pii(docs: DataFrame, key: str = KEY, report: bool = False) -> DataFr
     spellings = freeze(kinded)
     by_entity = replacements(spellings, key)
     gathered = (each.join(by_entity, "entity").groupBy(k_id, k_body)
-                .agg(F.array_sort(F.collect_set(F.struct("nth", "new", "kind"))).alias(found)))
+                .agg(F.array_sort(F.collect_set(F.struct("nth", "new", "kind"))).alias(found),
+                     F.array_sort(F.array_distinct(F.flatten(F.collect_list("mentions")))).alias(parts_of)))
     parts = F.split(text, PATTERN, -1)
+    parts = F.when(F.size(parts_of) == 0, parts).otherwise(F.transform(parts, lambda p: _mentions_replaced(p, F.col(parts_of))))
     new = F.concat(F.array_join(F.transform(F.col(found), lambda e, i: F.concat(parts[i], e["new"])), ""), F.element_at(parts, -1))
     put = (holders.join(gathered, holders["doc_id"].eqNullSafe(F.col(k_id)) & (F.xxhash64(holders["text"]) == F.col(k_body)))
            .withColumn("text", new))
@@ -259,7 +327,7 @@ def replace_pii(docs: DataFrame, key: str = KEY, report: bool = False) -> DataFr
     rest = docs.where(~has)
     if report:
         rest = rest.withColumn(n_entities, F.lit(0).cast("long")).withColumn(kinds, F.lit(""))
-    return put.drop(k_id, k_body, found).unionByName(rest)
+    return put.drop(k_id, k_body, found, parts_of).unionByName(rest)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
