@@ -23,8 +23,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their later repeated runs of lines; those left without any line go."""
-    return line_dedup.dedup_lines(docs, drop_emptied=True)
+    """Documents without their later repeated runs of lines, words told by runs of white space;
+    those left without any line go."""
+    return line_dedup.dedup_lines(docs, drop_emptied=True, by_white_space=True)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

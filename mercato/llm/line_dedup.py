@@ -35,22 +35,39 @@ from mercato.llm.common import free_names, freeze, read_table, sha256
 
 #: lines of the shortest run that is always found
 WINDOW = 2
-#: words of a line that counts as a run alone, told by its spaces
+#: words of a line that counts as a run alone, told by its spaces as in ``SQL``
 LONG_WORDS = 8
+#: letters in a row from which on a line of a script without spaces is long
+LONG_UNSPACED = 24
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}\p{IsYi}\p{IsJavanese}]"
+#: digits and signs that may stand between them
+SIGNS = r"[0-9\u3001-\u3004\u3008-\u3020\u30FB\u30FC\uFF01-\uFF65\u2018-\u201D\u2026]{0,8}+"
 
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def line_runs(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
+def _long(line: Column, words: int, by_white_space: bool) -> Column:
+    """Whether a trimmed line has so many words: by its spaces alone, or by runs of white space;
+    then also a text of a script without spaces, by its length, is long."""
+    if not by_white_space:
+        return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) >= words - 1
+    split = F.size(F.filter(F.split(line, r"(?U)\s+"), lambda w: w != "")) >= words
+    unspaced = F.regexp_like(line, F.lit(rf"(?:{UNSPACED}{SIGNS}){{{LONG_UNSPACED}}}"))
+    # no so many words in fewer characters; ASCII has a byte a character
+    return (((F.length(line) >= 2 * words - 1) & split)
+            | ((F.length(line) >= LONG_UNSPACED) & (F.octet_length(line) > F.length(line)) & unspaced))
+
+
+def line_runs(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS, by_white_space: bool = False) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, body, line_nos): for each document with
     repeats, the numbers (from 0) of the lines to delete. ``body`` is the hash of its text."""
     lines = F.filter(F.transform(_lines(F.col("text")), lambda x, i: F.struct(i.alias("no"), F.trim(x).alias("line"))),
                      lambda x: x["line"] != "")
     items = F.transform(lines, lambda x: F.struct(
         x["no"].alias("no"), F.xxhash64(x["line"]).alias("h"),
-        (F.length(x["line"]) - F.length(F.replace(x["line"], F.lit(" "), F.lit(""))) >= long_words - 1).alias("long")))
+        _long(x["line"], long_words, by_white_space).alias("long")))
     # repeated rows give equal run starts, which neither add nor remove a position
     base = (docs.where("text is not null")
             .select("doc_id", F.xxhash64("text").alias("body"), items.alias("items"))
@@ -87,14 +104,15 @@ def line_runs(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORD
 
 
 def dedup_lines(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS,
-                report: bool = False, drop_emptied: bool = False) -> DataFrame:
+                report: bool = False, drop_emptied: bool = False, by_white_space: bool = False) -> DataFrame:
     """``docs`` with the later repeated runs deleted from ``text`` and n_chars set anew
     where there is such a column. ``drop_emptied`` leaves out documents of which only blank
     lines remain: all they said is said earlier. ``report`` adds n_lines, n_removed and n_runs (maximal
-    runs of deleted lines; blank lines between them don't part them)."""
+    runs of deleted lines; blank lines between them don't part them). ``by_white_space`` tells a long
+    line's words by runs of white space, as the pipeline does; the query's ``SQL`` by spaces."""
     k_id, k_body, nos, n_lines, n_removed, n_runs = free_names(
         docs.columns, "_k_id", "_k_body", "_nos", "n_lines", "n_removed", "n_runs")
-    found = line_runs(docs, window, long_words).select(
+    found = line_runs(docs, window, long_words, by_white_space).select(
         F.col("doc_id").alias(k_id), F.col("body").alias(k_body), F.col("line_nos").alias(nos))
     joined = docs.join(found, docs["doc_id"].eqNullSafe(F.col(k_id)) & (F.xxhash64(docs["text"]) == F.col(k_body)), "left")
     gone = F.col(nos)

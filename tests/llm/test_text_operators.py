@@ -71,6 +71,18 @@ def test_line_dedup_edges(spark):
     assert {0, 1, 2, 3} <= set(ids) and 7 not in ids      # blank ones stay, a copy goes
 
 
+def test_pipeline_lines_are_told_by_white_space(spark):
+    tabs, thai, han = "a\tb\tc\td\te\tf\tg\th", "สวัสดีชาวโลกทุกคนในวันนี้ที่นี่", "我们在这个城市里住了很多年，每天早上都去河边散步，看看水。"
+    wide, few, gap = "a\u00a0b\u2003c d e f g h", "Total        12", "a \t b  c d e f g"
+    rows = []
+    for k, line in enumerate((tabs, thai, han, wide, few, gap)):
+        rows += [(10 * k + j, f"before {k} {j}\n{line}\nafter {k} {j}") for j in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in rows_of(corpus_pipeline.drop_repeated_lines(spark, docs, ""))}
+    assert all(got[i] == t for i, t in rows if i % 10 == 0 or i // 10 in (4, 5))
+    assert [got[10 * k + 1] for k in range(4)] == [f"before {k} 1\nafter {k} 1" for k in range(4)]
+
+
 # --- decontamination
 
 def brute_hits(text, items, size=10):
