@@ -69,5 +69,36 @@ def bounded_rows(df: DataFrame, order: Column, limit: int) -> list:
     return df.orderBy(order).limit(limit).collect()
 
 
+def learning_texts(each: DataFrame, docs: DataFrame, rows: int, chars: int) -> list:
+    """each(label, h, n: hash and length of a text), docs(text, lang, ...) -> (label, h, text, lang): of
+    each label at most ``rows`` distinct texts of at most ``chars`` characters, the first by hash; where a label
+    has fewer, also its shortest longer ones, while all are within ``rows * chars`` characters, and one at least."""
+    each = freeze(each.groupBy("label", "h").agg(F.min("n").alias("n")))
+    counts = {r["label"]: r["short"] for r in each.groupBy("label").agg(F.count(F.when(F.col("n") <= chars, 1)).alias("short")).collect()}
+    share = F.lit(0.0)
+    for label, n in counts.items():       # some to spare, of which the first are taken
+        share = F.when(F.col("label") == label, F.lit(min(1.0, (1.3 * rows + 100) / max(1, n)))).otherwise(share)
+    hashed = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
+    chosen: dict = {label: [] for label in counts}
+    room = dict.fromkeys(counts, rows * chars)
+    some = each.where((F.col("n") <= chars) & (hashed < share)).collect()
+    for r in sorted(some, key=lambda r: (r["h"] % (1 << 30), r["h"])):
+        if len(chosen[r["label"]]) < rows:
+            chosen[r["label"]].append(r["h"])
+            room[r["label"]] -= r["n"]
+    for label, n in counts.items():
+        if n < rows:
+            for r in each.where((F.col("label") == label) & (F.col("n") > chars)).orderBy("n", "h").limit(rows - n).collect():
+                room[label] -= r["n"]
+                if room[label] >= 0 or not chosen[label]:
+                    chosen[label].append(r["h"])
+    picked = [(label, h) for label, own in chosen.items() for h in own]
+    if not picked:
+        return []
+    wanted = docs.sparkSession.createDataFrame(picked, each.select("label", "h").schema)
+    return (docs.select(F.xxhash64("text").alias("h"), "text", "lang").join(F.broadcast(wanted), "h")
+            .groupBy("label", "h").agg(F.first("text").alias("text"), F.min("lang").alias("lang")).orderBy("h", "label").collect())
+
+
 def sha256(col: Column) -> Column:
     return F.sha2(col.cast("binary"), 256)

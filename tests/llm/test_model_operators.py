@@ -106,6 +106,24 @@ def test_language_of_long_texts_without_letters(spark):
     assert all(got[len(junk) + i][0] in ("en", "de") for i in range(len(words)))
 
 
+def test_learning_sample_of_copies_and_long_texts(spark, monkeypatch):
+    """Some large groups of copies leave no language out; one that has only long texts is learned."""
+    long = [(i, "calm words of a day " + "and more " * 30 + str(i)) for i in range(8)] + [(20 + i, f"vilest rotter {i}") for i in range(8)]
+    labels = spark.createDataFrame([(i, 1, int(i >= 20)) for i, _ in long], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(H.documents(spark, long).drop("score"), labels, rows=20, chars=60, steps=30)
+    assert model.shares is not None
+    rows = [(f"the and {g % 5} " + "x" * g, "en") for g in range(400)]
+    rows += [(f"der die {g} und", "de") for g in range(3) for _ in range(300)] + [("le les " * 50 + str(g), "fr") for g in range(9)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    seen = []
+    monkeypatch.setattr(language_id, "train", lambda texts, langs: seen.append(sorted(zip(langs, texts, strict=True))))
+    for hot in ("der die 0 und", "der die 1 und"):
+        language_id.fit(docs.where((F.col("lang") != "de") | (F.col("text") == hot)), rows=5, chars=100)
+    for sample in seen:
+        by = {lang: [t for x, t in sample if x == lang] for lang in ("de", "en", "fr")}
+        assert len(by["de"]) == 1 and len(by["en"]) == 5 and len(set(by["en"])) == 5 and 1 <= len(by["fr"]) <= 5
+
+
 # --- packing
 
 def check_packing(rows, ids_of, size=1024):
