@@ -106,6 +106,16 @@ def spare(difference: int) -> int:
     return 2 + difference // 25
 
 
+def most_difference(parts: int) -> int:
+    """The largest difference for which sets are cut into so many parts."""
+    d = parts - 3 - (parts - 3) // 25
+    while d + 1 + 1 + spare(d + 1) <= parts:
+        d += 1
+    while d + 1 + spare(d) > parts:
+        d -= 1
+    return d
+
+
 def part_counts(n: int, percent: int = PERCENT) -> list[int]:
     """The numbers of parts that a set of n is cut into: of each size that a partner not larger
     may have. None if only equal sets link."""
@@ -133,8 +143,9 @@ def signatures(keys: np.ndarray, percent: int = PERCENT) -> np.ndarray:
                    + np.uint64(parts) * np.uint64(0xE7037ED1A0B428DB))
         full = upto[1:] > upto[:-1]
         # a pair has parts - difference equal parts or more; with no more empty parts than
-        # these less one, one of them is not empty
-        if (~full).sum() <= parts - 1 - max_difference(n, percent):
+        # these less one, one of them is not empty. A partner with so many parts differs in no
+        # more than most_difference, however large this set is
+        if (~full).sum() <= parts - 1 - min(max_difference(n, percent), most_difference(parts)):
             sign = sign[full]
         out.append(sign)
     return np.concatenate(out) if out else np.zeros(0, np.uint64)

@@ -275,6 +275,17 @@ def test_jaccard_signatures_keep_pairs_linked_by_four_fifths():
                 assert np.intersect1d(jaccard.signatures(base, 80), jaccard.signatures(other, 80)).size
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_jaccard_unlike_sets_share_no_signature(percent):
+    """A part that is empty in many large sets is no candidate."""
+    rng = np.random.default_rng(3)
+    for parts in (4, 6, 9, 141, 316, 711):
+        d = jaccard.most_difference(parts)
+        assert d + 1 + jaccard.spare(d) <= parts < d + 2 + jaccard.spare(d + 1)
+    signs = [jaccard.signatures(np.unique(rng.integers(0, 2 ** 63, 1000).astype(np.uint64) * np.uint64(2)), percent) for _ in range(60)]
+    assert len(np.unique(np.concatenate(signs))) == sum(map(len, signs))
+
+
 def test_pipeline_stage_takes_five_words_and_four_fifths(spark):
     """Two of 100 words replaced: 0.811 on five-word shingles, 0.885 on three."""
     w = [f"w{k}" for k in range(100)]
