@@ -362,3 +362,98 @@ def test_pipeline_stages(spark, tmp_path):
     for r in out:
         total[r["sequence_id"]] = total.get(r["sequence_id"], 0) + r["length"]
     assert max(total.values()) <= 1024
+
+
+def plain_lines(rows):
+    """Later repeats of two lines or one of eight words go, and documents of which nothing is left."""
+    places, gone = {}, {}
+    for i, t in rows:
+        items = [(k, x.strip(" ")) for k, x in enumerate(t.split("\n")) if x.strip(" ")]
+        for a, (no, x) in enumerate(items):
+            if a + 1 < len(items):
+                places.setdefault((x, items[a + 1][1]), []).append((i, a, [no, items[a + 1][0]]))
+            if len(x.split()) >= 8:
+                places.setdefault((x,), []).append((i, a, [no]))
+    for found in places.values():
+        for i, _, nos in sorted(found)[1:]:
+            gone.setdefault(i, set()).update(nos)
+    out = [(i, "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get(i, ()))) for i, t in rows]
+    return [(i, t) for i, t in out if i not in gone or t.strip(" \n")]
+
+
+def plain_near(rows, size=5, percent=80):
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t.translate(H.DOWN))
+        sets.append({tuple(w[k:k + size]) for k in range(max(1, len(w) - size + 1))} if w else set())
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    return [row for k, row in enumerate(rows) if root[k] == k]
+
+
+def plain_clean(rows, items, size=10):
+    out = []
+    for i, t in rows:
+        at = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(H.DOWN))]
+        w, hit = H.words(t), set()
+        for item in map(H.words, items):
+            n = min(size, len(item))
+            windows = {tuple(item[k:k + n]) for k in range(len(item) - n + 1)} if n else set()
+            for k in range(len(w) - n + 1):
+                if tuple(w[k:k + n]) in windows:
+                    hit.update(range(k, k + n))
+        left, end = "", 0
+        for k in sorted(hit):
+            if k - 1 not in hit:
+                left += t[end:at[k][0]]
+            end = at[k][1]
+        out.append((i, left + t[end:]))
+    return out
+
+
+def test_pipeline_matches_plain_python(spark, tmp_path):
+    """All rows of run(), with toxic, near-copy, repeated-line and benchmark documents; only the classifier's scores are taken as given."""
+    from tokenizers import Tokenizer
+    rng = random.Random(21)
+    rows, _ = toy(spark)
+    toxic = {i: int(i % 4 == 0) for i, _ in rows}
+    word = lambda: rng.choice(["walk", "tree", "lamp", "seven", "cloud"]) + str(rng.randrange(300))
+    said = "\t".join(["every", "table", "row", "of", "this", "kind", "comes", "again"])
+    item = " ".join(word() for _ in range(25))
+    for i in range(300, 330):
+        w = [word() for _ in range(100)]
+        rows.append((2 * i, " ".join(w)))
+        if i % 3 == 0:                 # near by five words at 0.8, not by three at 0.9
+            w[33], w[66] = "changed", "too"
+            rows.append((2 * i + 1, " ".join(w)))
+        elif i % 3 == 1:
+            rows.append((2 * i + 1, f"{word()} one\n{said}\n{word()} two\nfirst of two\n\nsecond of two\n{word()}"))
+        else:
+            rows.append((2 * i + 1, " ".join(w[:40]) + " " + word() + " " + " ".join(item.split(" ")[:15]).upper() + ", " + word()))
+    rows += [(900, said), (901, "")]
+    docs = H.documents(spark, rows)
+    docs.coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, t) for i, t in toxic.items()], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    held = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.read.parquet(str(tmp_path / "labels.parquet"))
+    model = toxicity.fit(toxicity.learning_fold(held), toxicity.learning_fold(labels))
+    scores = {r["doc_id"]: r["tox"] for r in rows_of(toxicity.score(held, model, "tox").select("doc_id", "tox"))}
+    stages = [[(i, t) for i, t in sorted(rows) if scores[i] < .5]]
+    for step in (plain_lines, plain_near, lambda r: plain_clean(r, [item])):
+        stages.append(step(stages[-1]))
+        assert stages[-1] != stages[-2]
+    assert 20 < len(rows) - len(stages[0]) < 120
+    for (name, stage), plain in zip(corpus_pipeline.STAGES[:-1], stages, strict=True):
+        stage(spark, held, str(tmp_path)).write.parquet(str(tmp_path / name))
+        held = spark.read.parquet(str(tmp_path / name))
+        assert {r["doc_id"]: r["text"] for r in rows_of(held)} == dict(plain), name
+    tokenizer = Tokenizer.from_file(vocabulary_path() + ".json")
+    want = {i: np.array(tokenizer.encode(t, add_special_tokens=False).ids + [2], "<u4") for i, t in stages[-1]}
+    got = rows_of(corpus_pipeline.run(spark, str(tmp_path)))
+    assert {r["doc_id"] for r in got} == set(want)
+    check_packing(got, want)
