@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-import helpers as H
+import corpus_helpers as H
 from mercato.llm import language_id, packing, pii, toxicity, url_filter
 from mercato.llm.common import held_out
 from mercato.llm.tokens import encoder, vocabulary_path

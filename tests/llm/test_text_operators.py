@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-import helpers as H
+import corpus_helpers as H
 from mercato.llm import decontaminate, fingerprint, fm_index, graph, jaccard, line_dedup, suffix_dedup
 
 
