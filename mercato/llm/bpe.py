@@ -44,7 +44,7 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 CHUNK, OVERLAP = 16_384, 1_024
 #: code points behind a pre-token's end that its match may look at
 AHEAD = 3
-_READ = "uid long, doc_id long, k int, start long, text string, ids binary"
+_CHUNKS = "uid long, doc_id long, k int, start long, text string"
 _made: dict[str, object] = {}
 
 
@@ -73,28 +73,21 @@ def _packed(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
-def read_chunks(docs: DataFrame, vocabulary: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
-    """docs(doc_id, text) -> _READ: a text of one chunk with its ids, a longer one's chunks with their text."""
+def read_chunks(docs: DataFrame, chunk: int, overlap: int) -> DataFrame:
+    """docs(doc_id, text) -> _CHUNKS: the overlapping chunks of each text, as rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, uid = encoding(vocabulary, pattern), TaskContext.get().partitionId() << 40
+        uid = TaskContext.get().partitionId() << 40
         for batch in batches:
             rows = []
             for doc_id, text in zip(column(batch, "doc_id").to_pylist(), column(batch, "text").to_pylist(), strict=True):
-                text, uid = text or "", uid + 1
-                if len(text) <= chunk + overlap:
-                    rows.append((uid, doc_id, 0, 0, None, _packed(bpe.encode_ordinary(text))))
-                    continue
+                uid += 1
                 # a last chunk of the overlap only would say nothing new
-                for k, start in enumerate(range(0, len(text) - overlap, chunk)):
-                    rows.append((uid, doc_id, k, start, text[start:start + chunk + overlap], None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), READ.types, strict=True)], schema=READ) \
-                if rows else pa.RecordBatch.from_pylist([], schema=READ)
+                for k, start in enumerate(range(0, max(1, len(text) - overlap), chunk)):
+                    rows.append((uid, doc_id, k, start, text[start:start + chunk + overlap]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(schema.types)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _READ)
-
-
-READ = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("k", pa.int32()), ("start", pa.int64()),
-                  ("text", pa.string()), ("ids", pa.binary())])
+    schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("k", pa.int32()), ("start", pa.int64()), ("text", pa.string())])
+    return docs.select("doc_id", "text").mapInArrow(run, _CHUNKS)
 
 
 def boundaries(text: str, pattern: regex.Pattern, overlap: int, last: bool) -> tuple[list[int], list[int]]:
@@ -152,6 +145,7 @@ def stitched(chunks: DataFrame, pattern: str, overlap: int) -> DataFrame:
 
 
 def _encode_stretches(chunks: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
+    """chunks(uid, doc_id, k, start, text, here, there) -> uid, doc_id, k, ids of the stretches."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoding(vocabulary, pattern)
         for batch in batches:
@@ -169,13 +163,18 @@ def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None =
     """docs(doc_id, text) -> doc_id, ids: little-endian unsigned 32-bit numbers, a row for each row."""
     prepare_workers(docs.sparkSession)
     vocabulary, pattern = vocabulary or vocabulary_path(), pattern or default_pattern()
-    read = freeze(read_chunks(docs, vocabulary, pattern, chunk, overlap))
-    cut = read.where("text is not null").select("uid", "doc_id", "k", "start", "text").repartition("uid", "k")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    several = F.length("text") > chunk + overlap
+    # one chunk is a whole text: one stretch
+    nothing = F.lit(0).cast("long")
+    single = texts.where(~several).select(nothing.alias("uid"), "doc_id", F.lit(0).alias("k"), nothing.alias("start"), "text",
+                                          nothing.alias("here"), F.lit(None).cast("long").alias("there"))
+    cut = read_chunks(texts.where(several), chunk, overlap).repartition("uid", "k")
     parts = _encode_stretches(stitched(cut, pattern, overlap), vocabulary, pattern)
     # the ids of one text, in order
     whole = (parts.groupBy("uid", "doc_id").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("all"))
              .select("doc_id", F.aggregate("all", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids")))
-    return read.where("text is null").select("doc_id", "ids").unionByName(whole)
+    return _encode_stretches(single, vocabulary, pattern).select("doc_id", "ids").unionByName(whole)
 
 
 def decode(encoded: DataFrame, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:

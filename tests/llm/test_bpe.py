@@ -49,7 +49,7 @@ def test_decoding_keeps_columns_and_empty_tables(spark):
 def test_a_long_text_is_dealt_out(spark):
     """Chunks are rows of their own, none longer than a chunk and its overlap."""
     docs = H.documents(spark, [(1, H.prose(5, 60_000))])
-    cut = bpe.read_chunks(docs, bpe.vocabulary_path(), bpe.default_pattern(), 1_000, 100)
+    cut = bpe.read_chunks(docs, 1_000, 100)
     rows = cut.selectExpr("k", "length(text) n", "start").orderBy("k").collect()
     assert len(rows) > 200 and max(r["n"] for r in rows) <= 1_100 and [r["start"] for r in rows] == [1_000 * r["k"] for r in rows]
     assert np.diff([r["k"] for r in rows]).tolist() == [1] * (len(rows) - 1)
