@@ -149,14 +149,16 @@ def spellings(docs: DataFrame) -> DataFrame:
 def frequent(counted: DataFrame, least: int) -> DataFrame:
     """counted(a, b, c, n) -> edges (a, b, c, n), nodes (a, b, null, n) and words (a, null, null, n) of at
     least ``least`` occurrences; the latter two from flows and piece ends."""
-    # one exchange for edges and nodes: windows of a node stand together
-    graph = counted.repartition("a", "b").groupBy("a", "b", "c").agg(F.sum("n").alias("n"))
-    node = graph.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    # one exchange serves all three: windows of a node stand together. What tells edges and nodes from
+    # ends is aggregated, else the filters would go below the exchange and make three of it
+    graph = counted.repartition("a", "b").groupBy("a", "b", "c").agg(F.sum("n").alias("n"), F.max(F.col("c") != 0).alias("whole"))
+    node = graph.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max(F.col("b") != 0).alias("whole"))
     word = node.groupBy("a").agg(F.sum("n").alias("n"))
     none = F.lit(None).cast("long")
-    return (graph.where((F.col("c") != 0) & (F.col("n") >= least))
-            .unionByName(node.where((F.col("b") != 0) & (F.col("n") >= least)).withColumn("c", none))
-            .unionByName(word.where(F.col("n") >= least).withColumn("b", none).withColumn("c", none)))
+    often = F.col("n") >= least
+    return (graph.where(often & F.col("whole")).select("a", "b", "c", "n")
+            .unionByName(node.where(often & F.col("whole")).select("a", "b", none.alias("c"), "n"))
+            .unionByName(word.where(often).select("a", none.alias("b"), none.alias("c"), "n")))
 
 
 def compact(edges: DataFrame) -> DataFrame:
