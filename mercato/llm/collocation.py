@@ -150,10 +150,12 @@ def frequent(counted: DataFrame, least: int) -> DataFrame:
     """counted(a, b, c, n) -> edges (a, b, c, n), nodes (a, b, null, n) and words (a, null, null, n) of at
     least ``least`` occurrences; the latter two from flows and piece ends."""
     # one exchange serves all three: windows of a node stand together. What tells edges and nodes from
-    # ends is aggregated, else the filters would go below the exchange and make three of it
-    graph = counted.repartition("a", "b").groupBy("a", "b", "c").agg(F.sum("n").alias("n"), F.max(F.col("c") != 0).alias("whole"))
-    node = graph.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max(F.col("b") != 0).alias("whole"))
-    word = node.groupBy("a").agg(F.sum("n").alias("n"))
+    # ends is aggregated, else the filters would go below the exchange and make three of it. A flow is the
+    # sum over the edges' shares, so it needs no counted edges first
+    dealt = counted.repartition("a", "b")
+    graph = dealt.groupBy("a", "b", "c").agg(F.sum("n").alias("n"), F.max(F.col("c") != 0).alias("whole"))
+    node = dealt.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max(F.col("b") != 0).alias("whole"))
+    word = dealt.groupBy("a").agg(F.sum("n").alias("n"))
     none = F.lit(None).cast("long")
     often = F.col("n") >= least
     return (graph.where(often & F.col("whole")).select("a", "b", "c", "n")
