@@ -47,7 +47,7 @@ LONGEST, LEAST, TOP = 3, 10, 2_000
 #: of a longer phrase's occurrences in a hundred of the shorter one's, from which that is dropped
 PART = 50
 #: word occurrences that a batch counts together
-FLUSH = 3_000_000
+FLUSH = 2_000_000
 PATH_EDGES = 1_000
 
 #: bytes that end pieces, [.,;:!?\x0A-\x0D], and bytes of words, neither these nor [\x20\x09]
