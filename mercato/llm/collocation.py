@@ -48,6 +48,8 @@ LONGEST, LEAST, TOP = 3, 10, 2_000
 PART = 50
 #: word occurrences that a batch counts together
 FLUSH = 2_000_000
+#: bytes of text hashed at once
+TEXT_BYTES = 1 << 20
 PATH_EDGES = 1_000
 
 #: bytes that end pieces, [.,;:!?\x0A-\x0D], and bytes of words, neither these nor [\x20\x09]
@@ -99,7 +101,7 @@ def windows(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             langs = column(batch, "lang").to_pylist()
-            for texts in chunks(column(batch, "text")):
+            for texts in chunks(column(batch, "text"), TEXT_BYTES):
                 a, b, c, *_ = word_windows(texts, langs[texts.first:texts.first + len(texts.at) - 1])
                 held.append((a, b, c))
                 total += len(a)
@@ -125,7 +127,7 @@ def spellings(docs: DataFrame) -> DataFrame:
         known: set[int] = set()
         for batch in batches:
             langs = column(batch, "lang").to_pylist()
-            for texts in chunks(column(batch, "text")):
+            for texts in chunks(column(batch, "text"), TEXT_BYTES):
                 own = langs[texts.first:texts.first + len(texts.at) - 1]
                 h, _, _, row, start, end = word_windows(texts, own)
                 each, at = np.unique(h, return_index=True)
@@ -149,18 +151,18 @@ def spellings(docs: DataFrame) -> DataFrame:
 def frequent(counted: DataFrame, least: int) -> DataFrame:
     """counted(a, b, c, n) -> edges (a, b, c, n), nodes (a, b, null, n) and words (a, null, null, n) of at
     least ``least`` occurrences; the latter two from flows and piece ends."""
-    # one exchange serves all three: windows of a node stand together. What tells edges and nodes from
-    # ends is aggregated, else the filters would go below the exchange and make three of it. A flow is the
-    # sum over the edges' shares, so it needs no counted edges first
+    # one exchange serves all three: windows of a node stand together. A flow is the sum over the edges'
+    # shares, so it needs no counted edges first. What tells edges and nodes from ends is aggregated, and each
+    # sum looks at all columns, else filters or a choice of columns below the exchange would make three of it
     dealt = counted.repartition("a", "b")
     graph = dealt.groupBy("a", "b", "c").agg(F.sum("n").alias("n"), F.max(F.col("c") != 0).alias("whole"))
-    node = dealt.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max(F.col("b") != 0).alias("whole"))
-    word = dealt.groupBy("a").agg(F.sum("n").alias("n"))
+    node = dealt.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max((F.col("b") != 0) | (F.col("c") != 0)).alias("whole"))
+    word = dealt.groupBy("a").agg(F.sum("n").alias("n"), F.max(F.greatest("b", "c")).alias("whole"))
     none = F.lit(None).cast("long")
     often = F.col("n") >= least
     return (graph.where(often & F.col("whole")).select("a", "b", "c", "n")
             .unionByName(node.where(often & F.col("whole")).select("a", "b", none.alias("c"), "n"))
-            .unionByName(word.where(often).select("a", none.alias("b"), none.alias("c"), "n")))
+            .unionByName(word.where(often & F.col("whole").isNotNull()).select("a", none.alias("b"), none.alias("c"), "n")))
 
 
 def compact(edges: DataFrame) -> DataFrame:
