@@ -239,10 +239,9 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, part: int
     rows = (two.select("a", "b", "c", "n", "l", "r", _exact(F.col("n"), F.col("l"), F.col("r")).alias("score"))
             .unionByName(three.withColumn("cut", cuts).select("a", "b", "c", "n", "cut.l", "cut.r", "cut.score")))
 
-    told = spellings(texts)
-    asked = once.select(F.col("a").alias("h"))
-    known = freeze(told.where("h != 0").join(asked, "h", "left_semi").groupBy("h", "lang").agg(F.min("word").alias("word"), F.sum("n").alias("n"))
-                   .unionByName(told.where("h = 0").groupBy("h", "lang").agg(F.min("word").alias("word"), F.sum("n").alias("n"))))
+    # h = 0 are the sums of each language; it stands among the words asked for, so that one scan gives both
+    asked = once.select(F.col("a").alias("h")).unionByName(docs.sparkSession.range(1).select(F.col("id").alias("h")))
+    known = freeze(spellings(texts).join(asked, "h", "left_semi").groupBy("h", "lang").agg(F.min("word").alias("word"), F.sum("n").alias("n")))
     total = known.where("h = 0").select("lang", F.col("n").alias("words"))
     word = lambda name: known.where("h != 0").select(F.col("h").alias(name), F.col("lang").alias(f"lang_{name}"), F.col("word").alias(f"w_{name}"))
     named = (rows.join(word("a"), "a").join(word("b"), "b").join(word("c"), "c", "left")
