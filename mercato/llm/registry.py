@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mercato.llm import bpe, collocation, decontaminate, fingerprint, jaccard, language_id, line_dedup, packing, pii, suffix_dedup, toxicity, url_filter
+from mercato.llm import bpe, collocation, decontaminate, fingerprint, jaccard, language_id, line_dedup, packing, pii, spelling, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_url_filter": url_filter.query,
     "op9_best_fit_packing": packing.query,
     "op10_pii": pii.query,
+    "op11_spelling_variants": spelling.query,
     "op12_collocations": collocation.query,
     "op13_byte_bpe": bpe.query,
 }
