@@ -11,9 +11,10 @@ its word at a node where a word ends is a pair of neighbours.
 2. A word's rows at kept nodes are its own path: the states without an edit, and the edges.
    At most 91 edges leave a node (a-z, 64 letters beyond ASCII, the end).
 3. The edit is made where the two words part, so it leads from a kept node into an edge of another
-   letter: that letter replaces the word's next one, is put before it, or is the one after it, which is
-   taken out. The state then knows the neighbour's spelling that it looks for and follows it
-   edge by edge, level by level; a label that differs ends it.
+   letter: that letter, a later one of the alphabet, replaces the word's next one, or it's the one after
+   it, which is taken out. (Earlier letters and insertions are the same pairs, seen from the other
+   word.) The state then knows the neighbour's spelling that it looks for and follows it edge by
+   edge, level by level; a label that differs ends it.
 4. Near the root every letter goes on, and each word would send hundreds of states. An edit in the
    first half of a word leaves its second half as it is: so edits are looked for in the second half only,
    in the trie of the words and in that of the reversed words. Pairs that both find are left
@@ -151,52 +152,52 @@ def edge_table(paths: DataFrame) -> DataFrame:
 
 
 def _follow(states: DataFrame) -> DataFrame:
-    """states(word, side, near, d, e: an edge) whose edge spells on what is looked for: either a neighbour
-    (n is not null) or a state of the next level (to is not null)."""
+    """states(word, n, side, near, d, e: an edge) whose edge spells on what is looked for: either a neighbour
+    (near_n is not null) or a state of the next level."""
     e, near = F.col("e"), F.col("near")
     ends = e["d"] == F.length(near)
     return (states.where((F.substr(near, F.col("d") + 1, F.length(e["label"])) == e["label"])
                          & F.when(ends, e["n"].isNotNull()).otherwise((e["d"] < F.length(near)) & e["n"].isNull()))
-            .select("word", "side", "near", e["d"].alias("d"), F.when(~ends, e["to"]).alias("node"), F.when(ends, e["n"]).alias("n")))
+            .select("word", "n", "side", "near", e["d"].alias("d"), F.when(~ends, e["to"]).alias("node"), F.when(ends, e["n"]).alias("near_n")))
 
 
 def first_level(paths: DataFrame, table: DataFrame) -> DataFrame:
-    """States without an edit, at the kept nodes of the second half, joined with the edges: each edge of another
+    """States without an edit, at the kept nodes of the second half, joined with the edges: an edge of another
     letter takes an edit."""
     half = F.when(F.col("side") == 0, F.floor(F.length("word") / 2)).otherwise(F.ceil(F.length("word") / 2))
-    states = (paths.select("word", "side", half.cast("int").alias("half"), F.explode("path").alias("x"))
-              .where("x.d >= half").select("word", "side", "x.d", "x.node"))
-    joined = (states.join(table, "node").select("word", "side", "d", F.explode("edges").alias("e"))
-              .withColumn("own", F.substr("word", F.col("d") + 1, F.lit(1))).where("own != e.c"))
+    states = (paths.select("word", "n", "side", half.cast("int").alias("half"), F.explode("path").alias("x"))
+              .where("x.d >= half and x.d < length(word)").select("word", "n", "side", "x.d", "x.node"))
     word, d, c = F.col("word"), F.col("d"), F.col("e")["c"]
-    before, rest = F.substr(word, F.lit(1), d), F.substr(word, d + 1)
-    after = F.substr(word, d + 2)
-    none = F.lit(None).cast("string")
-    inner = F.col("own") != ""
-    letter = c != ""
-    near = F.array(F.when(letter & inner, F.concat(before, c, after)).otherwise(none),
-                   F.when(letter, F.concat(before, c, rest)).otherwise(none),
-                   F.when(inner & (F.substr(after, F.lit(1), F.lit(1)) == c), F.concat(before, after)).otherwise(none))
-    return _follow(joined.select("word", "side", "d", "e", F.explode(F.array_compact(near)).alias("near")))
+    letter = lambda k: F.substr(word, d + k, F.lit(1))
+    # the edge of no letter is that of a word which ends here: this one without its last letter
+    fits = F.filter("edges", lambda e: (e["c"] > F.col("own")) | ((e["c"] == F.col("after")) & (e["c"] != F.col("own"))))
+    joined = (states.join(table, "node").withColumns({"own": letter(1), "after": letter(2)})
+              .select("word", "n", "side", "d", "own", "after", F.explode(fits).alias("e")))
+    before, rest = F.substr(word, F.lit(1), d), F.substr(word, d + 2)
+    near = F.array_compact(F.array(F.when(c > F.col("own"), F.concat(before, c, rest)), F.when(c == F.col("after"), F.concat(before, rest))))
+    return _follow(joined.select("word", "n", "side", "d", "e", F.explode(near).alias("near")))
 
 
 def neighbours(words: DataFrame) -> DataFrame:
-    """words(word, n) -> word, near, near_n: both ways, all pairs one insertion, deletion or replacement apart."""
+    """words(word, n) -> word, n, near, near_n: both ways, all pairs one insertion, deletion or replacement apart."""
     prepare_workers(words.sparkSession)
     paths = _stored(own_paths(words), "paths")
     table = _stored(edge_table(paths), "edges")
     level = _stored(first_level(paths, table), "level")
-    found = level.where("n is not null")
-    while not (states := level.where("n is null")).isEmpty():
+    found = level.where("near_n is not null")
+    while not (states := level.where("near_n is null")).isEmpty():
         # the edge of the letter that comes next: one that goes on, or that ends, or both
         wanted = F.filter("edges", lambda e: e["c"] == F.substr("near", F.col("d") + 1, F.lit(1)))
-        level = _stored(_follow(states.drop("n").join(table, "node").select("word", "side", "near", "d", F.explode(wanted).alias("e"))), "level")
-        found = found.unionByName(level.where("n is not null"))
-    forth = found.where("side = 0").select("word", "near", "n")
-    back = found.where("side = 1").select(F.reverse("word").alias("word"), F.reverse("near").alias("near"), "n")
+        level = _stored(_follow(states.join(table, "node").select("word", "n", "side", "near", "d", F.explode(wanted).alias("e"))), "level")
+        found = found.unionByName(level.where("near_n is not null"))
+    forth = found.where("side = 0").select("word", "n", "near", "near_n")
+    back = found.where("side = 1").select(F.reverse("word").alias("word"), "n", F.reverse("near").alias("near"), "near_n")
     half = F.floor(F.length("word") / 2).cast("int")
     other = F.substr("word", F.lit(1), half) != F.substr("near", F.lit(1), half)
-    return forth.unionByName(back.where(other)).withColumnRenamed("n", "near_n")
+    pairs = forth.unionByName(back.where(other))
+    both = F.array(F.struct("word", "n", "near", "near_n"),
+                   F.struct(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n")))
+    return pairs.select(F.explode(both).alias("x")).select("x.*")
 
 
 def chain_ends(forms: DataFrame) -> DataFrame:
@@ -216,8 +217,7 @@ def variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     """words(word, n) -> word, form, root, n, n_near, form_n."""
     near = neighbours(words)
     # the most frequent neighbour, the first in code-point order of several
-    best = freeze(near.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("minus"), "near")).alias("best"))
-                  .join(words, "word")
+    best = freeze(near.groupBy("word", "n").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("minus"), "near")).alias("best"))
                   .select("word", "n_near", F.when(-F.col("best")["minus"] >= ratio * F.col("n"), F.col("best")["near"]).alias("form"),
                           F.when(-F.col("best")["minus"] >= ratio * F.col("n"), -F.col("best")["minus"]).alias("form_n")))
     roots = chain_ends(best.where("form is not null").select("word", "form"))
