@@ -39,31 +39,65 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mercato.llm.common import freeze, prepare_workers, read_table
-from mercato.llm.textbytes import column, mix
+from mercato.llm.textbytes import LOWER as LOWERED
+from mercato.llm.textbytes import chunks, column, mix
 from mercato.session import scratch_path
 
 LENGTH, COUNT, RATIO, EVERY = 7, 2, 10, 31
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: bytes of text looked through at once
+TEXT_BYTES = 1 << 20
+ASCII = np.zeros(256, dtype=bool)
+ASCII[65:91] = ASCII[97:123] = True
 #: prefix rows that a task hands on at once
 ROWS = 1 << 17
 _SIDES = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0876A9A47))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+def letter_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """docs(doc_id, text) -> id (as text, null is empty), run: maximal runs of [A-Za-z\u00C0-\u00FF] of at least
+    ``length`` code points, A-Z lower-cased."""
+    schema = pa.schema([("id", pa.string()), ("run", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = pc.fill_null(column(batch, "id"), "")
+            for texts in chunks(column(batch, "text"), TEXT_BYTES):
+                # U+00C0 to U+00FF are C3 and one more byte, and nothing else has a C3
+                lead = texts.data == 0xC3
+                letter = ASCII[texts.data] | lead
+                letter[1:] |= lead[:-1]
+                edge = np.zeros(len(letter) + 1, bool)
+                edge[texts.at] = True                            # rows end runs
+                first, last = letter.copy(), letter.copy()
+                first[1:] &= ~letter[:-1] | edge[1:-1]
+                last[:-1] &= ~letter[1:] | edge[1:-1]
+                start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+                two = np.concatenate([[0], np.cumsum(lead)])
+                long = end - start - (two[end] - two[start]) >= length
+                start, end = start[long], end[long]
+                at = np.concatenate([[0], np.cumsum(end - start)])
+                letters = LOWERED[texts.data[np.repeat(start - at[:-1], end - start) + np.arange(at[-1])]]
+                row = np.searchsorted(texts.at, start, side="right") - 1
+                runs = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(at.astype(np.int64)), pa.py_buffer(letters))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(texts.first + row)).cast(pa.string()), runs.cast(pa.string())], schema=schema)
+
+    return docs.select(F.col("doc_id").cast("string").alias("id"), "text").mapInArrow(run, "id string, run string")
+
+
 def counted_words(docs: DataFrame, length: int = LENGTH, count: int = COUNT, every: int = EVERY) -> DataFrame:
-    """docs(doc_id, text) -> word, n: runs of letters, A-Z lower-cased; those whose crc32 (with the id)
-    ``every`` divides have lost a letter. Words of at least ``length`` code points and ``count`` occurrences."""
-    runs = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"),
-                       F.explode(F.regexp_extract_all("text", F.lit(f"[A-Za-z\\u00C0-\\u00FF]{{{length},}}"), 0)).alias("run"))
-    runs = runs.select("id", F.translate("run", UPPER, LOWER).alias("run"))
+    """docs(doc_id, text) -> word, n: runs of letters; those whose crc32 (with the id) ``every`` divides have
+    lost a letter. Words of at least ``length`` code points and ``count`` occurrences."""
+    prepare_workers(docs.sparkSession)
     h = F.crc32(F.concat("id", F.lit(":"), "run").cast("binary"))
     at = (F.col("h") % F.length("run")).cast("int")
     word = F.when(F.col("h") % every == 0, F.concat(F.substr("run", F.lit(1), at), F.substr("run", at + 2))).otherwise(F.col("run"))
-    return (runs.withColumn("h", h).select(word.alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return (letter_runs(docs, length).withColumn("h", h).select(word.alias("word")).groupBy("word").agg(F.count("*").alias("n"))
             .where((F.col("n") >= count) & (F.length("word") >= length)))
 
 
