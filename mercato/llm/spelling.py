@@ -168,9 +168,10 @@ def own_paths(words: DataFrame) -> DataFrame:
 
 
 def edge_table(paths: DataFrame) -> DataFrame:
-    """paths -> node, edges: array of (c: first letter, label, to: next kept node, d: its depth, n). An edge
-    that ends at the end of a word has its n; one that goes on beyond has null, so there may be both. The
-    word that ends at the node itself is an edge of no letter."""
+    """paths -> node, edges: array of (c: first letter, label, to: next kept node, d: its depth, n, follow: the
+    letters that come after the first one, a space for a word's end). An edge that ends at the end of a word
+    has its n; one that goes on beyond has null, so there may be both. The word that ends at the node itself
+    is an edge of no letter."""
     word = F.col("word")
 
     def edge(x: Column, i: Column) -> Column:
@@ -179,10 +180,18 @@ def edge_table(paths: DataFrame) -> DataFrame:
         label = F.substr(word, d + 1, to - d)
         return F.struct(x["node"].alias("node"), F.struct(
             F.substr(label, F.lit(1), F.lit(1)).alias("c"), label.alias("label"), nxt["node"].alias("to"), to.alias("d"),
-            F.when(to == F.length(word), F.col("n")).alias("n")).alias("edge"))
+            F.when(to == F.length(word), F.col("n")).alias("n")).alias("edge"),
+            F.struct(F.substr(label, F.lit(1), F.lit(1)).alias("c"), _or_end(F.substr(word, d + 2, F.lit(1))).alias("then")).alias("two"))
 
-    return (paths.select(F.explode(F.transform("path", edge)).alias("x")).select("x.node", "x.edge")
-            .groupBy("node").agg(F.collect_set("edge").alias("edges")))
+    rows = (paths.select(F.explode(F.transform("path", edge)).alias("x")).select("x.node", "x.edge", "x.two")
+            .groupBy("node").agg(F.collect_set("edge").alias("edges"), F.collect_set("two").alias("twos")))
+    follow = lambda e: F.array_join(F.transform(F.filter("twos", lambda t: t["c"] == e["c"]), lambda t: t["then"]), "")
+    return rows.select("node", F.transform("edges", lambda e: F.struct(*(e[k].alias(k) for k in ("c", "label", "to", "d", "n")),
+                                                                        follow(e).alias("follow"))).alias("edges"))
+
+
+def _or_end(letter: Column) -> Column:
+    return F.when(letter == "", F.lit(" ")).otherwise(letter)
 
 
 def _follow(states: DataFrame) -> DataFrame:
@@ -204,11 +213,14 @@ def first_level(paths: DataFrame, table: DataFrame) -> DataFrame:
     word, d, c = F.col("word"), F.col("d"), F.col("e")["c"]
     letter = lambda k: F.substr(word, d + k, F.lit(1))
     # the edge of no letter is that of a word which ends here: this one without its last letter
-    fits = F.filter("edges", lambda e: (e["c"] > F.col("own")) | ((e["c"] == F.col("after")) & (e["c"] != F.col("own"))))
-    joined = (states.join(table, "node").withColumns({"own": letter(1), "after": letter(2)})
-              .select("word", "n", "side", "d", "own", "after", F.explode(fits).alias("e")))
+    # an edge is taken if the letter to come follows on it too: near a root most edges fit, and few go on
+    own, after, later = F.col("own"), F.col("after"), F.col("later")
+    replaces = lambda e: (e["c"] > own) & F.contains(e["follow"], _or_end(after))
+    deletes = lambda e: (e["c"] == after) & (e["c"] != own) & F.contains(e["follow"], later)
+    joined = (states.join(table, "node").withColumns({"own": letter(1), "after": letter(2), "later": _or_end(letter(3))})
+              .select("word", "n", "side", "d", "own", "after", "later", F.explode(F.filter("edges", lambda e: replaces(e) | deletes(e))).alias("e")))
     before, rest = F.substr(word, F.lit(1), d), F.substr(word, d + 2)
-    near = F.array_compact(F.array(F.when(c > F.col("own"), F.concat(before, c, rest)), F.when(c == F.col("after"), F.concat(before, rest))))
+    near = F.array_compact(F.array(F.when(replaces(F.col("e")), F.concat(before, c, rest)), F.when(deletes(F.col("e")), F.concat(before, rest))))
     return _follow(joined.select("word", "n", "side", "d", "e", F.explode(near).alias("near")))
 
 
