@@ -30,6 +30,7 @@ Deterministic: no sampling, fixed iteration count.
 from __future__ import annotations
 
 from statistics import NormalDist
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -54,20 +55,21 @@ def holiday_matrix(ds: np.ndarray, holidays: dict[int, list[str]], n_train: int)
     return out
 
 
-def fit_predict(ds: np.ndarray, y: np.ndarray, holidays: dict[int, list[str]], n_train: int,
-                n_changepoints: int = 25, changepoint_range: float = 0.8,
-                changepoint_prior: float = 0.05, seasonality_prior: float = 10.0,
-                holiday_prior: float = 10.0, interval_width: float = 0.80,
-                irls_iterations: int = 5) -> dict[str, np.ndarray]:
-    """Fit on the first ``n_train`` points, predict every point of ``ds``.
+class Design(NamedTuple):
+    """The columns of the model over all days; the first ``n_train`` rows are fitted."""
+    x: np.ndarray
+    t: np.ndarray            # time, 0 to 1 over the history
+    prior_var: np.ndarray    # of each column, hinges with the Laplace prior's variance
+    hinges: slice
+    seasons: slice
+    holidays: slice
 
-    ``ds``: days as integers (days since epoch), ascending; ``holidays``: the
-    holiday keys active on a day, for days that have any."""
-    n = len(ds)
-    y_tr = y[:n_train].astype(float)
-    scale = float(np.max(np.abs(y_tr))) if n_train and np.max(np.abs(y_tr)) > 0 else 1.0
-    ys = y_tr / scale
 
+def design(ds: np.ndarray, holidays: dict[int, list[str]], n_train: int,
+           n_changepoints: int = 25, changepoint_range: float = 0.8, changepoint_prior: float = 0.05,
+           seasonality_prior: float = 10.0, holiday_prior: float = 10.0) -> Design:
+    """It depends on the days alone, so all series of the same days share it."""
+    n = len(ds)
     t0, t1 = float(ds[0]), float(ds[n_train - 1]) if n_train > 1 else float(ds[0]) + 1.0
     span = max(t1 - t0, 1.0)
     t = (ds.astype(float) - t0) / span
@@ -84,8 +86,6 @@ def fit_predict(ds: np.ndarray, y: np.ndarray, holidays: dict[int, list[str]], n
 
     seas = np.hstack([fourier(ds.astype(float), YEARLY_PERIOD, YEARLY_ORDER),
                       fourier(ds.astype(float), WEEKLY_PERIOD, WEEKLY_ORDER)])
-    n_year = 2 * YEARLY_ORDER
-
     hol = holiday_matrix(ds, holidays, n_train)
 
     X = np.hstack([np.ones((n, 1)), t[:, None], hinge, seas, hol])
@@ -93,13 +93,42 @@ def fit_predict(ds: np.ndarray, y: np.ndarray, holidays: dict[int, list[str]], n
     s_cp = slice(2, 2 + n_h)
     s_seas = slice(2 + n_h, 2 + n_h + seas.shape[1])
     s_hol = slice(2 + n_h + seas.shape[1], X.shape[1])
-
-    Xt = X[:n_train]
     prior_var = np.empty(X.shape[1])
     prior_var[:2] = 5.0 ** 2
     prior_var[s_seas] = seasonality_prior ** 2
     prior_var[s_hol] = holiday_prior ** 2
     prior_var[s_cp] = (changepoint_prior ** 2) * 2.0  # Laplace variance, first pass
+    return Design(X, t, prior_var, s_cp, s_seas, s_hol)
+
+
+def half_width(d: Design, n_train: int, sigma2: np.ndarray, slopes: np.ndarray, changepoint_range: float,
+               interval_width: float) -> np.ndarray:
+    """Half of the interval on every day, scaled; ``sigma2`` and ``slopes`` (of the hinges) may have
+    a last axis of series."""
+    z = NormalDist().inv_cdf(0.5 + interval_width / 2.0)
+    ahead = np.maximum(d.t - d.t[n_train - 1], 0.0)
+    slope_scale = np.mean(np.abs(slopes), axis=0) if len(slopes) else np.zeros(np.shape(sigma2))
+    rate = len(slopes) / changepoint_range
+    return z * np.sqrt(sigma2 + rate * 2.0 * slope_scale ** 2 * (ahead ** 3 / 3.0).reshape(-1, *[1] * np.ndim(sigma2)))
+
+
+def fit_predict(ds: np.ndarray, y: np.ndarray, holidays: dict[int, list[str]], n_train: int,
+                n_changepoints: int = 25, changepoint_range: float = 0.8,
+                changepoint_prior: float = 0.05, seasonality_prior: float = 10.0,
+                holiday_prior: float = 10.0, interval_width: float = 0.80,
+                irls_iterations: int = 5) -> dict[str, np.ndarray]:
+    """Fit on the first ``n_train`` points, predict every point of ``ds``.
+
+    ``ds``: days as integers (days since epoch), ascending; ``holidays``: the
+    holiday keys active on a day, for days that have any."""
+    n = len(ds)
+    y_tr = y[:n_train].astype(float)
+    scale = float(np.max(np.abs(y_tr))) if n_train and np.max(np.abs(y_tr)) > 0 else 1.0
+    ys = y_tr / scale
+    d = design(ds, holidays, n_train, n_changepoints, changepoint_range, changepoint_prior, seasonality_prior, holiday_prior)
+    X, prior_var, s_cp, s_seas, s_hol = d.x, d.prior_var.copy(), d.hinges, d.seasons, d.holidays
+    n_h, n_year = s_cp.stop - s_cp.start, 2 * YEARLY_ORDER
+    Xt = X[:n_train]
 
     sigma2 = 1.0
     beta = np.zeros(X.shape[1])
@@ -114,14 +143,11 @@ def fit_predict(ds: np.ndarray, y: np.ndarray, holidays: dict[int, list[str]], n
 
     fit = X @ beta
     trend = X[:, :2 + n_h] @ beta[:2 + n_h]
+    seas = X[:, s_seas]
     yearly = seas[:, :n_year] @ beta[s_seas][:n_year]
     weekly = seas[:, n_year:] @ beta[s_seas][n_year:]
-    holi = hol @ beta[s_hol] if hol.shape[1] else np.zeros(n)
-    z = NormalDist().inv_cdf(0.5 + interval_width / 2.0)
-    ahead = np.maximum(t - t[n_train - 1], 0.0)
-    slope_scale = float(np.mean(np.abs(beta[s_cp]))) if n_h else 0.0
-    rate = n_h / changepoint_range
-    half = z * np.sqrt(sigma2 + rate * 2.0 * slope_scale ** 2 * ahead ** 3 / 3.0)
+    holi = X[:, s_hol] @ beta[s_hol] if s_hol.stop > s_hol.start else np.zeros(n)
+    half = half_width(d, n_train, sigma2, beta[s_cp], changepoint_range, interval_width)
     return {"yhat": fit * scale, "yhat_lower": (fit - half) * scale,
             "yhat_upper": (fit + half) * scale, "trend": trend * scale,
             "yearly": yearly * scale, "weekly": weekly * scale, "holidays": holi * scale}

@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 from mercato.functions.rounding import pd_round
 from mercato.operators.dense import expand_days
 from mercato.operators.forecast import forecast_group
+from mercato.operators.forecast_shared import factor, forecast_all
+from mercato.operators.regression import linear_trend
 from mercato.sources.fixture import Star
 
 CATEGORY_HORIZON = 90
@@ -164,3 +166,56 @@ def fc_checks(star: Star) -> DataFrame:
         F.count(F.lit(1)).alias("component_rows"),
         F.count_if(F.abs(total - F.col("yhat")) > 1e-6 * (1 + F.abs("yhat"))).alias("unequal"))
     return f.join(c, "cat_id")
+
+
+def forecast_shared(star: Star, keys: list[str], horizon: int, mode: str = "future") -> DataFrame:
+    """All series of composite keys at once: the shared design factored by the driver, series solved
+    in blocks (``operators.forecast_shared``). ``holdout`` predicts the last days, as ``forecast``."""
+    first, last = star.calendar.agg(F.unix_date(F.min("date")), F.unix_date(F.max("date"))).first()   # two numbers
+    n_train = last - first + 1 - (horizon if mode == "holdout" else 0)
+    wanted = {"cat_id", "dept_id", "item_id"} & set(keys)
+
+    def with_keys(df: DataFrame) -> DataFrame:
+        if wanted:
+            df = df.join(star.product.select("product_id", *sorted(wanted)), "product_id")
+        return df.join(star.store.select("store_id", "state_id"), "store_id") if "state_id" in keys else df
+
+    # a series that never sold has a row too, of nothing on the first day
+    none = star.series().select("product_id", "store_id", F.date_from_unix_date(F.lit(first)).alias("date"), F.lit(0).alias("units_sold"))
+    rows = star.sales.select("product_id", "store_id", "date", "units_sold").unionByName(none)
+    solver = factor(first, n_train, horizon, holidays_by_day(star.calendar))
+    return forecast_all(with_keys(rows), keys, "date", "units_sold", solver)
+
+
+def fc_item_store_30d(star: Star) -> DataFrame:
+    """The next 30 days of every item in every store."""
+    return forecast_shared(star, ["product_id", "store_id"], STORE_HORIZON)
+
+
+def fc_item_store(star: Star) -> DataFrame:
+    """Per series of ``fc_item_store_30d``: its rows, days, and rows whose prediction isn't inside the interval
+    or isn't a number; of the same days held out, the actual units they are measured by."""
+    f = fc_item_store_30d(star).groupBy("product_id", "store_id").agg(
+        F.count(F.lit(1)).alias("forecast_rows"), F.min("forecast_date").alias("first_day"), F.max("forecast_date").alias("last_day"),
+        F.count_if(F.isnan("predicted_demand") | (F.col("lower_ci") > F.col("predicted_demand"))
+                   | (F.col("upper_ci") < F.col("predicted_demand"))).alias("outside"))
+    held = forecast_shared(star, ["product_id", "store_id"], STORE_HORIZON, mode="holdout").select(
+        "product_id", "store_id", F.col("forecast_date").alias("date"))
+    actual = (held.join(star.sales.select("product_id", "store_id", "date", "units_sold"), ["product_id", "store_id", "date"], "left")
+              .groupBy("product_id", "store_id").agg(F.count(F.lit(1)).alias("holdout_days"),
+                                                     F.coalesce(F.sum("units_sold"), F.lit(0)).cast("bigint").alias("holdout_units")))
+    return f.join(actual, ["product_id", "store_id"])
+
+
+def fc_linear(star: Star) -> DataFrame:
+    """A straight line through the daily units of each category, store and item in a store, and its sum
+    over the next 30 days. Trend only, flat prior."""
+    t = F.datediff("date", star.first_day())
+    sales = star.sold().join(star.product.select("product_id", "cat_id"), "product_id")
+    levels = {"category": F.col("cat_id"), "store": F.col("store_id"), "item_store": F.concat_ws("_", "product_id", "store_id")}
+    daily = [sales.groupBy(key.alias("series_id"), "date").agg(F.sum("units_sold").cast("bigint").alias("y"))
+             .withColumn("level", F.lit(level)) for level, key in levels.items()]
+    rows = daily[0].unionByName(daily[1]).unionByName(daily[2]).select("level", "series_id", "y", t.alias("t"))
+    out = linear_trend(rows, ["level", "series_id"], F.col("t"), "y", star.n_days(), STORE_HORIZON)
+    return out.select("level", "series_id", "n_days", *[F.round(c, 6).alias(c) for c in ("slope", "intercept", "r2", "resid_sd")],
+                      F.round("next_total", 6).alias("next_30d"))

@@ -91,6 +91,9 @@ _STAR_QUERIES: dict[str, Callable[[Star], DataFrame]] = {
     "fc_model_metrics": forecasting.fc_model_metrics,
     "fc_dept_store": forecasting.fc_dept_store,
     "fc_checks": forecasting.fc_checks,
+    "fc_linear": forecasting.fc_linear,
+    "fc_item_store": forecasting.fc_item_store,
+    "fc_item_store_30d": forecasting.fc_item_store_30d,
     "audit_derived_constraints": audit.audit_derived_constraints,
     "view_sql_state_year": views.view_sql_state_year,
     **files.QUERIES,
