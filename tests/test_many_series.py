@@ -79,3 +79,48 @@ def test_line_from_moments(spark):
     one = linear_trend(df.where("t = 0"), ["k"], F.col("t"), "y", F.lit(1), 30).first()
     assert one.slope is None and one.r2 is None
     assert linear_trend(df.limit(0), ["k"], F.col("t"), "y", F.lit(5), 30).count() == 0
+
+
+def one_series(spark, y, nulls=()):
+    rows = spark.range(len(y)).select(F.lit("a").alias("k"), F.date_from_unix_date(F.col("id").cast("int") - 700_000).alias("day"), "id")
+    values = spark.createDataFrame([(i, None if i in nulls else float(v)) for i, v in enumerate(y)], "id bigint, y double")
+    return rows.join(values, "id").select("k", "day", "y")
+
+
+@pytest.mark.parametrize("period, block", [(7, 16), (8, 16), (30, 16), (5, 1000), (61, 16)])
+def test_centred_average_is_that_of_a_plain_loop(spark, period, block):
+    from mercato.operators.timeseries import centred_average
+    rng = np.random.default_rng(period)
+    y, nulls = rng.integers(0, 90, 150).astype(float), {3, 77}
+    df = one_series(spark, y, nulls).unionByName(one_series(spark, y[:40]).withColumn("k", F.lit("b")))
+    got = {(r.k, r.pos): r.trend for r in centred_average(df, ["k"], "day", "y", period, block).collect()}
+    assert len(got) == 190
+    h = period // 2
+    weight = np.ones(2 * h + 1)
+    if period % 2 == 0:
+        weight[[0, -1]] = 0.5
+    for k, n, gone in (("a", 150, nulls), ("b", 40, set())):
+        for i in range(n):
+            full = i >= h and i + h < n and not gone & set(range(i - h, i + h + 1))
+            if full:
+                assert got[k, i] == pytest.approx((weight * y[i - h:i + h + 1]).sum() / period)
+            else:
+                assert got[k, i] is None
+
+
+def test_a_series_of_a_million_days(spark):
+    """Split into ranges that several tasks take; no window of a period's rows."""
+    from mercato.operators.timeseries import decompose
+    n, period = 1_000_000, 365
+    days = spark.range(n).select(F.lit("a").alias("k"), F.date_from_unix_date(F.col("id").cast("int") - 500_000).alias("day"),
+                                 (F.col("id") * 2 + F.pmod("id", F.lit(period)) * 3).alias("y")).repartition(8)
+    out = decompose(days, ["k"], "day", "y", period)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "specifiedwindowframe(RowFrame, -182" not in plan
+    assert out.where("trend is not null").count() == n - period + 1
+    worst = out.where("trend is not null").agg(F.max(F.abs("resid")).alias("r")).first()
+    assert worst.r < 1e-6
+    # ranges, and with them rows, in all tasks
+    from mercato.operators.timeseries import running_sums
+    tasks = running_sums(days, ["k"], "day", "y").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(tasks) > 1 and max(r["count"] for r in tasks) < n
