@@ -11,15 +11,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mercato.functions.calendar import STATES
 from mercato.functions.rounding import ratio
 from mercato.operators.histogram import histogram
-from mercato.operators.melt import day_columns
+from mercato.operators.melt import day_columns, row_stats
 from mercato.sources.fixture import Star
 from mercato.sources.wide import series_ids, wide_sales
 
@@ -92,22 +90,9 @@ def audit_tables(wide: DataFrame, calendar: DataFrame, prices: DataFrame) -> Dat
 
 
 def wide_row_stats(wide: DataFrame) -> DataFrame:
-    """Per wide row: min, sum (NULL as 0) and NULL count over the day
-    columns. A row-wise reduction over ~2,000 columns: done with numpy on
-    Arrow batches (one output row per input row, no melt, no shuffle)."""
-    days = day_columns(wide)
-
-    def reduce_rows(batches):
-        for pdf in batches:
-            v = pdf[days].to_numpy(dtype="float64", na_value=np.nan)
-            nulls = np.isnan(v).sum(axis=1)
-            with np.errstate(all="ignore"):
-                mn = np.where(nulls == len(days), np.nan, np.nanmin(np.where(np.isnan(v), np.inf, v), axis=1))
-            yield pd.DataFrame({"id": pdf["id"], "mn": mn, "tot": np.nansum(v, axis=1),
-                                "nulls": nulls.astype("int64")})
-
-    schema = "id string, mn double, tot double, nulls bigint"
-    return wide.select("id", *days).mapInPandas(reduce_rows, schema)
+    """Per wide row: min, sum (NULL as 0) and NULL count over the day columns: one output row per
+    input row, no melt, no shuffle."""
+    return row_stats(wide, "id", day_columns(wide))
 
 
 def audit_report(star: Star) -> DataFrame:

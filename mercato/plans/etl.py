@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mercato.operators.dense import dense_rows, expand_days
-from mercato.operators.melt import day_columns, melt_wide
+from mercato.operators.melt import day_columns, melt_priced, melt_wide, row_stats
 from mercato.operators.pricing import with_price
 from mercato.sources.fixture import Star
 from mercato.sources.wide import ID_COLS, series_ids, wide_sales
@@ -61,13 +61,26 @@ def aggregate_daily(enriched: DataFrame) -> DataFrame:
 
 def top_k_ids(wide: DataFrame, k: int = 200) -> DataFrame:
     """Ids of the k series with the largest lifetime units (ties: id)."""
-    days = day_columns(wide)
-    total = F.aggregate(F.array(*[F.coalesce(F.col(d), F.lit(0)).cast("bigint") for d in days]),
-                        F.lit(0).cast("bigint"), lambda acc, x: acc + x)
-    return (wide.select("id", total.alias("lifetime_units"))
+    return (row_stats(wide, "id", day_columns(wide)).select("id", F.col("tot").alias("lifetime_units"))
             .orderBy(F.desc("lifetime_units"), "id").limit(k).select("id"))
 
 
+def enriched_daily(wide: DataFrame, calendar: DataFrame, prices: DataFrame) -> DataFrame:
+    """``daily_aggregated`` from the wide file in one step: wide rows and prices meet by (store, item),
+    cells are priced as arrays and first become rows below the partial aggregate. The only exchanges are
+    those of the wide rows, the prices and the partial sums; ``enrich`` would send each cell to its price."""
+    names = day_columns(wide)
+    known = {r["d"]: r["wm_yr_wk"] for r in calendar.select("d", "wm_yr_wk").collect()}      # a row a day
+    days = [d for d in names if d in known]
+    keep = ["cat_id", "dept_id", "store_id", "state_id"]
+    cells = melt_priced(wide, prices, ["store_id", "item_id"], keep, {d: known[d] for d in days})
+    place = wide.sparkSession.createDataFrame(list(enumerate(days)), "day_no int, d string")
+    cal = F.broadcast(place.join(calendar, "d").select("day_no", *[c for c in AGG_KEYS if c not in keep]))
+    sums = cells.groupBy("day_no", *keep).agg(F.sum("units_sold").cast("bigint").alias("total_units"), F.sum("cents").alias("cents"))
+    return sums.join(cal, "day_no").select(*AGG_KEYS, "total_units", (F.col("cents").cast("decimal(36,0)") * F.lit(0.01).cast("decimal(3,2)"))
+                                           .cast("decimal(38,2)").alias("total_revenue"))
+
+
 # ------------------------------------------------------- queries on a star
 
 def etl_calendar(star: Star) -> DataFrame:
@@ -104,6 +117,12 @@ def etl_daily_aggregated(star: Star) -> DataFrame:
     return d.withColumn("total_revenue", F.col("total_revenue").cast("double"))
 
 
+def etl_enriched_daily(star: Star) -> DataFrame:
+    """The ETL on the wide file: melt, price, aggregate."""
+    d = enriched_daily(wide_sales(star), star.calendar, star.prices.withColumnRenamed("product_id", "item_id"))
+    return d.withColumn("total_revenue", F.col("total_revenue").cast("double"))
+
+
 def etl_top200_sample(star: Star, k: int = 200) -> DataFrame:
     totals = series_ids(star.sales.groupBy("product_id", "store_id").agg(
         F.sum("units_sold").cast("bigint").alias("lifetime_units")))

@@ -59,6 +59,7 @@ _STAR_QUERIES: dict[str, Callable[[Star], DataFrame]] = {
     "etl_calendar": etl.etl_calendar,
     "etl_melt": etl.etl_melt,
     "etl_daily_aggregated": etl.etl_daily_aggregated,
+    "etl_enriched_daily": etl.etl_enriched_daily,
     "etl_top200_sample": etl.etl_top200_sample,
     "audit_report": audit.audit_report,
     "audit_nulls": audit.audit_nulls,

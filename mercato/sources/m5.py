@@ -108,7 +108,7 @@ def star_from_m5(wide: DataFrame, calendar: DataFrame, prices: DataFrame) -> Sta
     cal = calendar.where(number <= last).withColumn("is_weekend", F.col("wday").isin(1, 2)).withColumn(
         "is_event", F.col("event_name_1").isNotNull())
     ids = wide.select(F.col("item_id").alias("product_id"), "item_id", "dept_id", "cat_id", "store_id", "state_id")
-    sold = melt_wide(wide, ["item_id", "store_id"], days, fill=None).where(F.col("units_sold") > 0)
+    sold = melt_wide(wide, ["item_id", "store_id"], days, sold=True)
     # one row a day of the file
     sales = sold.join(F.broadcast(cal.select("d", "date")), "d").select(
         "date", F.col("item_id").alias("product_id"), "store_id", "units_sold")
