@@ -11,18 +11,23 @@ link when 100 * intersection >= ``PERCENT`` * union.
    for each part, for the P of all sizes a partner may have (P goes in steps, so that is one or
    two). Part signatures say far more than single shingles: texts that share a passage don't
    become candidates by it. Empty parts are left out where the P - D to spare allow it.
-   Each batch first links its own classes of equal signature to the least one and sends
-   one of them only, so a signature has at most a row a batch, whatever its group's size.
-3. Classes connected by signatures form candidate groups. A group is a tile; one beyond
-   ``TILE`` shingles is dealt into size bands (a pair's sizes are in the same band or in
-   neighbouring ones) and each band into blocks.
-4. In a tile: a parity bitmap of hashed bits a set. Where two bitmaps differ, so do the sets,
+3. Buckets are the classes of one signature. A batch compares its own ones with the first of each bucket;
+   those that link with it are behind it there and stay home, so a group of near copies sends
+   a row a batch and signature, whatever its size.
+4. Each bucket's members are compared with its least one: its star. A bucket whose members are then all of
+   one component needs no more: only connectivity is asked. Nothing is closed that isn't verified,
+   so candidates don't grow together.
+5. The other buckets are opened, with the classes that stayed home. Those outside of the bucket's largest
+   component are compared with all others of the bucket; those inside need no comparison with each
+   other. Buckets of the same members are one. Tiles are banded by size: a pair's sizes are in the same band
+   or in neighbouring ones; bands are dealt into blocks of ``TILE`` shingles, and each
+   block of the former meets each of the latter. No pair is left out.
+6. In a tile: a parity bitmap of hashed bits a set. Where two bitmaps differ, so do the sets,
    so (n + m - differing bits) / 2 bounds the overlap from above; pairs that could still link
-   are decided by intersecting sorted arrays. Only connectivity is asked, so a tile searches
-   breadth first and compares a class with those not reached yet.
-5. Blocks: each one holds its band's pivot (the least class) too. After that, classes that
-   are not in the component of their band's pivot are compared with all others of their band
-   and the next; those that are need no comparison with each other. No pair is left out.
+   are decided by intersecting sorted arrays.
+
+Sets of candidates are made once more from their texts: a bitmap of fixed size tells which texts these may be,
+so that no other text is shuffled.
 
 Components are the closure of these links by joins (``graph.components``).
 
@@ -37,9 +42,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from mercato.llm.common import free_names, freeze, prepare_workers, read_table
 from mercato.llm.graph import components
@@ -52,7 +56,9 @@ TILE = 2_000_000
 #: signatures that a batch links before it sends them
 FLUSH = 2_000_000
 LADDER = 1.5
-_SETS = "doc_id long, body long, n long, set_id long, signatures array<long>, near array<long>"
+_SETS = "doc_id long, body long, n long, set_id long, sent array<long>, home array<long>, near array<long>"
+#: bits that tell candidates' texts
+TOLD_BITS = 1 << 24
 
 
 def shingle_sets(texts: Texts, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -152,61 +158,65 @@ def signatures(keys: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 
 
 def describe(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """docs(doc_id, body, text) -> _SETS: size and id of the set, signatures to send, and
-    classes of this batch that share one of the others."""
+    """docs(doc_id, body, text) -> _SETS: size and id of the set, signatures to send, those for which the
+    class stays behind the first of its batch, and the classes it was found to link with."""
     prepare_workers(docs.sparkSession)
 
-    def flush(rows: list, signs: list[np.ndarray]) -> pa.RecordBatch:
-        ids = np.array([r[3] for r in rows], np.int64)
-        many = np.array([len(s) for s in signs])
-        sign = np.concatenate(signs) if len(signs) else np.zeros(0, np.uint64)
-        owner = np.repeat(ids, many)
+    def flush(rows: list, sets: list[np.ndarray], signs: list[np.ndarray]) -> pa.RecordBatch:
+        # an equal set sends nothing twice: only the first row of a class carries its lists
+        ids, first = np.unique(np.array([r[3] for r in rows], np.int64), return_index=True)
+        many = np.array([len(signs[k]) for k in first], np.int64)
+        sign = np.concatenate([signs[k] for k in first]) if len(first) else np.zeros(0, np.uint64)
+        owner = np.repeat(np.arange(len(first)), many)
         order = np.lexsort((owner, sign))
         sign, owner = sign[order], owner[order]
-        first = np.ones(len(sign), bool)
-        first[1:] = sign[1:] != sign[:-1]
-        head = owner[np.maximum.accumulate(np.where(first, np.arange(len(sign)), 0))] if len(sign) else owner
-        # an equal set sends nothing twice: only the first row of a class carries its lists
-        pairs = np.unique(np.stack([owner[owner != head], head[owner != head]], axis=1), axis=0)
-        send_id, send = owner[first], sign[first].view(np.int64)
-        by = np.argsort(send_id, kind="stable")
-        send_id, send = send_id[by], send[by]
-        out_sign, out_near, seen = [], [], set()
-        for own in ids.tolist():
-            if own in seen:
-                out_sign.append([])
-                out_near.append([])
-                continue
-            seen.add(own)
-            a, b = np.searchsorted(send_id, [own, own + 1]) if own < (1 << 63) - 1 else (np.searchsorted(send_id, own), len(send_id))
-            out_sign.append(send[a:b])
-            a, b = np.searchsorted(pairs[:, 0], own), np.searchsorted(pairs[:, 0], own, side="right")
-            out_near.append(pairs[a:b, 1])
+        new = np.ones(len(sign), bool)
+        new[1:] = sign[1:] != sign[:-1]
+        head = owner[np.maximum.accumulate(np.where(new, np.arange(len(sign)), 0))] if len(sign) else owner
+        pairs, which = np.unique(np.stack([owner, head], axis=1)[owner != head], axis=0, return_inverse=True)
+        linked = np.array([_linked(sets[first[a]], sets[first[b]], percent) for a, b in pairs.tolist()], bool)
+        home = np.zeros(len(sign), bool)
+        home[owner != head] = linked[which] if len(pairs) else False
+        pairs = pairs[linked]
+
+        def lists(of: np.ndarray, values: np.ndarray) -> list[np.ndarray]:
+            by = np.argsort(of, kind="stable")
+            cut = np.searchsorted(of[by], np.arange(len(first) + 1))
+            values = values[by]
+            return [values[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]
+
+        value, place = sign.view(np.int64), dict(zip(first.tolist(), range(len(first)), strict=True))
+        kinds = [lists(owner[~home], value[~home]), lists(owner[home], value[home]), lists(pairs[:, 0], ids[pairs[:, 1]])]
         cols = [pa.array([r[k] for r in rows], pa.int64()) for k in range(4)]
-        cols += [pa.array(out_sign, pa.list_(pa.int64())), pa.array(out_near, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "body", "n", "set_id", "signatures", "near"])
+        cols += [pa.array([kind[place[k]] if k in place else [] for k in range(len(rows))], pa.list_(pa.int64())) for kind in kinds]
+        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "body", "n", "set_id", "sent", "home", "near"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, signs, total = [], [], 0
+        rows, sets, signs, total = [], [], [], 0
         for batch in batches:
             ids, bodies = column(batch, "doc_id").to_pylist(), column(batch, "body").to_pylist()
             for texts in chunks(column(batch, "text")):
                 keys, at = shingle_sets(texts, size)
                 for r, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
                     own = keys[a:b]
-                    set_id = int(mix(own.sum(keepdims=True) * np.uint64(2 * (b - a) + 1)).view(np.int64)[0]) if b > a else None
-                    rows.append((ids[texts.first + r], bodies[texts.first + r], b - a, set_id if set_id is not None else 0))
+                    rows.append((ids[texts.first + r], bodies[texts.first + r], b - a, set_name(own)))
+                    sets.append(own)
                     signs.append(signatures(own, percent))
                     total += len(signs[-1])
             if total >= FLUSH or len(rows) >= 20_000:
-                yield flush(rows, signs)
-                rows, signs, total = [], [], 0
+                yield flush(rows, sets, signs)
+                rows, sets, signs, total = [], [], [], 0
         if rows:
-            yield flush(rows, signs)
+            yield flush(rows, sets, signs)
 
     return docs.select("doc_id", "body", "text").mapInArrow(run, _SETS)
 
 
+def set_name(keys: np.ndarray) -> int:
+    """A set's id, 0 for the empty set."""
+    return int(mix(keys.sum(keepdims=True) * np.uint64(2 * len(keys) + 1)).view(np.int64)[0]) if len(keys) else 0
+
+
 def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
     """Parity bitmaps: bit j is the parity of the shingles hashed to j."""
     bits = 256
@@ -264,31 +274,48 @@ def _tile_edges(tiles: DataFrame, percent: int) -> DataFrame:
     return tiles.groupBy("tile").applyInArrow(run, "a long, b long")
 
 
-def _with_keys(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """wanted(doc_id, set_id, ...) with the sorted shingle array of that document's text."""
-    rest = [c for c in wanted.columns if c not in ("doc_id", "set_id")]
-    joined = (docs.select(F.col("doc_id").alias("id"), "text").join(wanted, F.col("id").eqNullSafe(F.col("doc_id")))
-              .select("set_id", *rest, "text"))
-    schema = T.StructType([*joined.drop("text").schema.fields, T.StructField("keys", T.BinaryType())])
+def _told(ids: DataFrame, name: str) -> np.ndarray:
+    """A bitmap of ``TOLD_BITS`` bits of the hashes of a column's values: 2 MB at most reach the driver."""
+    at = F.pmod(F.xxhash64(name), F.lit(TOLD_BITS)) + 1
+    parts = (ids.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket"))
+             .agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect())
+    bits = np.zeros(TOLD_BITS // 8 + 4096, np.uint8)
+    for r in parts:
+        own = np.frombuffer(r["bits"], np.uint8)
+        bits[(r["bucket"] - 1) * 4096:(r["bucket"] - 1) * 4096 + len(own)] = own
+    return bits
+
+
+def _keys(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """wanted(doc_id, set_id) -> set_id, n, keys: the sorted shingles of these classes."""
+    told = docs.sparkSession.sparkContext.broadcast(_told(wanted, "doc_id"))
+    schema = "of long, set_id long, n long, keys binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keep, found = column(batch, "set_id").to_pylist(), [], []
-            for texts in chunks(column(batch, "text")):
-                keys, at = shingle_sets(texts, size)
-                for r, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
-                    own = keys[a:b]
-                    row = texts.first + r     # a row of the same doc_id may have another text
-                    if b > a and int(mix(own.sum(keepdims=True) * np.uint64(2 * (b - a) + 1)).view(np.int64)[0]) == ids[row]:
-                        keep.append(row)
-                        found.append(own.tobytes())
-            if not keep:
+            at = column(batch, "at").to_numpy()
+            some = np.flatnonzero(told.value[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            if not len(some):
                 continue
-            part = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found, pa.binary())],
-                                             names=[*part.schema.names[:-1], "keys"])
+            part, rows = batch.take(pa.array(some)), []
+            ids = column(part, "of").to_pylist()
+            for texts in chunks(column(part, "text")):
+                keys, cut = shingle_sets(texts, size)
+                for r, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+                    if b > a:
+                        rows.append((ids[texts.first + r], set_name(keys[a:b]), b - a, keys[a:b].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
+                                             names=["of", "set_id", "n", "keys"])
+
+    texts = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(TOLD_BITS)).alias("at"), F.col("doc_id").alias("of"), "text")
+    # a row of the same doc_id may have another text, and a clash of bits brings other documents
+    return (texts.mapInArrow(run, schema).join(wanted.withColumnRenamed("set_id", "own"),
+                                               (F.col("set_id") == F.col("own")) & F.col("of").eqNullSafe(F.col("doc_id")), "left_semi")
+            .select("set_id", "n", "keys"))
+
 
-    return joined.mapInArrow(run, schema)
+def _blocks(of: str, tile: int) -> Column:
+    return (F.floor(F.col(of) / tile) + 1).cast("long")
 
 
 def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, tile: int = TILE) -> DataFrame:
@@ -297,28 +324,30 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, tile: int
     sets = freeze(describe(plain, size, percent))
     full = sets.where("n > 0")
     classes = full.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
-    # a signature has at most a row a batch
-    across = (full.select(F.col("set_id").alias("a"), F.explode("signatures").alias("sign"))
-              .select("a", F.min("a").over(Window.partitionBy("sign")).alias("b")).where("a != b"))
-    groups = freeze(components(across.unionByName(full.select(F.col("set_id").alias("a"), F.explode("near").alias("b")))))
-
-    # size bands: band(n) and band(m) differ by at most one where m <= n / (percent / 100)
-    band = F.floor(F.log(F.col("n").cast("double")) / np.log(100 / percent) + 1e-9).cast("int")
-    member = freeze(groups.join(classes, groups["node"] == classes["set_id"]).select("root", "set_id", "doc_id", "n", band.alias("band")))
-    weight = member.groupBy("root").agg(F.sum("n").alias("all_n"))
-    by_band = member.groupBy("root", "band").agg(F.sum("n").alias("band_n"), F.min("set_id").alias("pivot"))
-    large = weight.where(F.col("all_n") > tile).select("root")
-    whole = member.join(large, "root", "left_anti").select("set_id", "doc_id", F.concat_ws("/", "root").alias("tile"), F.lit(True).alias("compare"))
-    spread = member.join(large, "root").join(by_band, ["root", "band"])
-    blocks = (F.floor(F.col("band_n") / tile) + 1).cast("long")
-    block = F.pmod(F.xxhash64("set_id"), blocks)
-    dealt = spread.select("set_id", "doc_id", F.explode(F.when(
-        F.col("set_id") == F.col("pivot"), F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(block))).alias("block"),
-        "root", "band").select("set_id", "doc_id", F.concat_ws("/", "root", "band", "block").alias("tile"), F.lit(True).alias("compare"))
-    edges = freeze(_tile_edges(_with_keys(plain, whole.unionByName(dealt), size), percent))
+    sent = full.select(F.col("set_id").alias("a"), "n", F.explode("sent").alias("sign"))
+    per = Window.partitionBy("sign")
+    rows = sent.withColumn("least", F.min(F.struct("a", "n")).over(per)).withColumn("most", F.max("a").over(per))
+    buckets = freeze(rows.where("least.a < most").select("sign", "a", "n", F.col("least.a").alias("head"), F.col("least.n").alias("head_n")))
+    near = full.select(F.col("set_id").alias("a"), F.explode("near").alias("b"))
+
+    alike = 100 * F.least("n", "head_n") >= percent * F.greatest("n", "head_n")
+    stars = freeze(buckets.where((F.col("a") != F.col("head")) & alike).select("a", "head", "n", "head_n").distinct())
+    asked = (buckets.select("a").unionByName(near.select("a")).unionByName(near.select(F.col("b").alias("a"))).distinct()
+             .join(classes, F.col("a") == F.col("set_id")).select("doc_id", "set_id"))
+    keys = freeze(_keys(plain, freeze(asked), size))
+
+    # a star's members in blocks, its head in each
+    sizes = stars.groupBy("head", "head_n").agg((F.floor(F.sum("n") / tile) + 1).cast("long").alias("blocks"))
+    heads = sizes.select(F.col("head").alias("set_id"), "head", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("compare"))
+    members = stars.join(sizes.select("head", "blocks"), "head").select(
+        F.col("a").alias("set_id"), "head", F.pmod(F.xxhash64("a"), F.col("blocks")).alias("block"), F.lit(False).alias("compare"))
+    tiles = heads.unionByName(members).select("set_id", F.concat_ws("/", "head", "block").alias("tile"), "compare")
+    edges = freeze(near.unionByName(_tile_edges(tiles.join(keys, "set_id"), percent)))
     found = freeze(components(edges))
-    if not large.isEmpty():
-        edges = freeze(edges.unionByName(_late_edges(plain, spread, found, size, percent, tile)))
+
+    opened = _opened(full, buckets, classes, found)
+    if not opened.isEmpty():
+        edges = freeze(edges.unionByName(_tile_edges(_outside_tiles(opened, percent, tile).join(keys, "set_id"), percent)))
         found = freeze(components(edges))
     named = (found.join(classes.select(F.col("set_id").alias("node"), "doc_id"), "node")
              .groupBy("root").agg(F.min("doc_id").alias("component_id")))
@@ -329,32 +358,43 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, tile: int
                     F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
 
 
-def _late_edges(plain: DataFrame, spread: DataFrame, found: DataFrame, size: int, percent: int, tile: int) -> DataFrame:
-    """Step 5: classes outside of their band's pivot's component against all of the bands that
-    they can link with. Blocks of the former meet each block of the latter in a tile."""
-    root_of = found.select(F.col("node").alias("set_id"), F.col("root").alias("known"))
-    pivot_of = found.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_known"))
-    # the large components: those of a pivot
-    main = spread.select("root", "band", "pivot").distinct().join(pivot_of, "pivot", "left").groupBy("root").agg(
-        F.min(F.coalesce("pivot_known", "pivot")).alias("main"))
-    known = (spread.join(root_of, "set_id", "left").join(main, "root")
-             .select("root", "band", "set_id", "doc_id", "n", (F.coalesce("known", "set_id") != F.col("main")).alias("outside")))
-    known = freeze(known)
-    asking = known.where("outside").groupBy("root", "band").agg((F.floor(F.sum("n") / tile) + 1).alias("ask_blocks"))
-    there = known.groupBy("root", "band").agg((F.floor(F.sum("n") / tile) + 1).alias("own_blocks"))
+def _opened(full: DataFrame, buckets: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """Buckets of several components, with all their classes: sign, set_id, n, root. One of each lot of
+    buckets of the same classes."""
+    root = found.select(F.col("node").alias("a"), "root")
+    known = buckets.select("sign", "a").distinct().join(root, "a", "left").select("sign", F.coalesce("root", "a").alias("root"))
+    # what stayed home is of its batch's component there
+    several = known.groupBy("sign").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("sign")
+    home = full.select(F.explode("home").alias("sign"), F.col("set_id").alias("a"))
+    members = freeze(buckets.select("sign", "a").unionByName(home).join(several, "sign", "left_semi").distinct())
+    lots = members.groupBy("sign").agg(F.sum(F.xxhash64("a").cast("decimal(20,0)")).alias("lot"), F.count("*").alias("many")).groupBy("lot", "many").agg(F.min("sign").alias("sign"))
+    return freeze(members.join(lots.select("sign"), "sign", "left_semi").join(root, "a", "left")
+                  .join(classes.select(F.col("set_id").alias("a"), "n"), "a")
+                  .select("sign", F.col("a").alias("set_id"), "n", F.coalesce("root", "a").alias("root")))
+
+
+def _outside_tiles(opened: DataFrame, percent: int, tile: int) -> DataFrame:
+    """Classes outside of their bucket's largest component against all of the size bands that they can link
+    with. Blocks of the former meet each block of the latter in a tile."""
+    # band(n) and band(m) differ by at most one where m <= n / (percent / 100)
+    band = F.floor(F.log(F.col("n").cast("double")) / np.log(100 / percent) + 1e-9).cast("int")
+    main = opened.groupBy("sign", "root").agg(F.count("*").alias("many")).groupBy("sign").agg(F.max(F.struct("many", "root")).alias("m"))
+    known = freeze(opened.join(main, "sign").select("sign", "set_id", "n", band.alias("band"), (F.col("root") != F.col("m.root")).alias("outside")))
+    asking = known.where("outside").groupBy("sign", "band").agg(F.sum("n").alias("all_n")).select("sign", "band", _blocks("all_n", tile).alias("ask_blocks"))
+    there = known.groupBy("sign", "band").agg(F.sum("n").alias("all_n")).select("sign", "band", _blocks("all_n", tile).alias("own_blocks"))
     # a tile is (asking band, its block, asked band, its block); asked: the same band or a neighbour
     meets = F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)]))
-    asked = (known.join(there, ["root", "band"]).withColumn("ask_band", meets)
-             .join(asking.withColumnRenamed("band", "ask_band"), ["root", "ask_band"])
-             .withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ask_blocks") - 1)))
-             .select("set_id", "doc_id", F.concat_ws("/", "root", "ask_band", "k", "band",
-                                                     F.pmod(F.xxhash64("set_id"), F.col("own_blocks"))).alias("tile"), F.lit(False).alias("compare")))
-    askers = (known.where("outside").join(asking, ["root", "band"])
+    zero = F.lit(0).cast("long")
+    asked = (known.join(there, ["sign", "band"]).withColumn("ask_band", meets)
+             .join(asking.withColumnRenamed("band", "ask_band"), ["sign", "ask_band"])
+             .withColumn("k", F.explode(F.sequence(zero, F.col("ask_blocks") - 1)))
+             .select("set_id", F.concat_ws("/", "sign", "ask_band", "k", "band", F.pmod(F.xxhash64("set_id"), F.col("own_blocks"))).alias("tile"), F.lit(False).alias("compare")))
+    askers = (known.where("outside").join(asking, ["sign", "band"])
               .withColumn("k", F.pmod(F.xxhash64("set_id"), F.col("ask_blocks")))
-              .withColumn("other", meets).join(there.select("root", F.col("band").alias("other"), "own_blocks"), ["root", "other"])
-              .withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("own_blocks") - 1)))
-              .select("set_id", "doc_id", F.concat_ws("/", "root", "band", "k", "other", "j").alias("tile"), F.lit(True).alias("compare")))
-    return _tile_edges(_with_keys(plain, asked.unionByName(askers), size), percent)
+              .withColumn("other", meets).join(there.select("sign", F.col("band").alias("other"), "own_blocks"), ["sign", "other"])
+              .withColumn("j", F.explode(F.sequence(zero, F.col("own_blocks") - 1)))
+              .select("set_id", F.concat_ws("/", "sign", "band", "k", "other", "j").alias("tile"), F.lit(True).alias("compare")))
+    return asked.unionByName(askers)
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
