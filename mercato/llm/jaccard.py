@@ -22,9 +22,10 @@ link when 100 * intersection >= ``PERCENT`` * union.
    other. Buckets of the same members are one. Tiles are banded by size: a pair's sizes are in the same band
    or in neighbouring ones; bands are dealt into blocks of ``TILE`` shingles, and each
    block of the former meets each of the latter. No pair is left out.
-6. In a tile: a parity bitmap of hashed bits a set. Where two bitmaps differ, so do the sets,
-   so (n + m - differing bits) / 2 bounds the overlap from above; pairs that could still link
-   are decided by intersecting sorted arrays.
+6. In a tile: a parity bitmap of hashed bits a set, of two to four bits a shingle. Where two bitmaps
+   differ, so do the sets, so (n + m - differing bits) / 2 bounds the overlap from above. Only
+   bitmaps are sent to tiles; the few pairs that could still link are decided, as stars again, by
+   intersecting sorted arrays.
 
 Sets of candidates are made once more from their texts: a bitmap of fixed size tells which texts these may be,
 so that no other text is shuffled.
@@ -42,6 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -53,8 +55,8 @@ SHINGLE = 3
 PERCENT = 90
 #: shingles of a tile, 8 bytes each
 TILE = 2_000_000
-#: signatures that a batch links before it sends them
-FLUSH = 2_000_000
+#: signatures, or shingles, that a batch compares before it sends them
+FLUSH = 1_500_000
 LADDER = 1.5
 _SETS = "doc_id long, body long, n long, set_id long, sent array<long>, home array<long>, near array<long>"
 #: bits that tell candidates' texts
@@ -202,10 +204,10 @@ def describe(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Da
                     rows.append((ids[texts.first + r], bodies[texts.first + r], b - a, set_name(own)))
                     sets.append(own)
                     signs.append(signatures(own, percent))
-                    total += len(signs[-1])
-            if total >= FLUSH or len(rows) >= 20_000:
-                yield flush(rows, sets, signs)
-                rows, sets, signs, total = [], [], [], 0
+                    total += max(b - a, len(signs[-1]))
+                if total >= FLUSH or len(rows) >= 20_000:
+                    yield flush(rows, sets, signs)
+                    rows, sets, signs, total = [], [], [], 0
         if rows:
             yield flush(rows, sets, signs)
 
@@ -217,16 +219,30 @@ def set_name(keys: np.ndarray) -> int:
     return int(mix(keys.sum(keepdims=True) * np.uint64(2 * len(keys) + 1)).view(np.int64)[0]) if len(keys) else 0
 
 
+def bitmap(keys: np.ndarray, bits: int | None = None) -> np.ndarray:
+    """The parity bitmap of a set: bit j is the parity of the shingles hashed to j."""
+    if bits is None:
+        bits = 256
+        while bits < 2 * len(keys):
+            bits *= 2
+    flips = np.bincount((keys & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(maps: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (rows) of fewer words: bits that fall together add up to their parity."""
+    while maps.shape[1] > words:
+        half = maps.shape[1] // 2
+        maps = maps[:, :half] ^ maps[:, half:]
+    return maps
+
+
 def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Parity bitmaps: bit j is the parity of the shingles hashed to j."""
+    """Of the same width, that of the largest set or 4096."""
     bits = 256
     while bits < min(4096, max(map(len, sets))):
         bits *= 2
-    out = np.zeros((len(sets), bits // 64), np.uint64)
-    for k, s in enumerate(sets):
-        flips = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-        out[k] = np.packbits(flips.astype(np.uint8)).view(np.uint64)
-    return out
+    return np.stack([bitmap(s, bits) for s in sets])
 
 
 def _linked(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
@@ -287,9 +303,9 @@ def _told(ids: DataFrame, name: str) -> np.ndarray:
 
 
 def _keys(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """wanted(doc_id, set_id) -> set_id, n, keys: the sorted shingles of these classes."""
+    """wanted(doc_id, set_id) -> set_id, n, bits, keys: the bitmaps and the sorted shingles of these classes."""
     told = docs.sparkSession.sparkContext.broadcast(_told(wanted, "doc_id"))
-    schema = "of long, set_id long, n long, keys binary"
+    schema = "of long, set_id long, n long, bits binary, keys binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -303,15 +319,25 @@ def _keys(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 keys, cut = shingle_sets(texts, size)
                 for r, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
                     if b > a:
-                        rows.append((ids[texts.first + r], set_name(keys[a:b]), b - a, keys[a:b].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
-                                             names=["of", "set_id", "n", "keys"])
+                        rows.append((ids[texts.first + r], set_name(keys[a:b]), b - a, bitmap(keys[a:b]).tobytes(), keys[a:b].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))],
+                                             names=["of", "set_id", "n", "bits", "keys"])
 
     texts = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(TOLD_BITS)).alias("at"), F.col("doc_id").alias("of"), "text")
     # a row of the same doc_id may have another text, and a clash of bits brings other documents
     return (texts.mapInArrow(run, schema).join(wanted.withColumnRenamed("set_id", "own"),
                                                (F.col("set_id") == F.col("own")) & F.col("of").eqNullSafe(F.col("doc_id")), "left_semi")
-            .select("set_id", "n", "keys"))
+            .select("set_id", "n", "bits", "keys"))
+
+
+def _verified(pairs: DataFrame, keys: DataFrame, percent: int, tile: int) -> DataFrame:
+    """pairs(a, head, n: of a) -> edges(a, b): those that link. The pairs of a head are a star: members in blocks,
+    the head in each block."""
+    sizes = pairs.groupBy("head").agg((F.floor(F.sum("n") / tile) + 1).cast("long").alias("blocks"))
+    heads = sizes.select(F.col("head").alias("set_id"), "head", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("compare"))
+    members = pairs.join(sizes, "head").select(F.col("a").alias("set_id"), "head", F.pmod(F.xxhash64("a"), F.col("blocks")).alias("block"), F.lit(False).alias("compare"))
+    tiles = heads.unionByName(members).select("set_id", F.concat_ws("/", "head", "block").alias("tile"), "compare")
+    return _tile_edges(tiles.join(keys.select("set_id", "keys"), "set_id"), percent)
 
 
 def _blocks(of: str, tile: int) -> Column:
@@ -336,18 +362,14 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, tile: int
              .join(classes, F.col("a") == F.col("set_id")).select("doc_id", "set_id"))
     keys = freeze(_keys(plain, freeze(asked), size))
 
-    # a star's members in blocks, its head in each
-    sizes = stars.groupBy("head", "head_n").agg((F.floor(F.sum("n") / tile) + 1).cast("long").alias("blocks"))
-    heads = sizes.select(F.col("head").alias("set_id"), "head", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("compare"))
-    members = stars.join(sizes.select("head", "blocks"), "head").select(
-        F.col("a").alias("set_id"), "head", F.pmod(F.xxhash64("a"), F.col("blocks")).alias("block"), F.lit(False).alias("compare"))
-    tiles = heads.unionByName(members).select("set_id", F.concat_ws("/", "head", "block").alias("tile"), "compare")
-    edges = freeze(near.unionByName(_tile_edges(tiles.join(keys, "set_id"), percent)))
+    edges = freeze(near.unionByName(_verified(stars.select("a", "head", "n"), keys, percent, tile)))
     found = freeze(components(edges))
 
     opened = _opened(full, buckets, classes, found)
     if not opened.isEmpty():
-        edges = freeze(edges.unionByName(_tile_edges(_outside_tiles(opened, percent, tile).join(keys, "set_id"), percent)))
+        tiles = _outside_tiles(opened, percent, tile).join(keys.select("set_id", "n", "bits"), "set_id")
+        pairs = freeze(_survivors(tiles, percent).distinct())
+        edges = freeze(edges.unionByName(_verified(pairs, keys, percent, tile)))
         found = freeze(components(edges))
     named = (found.join(classes.select(F.col("set_id").alias("node"), "doc_id"), "node")
              .groupBy("root").agg(F.min("doc_id").alias("component_id")))
@@ -379,7 +401,7 @@ def _outside_tiles(opened: DataFrame, percent: int, tile: int) -> DataFrame:
     # band(n) and band(m) differ by at most one where m <= n / (percent / 100)
     band = F.floor(F.log(F.col("n").cast("double")) / np.log(100 / percent) + 1e-9).cast("int")
     main = opened.groupBy("sign", "root").agg(F.count("*").alias("many")).groupBy("sign").agg(F.max(F.struct("many", "root")).alias("m"))
-    known = freeze(opened.join(main, "sign").select("sign", "set_id", "n", band.alias("band"), (F.col("root") != F.col("m.root")).alias("outside")))
+    known = freeze(opened.join(main, "sign").select("sign", "set_id", "root", "n", band.alias("band"), (F.col("root") != F.col("m.root")).alias("outside")))
     asking = known.where("outside").groupBy("sign", "band").agg(F.sum("n").alias("all_n")).select("sign", "band", _blocks("all_n", tile).alias("ask_blocks"))
     there = known.groupBy("sign", "band").agg(F.sum("n").alias("all_n")).select("sign", "band", _blocks("all_n", tile).alias("own_blocks"))
     # a tile is (asking band, its block, asked band, its block); asked: the same band or a neighbour
@@ -388,15 +410,79 @@ def _outside_tiles(opened: DataFrame, percent: int, tile: int) -> DataFrame:
     asked = (known.join(there, ["sign", "band"]).withColumn("ask_band", meets)
              .join(asking.withColumnRenamed("band", "ask_band"), ["sign", "ask_band"])
              .withColumn("k", F.explode(F.sequence(zero, F.col("ask_blocks") - 1)))
-             .select("set_id", F.concat_ws("/", "sign", "ask_band", "k", "band", F.pmod(F.xxhash64("set_id"), F.col("own_blocks"))).alias("tile"), F.lit(False).alias("compare")))
+             .select("set_id", "root", F.concat_ws("/", "sign", "ask_band", "k", "band", F.pmod(F.xxhash64("set_id"), F.col("own_blocks"))).alias("tile"), F.lit(False).alias("compare")))
     askers = (known.where("outside").join(asking, ["sign", "band"])
               .withColumn("k", F.pmod(F.xxhash64("set_id"), F.col("ask_blocks")))
               .withColumn("other", meets).join(there.select("sign", F.col("band").alias("other"), "own_blocks"), ["sign", "other"])
               .withColumn("j", F.explode(F.sequence(zero, F.col("own_blocks") - 1)))
-              .select("set_id", F.concat_ws("/", "sign", "band", "k", "other", "j").alias("tile"), F.lit(True).alias("compare")))
+              .select("set_id", "root", F.concat_ws("/", "sign", "band", "k", "other", "j").alias("tile"), F.lit(True).alias("compare")))
     return asked.unionByName(askers)
 
 
+def _survivors(tiles: DataFrame, percent: int) -> DataFrame:
+    """tiles(tile, set_id, root, compare, n, bits) -> a, head, n (of a): pairs of different components, one of
+    them asking, that could link by their sizes and bitmaps. Tiles come one after the other, sorted."""
+    def pairs_of(ids: np.ndarray, roots: np.ndarray, ask: np.ndarray, n: np.ndarray, bits: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        words = np.array([len(x) // 8 for x in bits])
+        groups = {w: np.flatnonzero(words == w) for w in np.unique(words).tolist()}
+        maps = {w: np.frombuffer(b"".join(bits[k] for k in rows), np.uint64).reshape(len(rows), w) for w, rows in groups.items()}
+        narrow = {(w, v): folded(maps[w], v) for w in maps for v in maps if v <= w}
+        left, right = [], []
+        for k in np.flatnonzero(ask).tolist():
+            for w, rows in groups.items():
+                v = min(w, int(words[k]))
+                own = folded(np.frombuffer(bits[k], np.uint64).reshape(1, -1), v)
+                differ = np.bitwise_count(narrow[w, v] ^ own).sum(axis=1, dtype=np.int64)
+                most = np.minimum((n[rows] + n[k] - differ) // 2, np.minimum(n[rows], n[k]))
+                fit = rows[(100 * most >= percent * (n[rows] + n[k] - most)) & (roots[rows] != roots[k])]
+                left.append(ids[fit])
+                right.append(np.full(len(fit), k))
+        at = np.concatenate(right) if right else np.zeros(0, np.int64)
+        return (np.concatenate(left) if left else ids[:0]), ids[at], at
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def finish(table: pa.Table) -> pa.RecordBatch:
+            tile = table.column("tile").combine_chunks()
+            ids, roots, n = (table.column(c).to_numpy() for c in ("set_id", "root", "n"))
+            ask, bits = table.column("compare").to_numpy(zero_copy_only=False), table.column("bits").to_pylist()
+            code = tile.dictionary_encode().indices.to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), len(code)]
+            found = []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                # an asker may stand in its tile twice, as asked too
+                own, first = np.unique(ids[a:b], return_index=True)
+                asks = np.zeros(len(own), bool)
+                np.logical_or.at(asks, np.searchsorted(own, ids[a:b]), ask[a:b])
+                first = first + a
+                one, two, at = pairs_of(own, roots[first], asks, n[first], [bits[k] for k in first])
+                found.append((two, one, n[first][at]))
+            cols = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3)]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "head", "n"])
+
+        last = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            tile = column(batch, "tile")
+            # rows up to the last tile's first one can be done, if that isn't the tile held
+            end = tile[len(batch) - 1].as_py()
+            cut = pc.index(tile, end).as_py() if end != last else 0
+            if end != last:
+                held.append(batch.slice(0, cut))
+                whole = pa.Table.from_batches([h for h in held if len(h)], batch.schema)
+                if len(whole):
+                    yield finish(whole)
+                held, last = [], end
+            held.append(batch.slice(cut))
+        if held:
+            yield finish(pa.Table.from_batches(held))
+
+    order = tiles.select("tile", "set_id", "root", "compare", "n", "bits").repartition("tile").sortWithinPartitions("tile")
+    return order.mapInArrow(run, "a long, head long, n long")
+
+
 def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``docs`` with the document of the smallest id of each component; rows of equal doc_id
     and text are one document."""
