@@ -51,12 +51,24 @@ _SECRET = r"(?i:password|passwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']
 #: between two digits of a phone number with its country code; no card begins behind it
 _GAP = r"(?: ?\((?:0\))?|\)? (?!(?:[0-9]{4}[ -]?){3}[0-9])|\)|[./-])?"
 _HEX = "[0-9A-Fa-f]{1,4}"
+#: fixed values: characters of an account number by country, where they aren't a multiple of four; others have 16 to 32
+IBAN_LENGTHS = {22: "DE GB IE BG BH ME RS GE", 27: "FR IT MC SM GR", 18: "NL DK FI FO GL", 21: "CH LI HR LV", 25: "PT", 23: "AE GI IL", 19: "MK SI", 26: "IS TR", 29: "BR EG PS QA", 31: "MT", 15: "NO"}
+
+
+def _iban(countries: str, length: int) -> str:
+    """The two letters, two check digits, groups of four and what is left."""
+    groups, rest = divmod(length - 4, 4)
+    return rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}} ?[A-Z0-9]{{{rest}}}"
+
+
+_IBANS = "|".join([*(_iban(countries, length) for length, countries in IBAN_LENGTHS.items()),
+                   rf"(?!{'|'.join(IBAN_LENGTHS.values()).replace(' ', '|')})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}"])
 #: kind -> pattern; the order decides
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "secret": rf"\b{_SECRET}(?=[_+/-]*[A-Za-z0-9])[A-Za-z0-9_+/-]{{8,}}",
     "access_key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b",
-    "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}\b",
+    "iban": rf"\b(?:{_IBANS})\b",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9+-])(?:[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}|3[47][0-9]{2}([ -]?)[0-9]{6}\2[0-9]{5})(?![0-9-])",
     "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
