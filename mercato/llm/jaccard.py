@@ -59,6 +59,8 @@ TILE = 2_000_000
 FLUSH = 1_500_000
 LADDER = 1.5
 _SETS = "doc_id long, body long, n long, set_id long, sent array<long>, home array<long>, near array<long>"
+#: bytes of text cut into shingles at once
+TEXT_BYTES = 1 << 20
 #: bits that tell candidates' texts
 TOLD_BITS = 1 << 24
 
@@ -197,7 +199,7 @@ def describe(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Da
         rows, sets, signs, total = [], [], [], 0
         for batch in batches:
             ids, bodies = column(batch, "doc_id").to_pylist(), column(batch, "body").to_pylist()
-            for texts in chunks(column(batch, "text")):
+            for texts in chunks(column(batch, "text"), TEXT_BYTES):
                 keys, at = shingle_sets(texts, size)
                 for r, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
                     own = keys[a:b]
@@ -315,7 +317,7 @@ def _keys(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 continue
             part, rows = batch.take(pa.array(some)), []
             ids = column(part, "of").to_pylist()
-            for texts in chunks(column(part, "text")):
+            for texts in chunks(column(part, "text"), TEXT_BYTES):
                 keys, cut = shingle_sets(texts, size)
                 for r, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
                     if b > a:
