@@ -37,6 +37,8 @@ from mercato.llm.textbytes import ALNUM, Texts, chunks, column, word_hashes
 
 SIZE = 10
 PACK_BYTES = 16 << 20
+#: bytes of text that an index is made of
+SHARD_BYTES = 1 << 20
 REPORT = ("n_words", "n_hit", "n_items", "item_ids", "spans")
 
 
@@ -170,7 +172,7 @@ def mark_benchmark(docs: DataFrame, benchmark: DataFrame, size: int = SIZE,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [row for texts in chunks(column(batch, "text")) for row in judge(texts, [p.value for p in packs])]
+            rows = [row for texts in chunks(column(batch, "text"), SHARD_BYTES) for row in judge(texts, [p.value for p in packs])]
             columns = [[r[k] for r in rows] for k in range(4)]
             columns.append([[{"from": a, "to": b} for a, b in r[4]] for r in rows])
             cols = [pa.array(v, f.type) for v, f in zip(columns, new, strict=True)]
