@@ -367,10 +367,13 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, tile: int
     edges = freeze(near.unionByName(_verified(stars.select("a", "head", "n"), keys, percent, tile)))
     found = freeze(components(edges))
 
-    opened = _opened(full, buckets, classes, found)
-    if not opened.isEmpty():
+    # first the most alike of each component, which makes most buckets one component; then all that is left
+    for best in (True, False):
+        opened = _opened(full, buckets, classes, found)
+        if opened.isEmpty():
+            break
         tiles = _outside_tiles(opened, percent, tile).join(keys.select("set_id", "n", "bits"), "set_id")
-        pairs = freeze(_survivors(tiles, percent).distinct())
+        pairs = freeze(_survivors(tiles, percent, best).distinct())
         edges = freeze(edges.unionByName(_verified(pairs, keys, percent, tile)))
         found = freeze(components(edges))
     named = (found.join(classes.select(F.col("set_id").alias("node"), "doc_id"), "node")
@@ -421,9 +424,10 @@ def _outside_tiles(opened: DataFrame, percent: int, tile: int) -> DataFrame:
     return asked.unionByName(askers)
 
 
-def _survivors(tiles: DataFrame, percent: int) -> DataFrame:
+def _survivors(tiles: DataFrame, percent: int, best: bool = False) -> DataFrame:
     """tiles(tile, set_id, root, compare, n, bits) -> a, head, n (of a): pairs of different components, one of
-    them asking, that could link by their sizes and bitmaps. Tiles come one after the other, sorted."""
+    them asking, that could link by their sizes and bitmaps; ``best``: of a tile's component only that of the
+    largest bound, for each that asks. Tiles come one after the other, sorted."""
     def pairs_of(ids: np.ndarray, roots: np.ndarray, ask: np.ndarray, n: np.ndarray, bits: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         words = np.array([len(x) // 8 for x in bits])
         groups = {w: np.flatnonzero(words == w) for w in np.unique(words).tolist()}
@@ -431,14 +435,21 @@ def _survivors(tiles: DataFrame, percent: int) -> DataFrame:
         narrow = {(w, v): folded(maps[w], v) for w in maps for v in maps if v <= w}
         left, right = [], []
         for k in np.flatnonzero(ask).tolist():
+            fits, bounds = [], []
             for w, rows in groups.items():
                 v = min(w, int(words[k]))
                 own = folded(np.frombuffer(bits[k], np.uint64).reshape(1, -1), v)
                 differ = np.bitwise_count(narrow[w, v] ^ own).sum(axis=1, dtype=np.int64)
                 most = np.minimum((n[rows] + n[k] - differ) // 2, np.minimum(n[rows], n[k]))
-                fit = rows[(100 * most >= percent * (n[rows] + n[k] - most)) & (roots[rows] != roots[k])]
-                left.append(ids[fit])
-                right.append(np.full(len(fit), k))
+                could = (100 * most >= percent * (n[rows] + n[k] - most)) & (roots[rows] != roots[k])
+                fits.append(rows[could])
+                bounds.append(most[could] / (n[rows[could]] + n[k]))
+            fit = np.concatenate(fits)
+            if best and len(fit) > 1:
+                fit = fit[np.argsort(-np.concatenate(bounds), kind="stable")]
+                fit = fit[np.unique(roots[fit], return_index=True)[1]]
+            left.append(ids[fit])
+            right.append(np.full(len(fit), k))
         at = np.concatenate(right) if right else np.zeros(0, np.int64)
         return (np.concatenate(left) if left else ids[:0]), ids[at], at
 
