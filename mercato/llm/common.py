@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import pathlib
 import tempfile
@@ -52,6 +55,14 @@ def prepare_workers(spark: SparkSession) -> None:
 _shipped: set[str] = set()
 
 
+def give_back_memory() -> None:
+    """Return what Python and numpy have freed to the system, where the C library can: a driver that
+    has learned a model goes on with little memory."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def freeze(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there:
     lineage is cut and partition ids stay as they are. Survives a lost executor."""

@@ -367,13 +367,10 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, tile: int
     edges = freeze(near.unionByName(_verified(stars.select("a", "head", "n"), keys, percent, tile)))
     found = freeze(components(edges))
 
-    # first the most alike of each component, which makes most buckets one component; then all that is left
-    for best in (True, False):
-        opened = _opened(full, buckets, classes, found)
-        if opened.isEmpty():
-            break
+    opened = _opened(full, buckets, classes, found)
+    if not opened.isEmpty():
         tiles = _outside_tiles(opened, percent, tile).join(keys.select("set_id", "n", "bits"), "set_id")
-        pairs = freeze(_survivors(tiles, percent, best).distinct())
+        pairs = freeze(_survivors(tiles, percent).distinct())
         edges = freeze(edges.unionByName(_verified(pairs, keys, percent, tile)))
         found = freeze(components(edges))
     named = (found.join(classes.select(F.col("set_id").alias("node"), "doc_id"), "node")
@@ -424,10 +421,9 @@ def _outside_tiles(opened: DataFrame, percent: int, tile: int) -> DataFrame:
     return asked.unionByName(askers)
 
 
-def _survivors(tiles: DataFrame, percent: int, best: bool = False) -> DataFrame:
+def _survivors(tiles: DataFrame, percent: int) -> DataFrame:
     """tiles(tile, set_id, root, compare, n, bits) -> a, head, n (of a): pairs of different components, one of
-    them asking, that could link by their sizes and bitmaps; ``best``: of a tile's component only that of the
-    largest bound, for each that asks. Tiles come one after the other, sorted."""
+    them asking, that could link by their sizes and bitmaps. Tiles come one after the other, sorted."""
     def pairs_of(ids: np.ndarray, roots: np.ndarray, ask: np.ndarray, n: np.ndarray, bits: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         words = np.array([len(x) // 8 for x in bits])
         groups = {w: np.flatnonzero(words == w) for w in np.unique(words).tolist()}
@@ -435,28 +431,21 @@ def _survivors(tiles: DataFrame, percent: int, best: bool = False) -> DataFrame:
         narrow = {(w, v): folded(maps[w], v) for w in maps for v in maps if v <= w}
         left, right = [], []
         for k in np.flatnonzero(ask).tolist():
-            fits, bounds = [], []
             for w, rows in groups.items():
                 v = min(w, int(words[k]))
                 own = folded(np.frombuffer(bits[k], np.uint64).reshape(1, -1), v)
                 differ = np.bitwise_count(narrow[w, v] ^ own).sum(axis=1, dtype=np.int64)
                 most = np.minimum((n[rows] + n[k] - differ) // 2, np.minimum(n[rows], n[k]))
-                could = (100 * most >= percent * (n[rows] + n[k] - most)) & (roots[rows] != roots[k])
-                fits.append(rows[could])
-                bounds.append(most[could] / (n[rows[could]] + n[k]))
-            fit = np.concatenate(fits)
-            if best and len(fit) > 1:
-                fit = fit[np.argsort(-np.concatenate(bounds), kind="stable")]
-                fit = fit[np.unique(roots[fit], return_index=True)[1]]
-            left.append(ids[fit])
-            right.append(np.full(len(fit), k))
+                fit = rows[(100 * most >= percent * (n[rows] + n[k] - most)) & (roots[rows] != roots[k])]
+                left.append(ids[fit])
+                right.append(np.full(len(fit), k))
         at = np.concatenate(right) if right else np.zeros(0, np.int64)
         return (np.concatenate(left) if left else ids[:0]), ids[at], at
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def finish(table: pa.Table) -> pa.RecordBatch:
+        def finish(table: pa.Table) -> np.ndarray:
             tile = table.column("tile").combine_chunks()
             ids, roots, n = (table.column(c).to_numpy() for c in ("set_id", "root", "n"))
             ask, bits = table.column("compare").to_numpy(zero_copy_only=False), table.column("bits").to_pylist()
@@ -470,11 +459,14 @@ def _survivors(tiles: DataFrame, percent: int, best: bool = False) -> DataFrame:
                 np.logical_or.at(asks, np.searchsorted(own, ids[a:b]), ask[a:b])
                 first = first + a
                 one, two, at = pairs_of(own, roots[first], asks, n[first], [bits[k] for k in first])
-                found.append((two, one, n[first][at]))
-            cols = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3)]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "head", "n"])
+                found.append(np.stack([two, one, n[first][at]], axis=1))
+            return np.unique(np.concatenate(found), axis=0)      # two texts meet in many tiles
 
-        last = None
+        def told(pairs: list[np.ndarray]) -> pa.RecordBatch:
+            rows = np.unique(np.concatenate(pairs), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(rows[:, k], pa.int64()) for k in range(3)], names=["a", "head", "n"])
+
+        last, pairs = None, [np.zeros((0, 3), np.int64)]
         for batch in batches:
             if not len(batch):
                 continue
@@ -486,11 +478,15 @@ def _survivors(tiles: DataFrame, percent: int, best: bool = False) -> DataFrame:
                 held.append(batch.slice(0, cut))
                 whole = pa.Table.from_batches([h for h in held if len(h)], batch.schema)
                 if len(whole):
-                    yield finish(whole)
+                    pairs.append(finish(whole))
+                    if sum(map(len, pairs)) > FLUSH:
+                        yield told(pairs)
+                        pairs = pairs[:1]
                 held, last = [], end
             held.append(batch.slice(cut))
         if held:
-            yield finish(pa.Table.from_batches(held))
+            pairs.append(finish(pa.Table.from_batches(held)))
+        yield told(pairs)
 
     order = tiles.select("tile", "set_id", "root", "compare", "n", "bits").repartition("tile").sortWithinPartitions("tile")
     return order.mapInArrow(run, "a long, head long, n long")
