@@ -57,7 +57,7 @@ _shipped: set[str] = set()
 
 def give_back_memory() -> None:
     """Return what Python and numpy have freed to the system, where the C library can: a driver that
-    has learned a model goes on with little memory."""
+    has learned a model, or a worker between two stages, goes on with little memory."""
     gc.collect()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)

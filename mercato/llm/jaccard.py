@@ -47,7 +47,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mercato.llm.common import free_names, freeze, prepare_workers, read_table
+from mercato.llm.common import free_names, freeze, give_back_memory, prepare_workers, read_table
 from mercato.llm.graph import components
 from mercato.llm.textbytes import NON_SPACE, Texts, chunks, column, mix, word_hashes
 
@@ -212,6 +212,7 @@ def describe(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Da
                     rows, sets, signs, total = [], [], [], 0
         if rows:
             yield flush(rows, sets, signs)
+        give_back_memory()
 
     return docs.select("doc_id", "body", "text").mapInArrow(run, _SETS)
 
@@ -324,6 +325,7 @@ def _keys(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                         rows.append((ids[texts.first + r], set_name(keys[a:b]), b - a, bitmap(keys[a:b]).tobytes(), keys[a:b].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))],
                                              names=["of", "set_id", "n", "bits", "keys"])
+        give_back_memory()
 
     texts = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(TOLD_BITS)).alias("at"), F.col("doc_id").alias("of"), "text")
     # a row of the same doc_id may have another text, and a clash of bits brings other documents
@@ -487,6 +489,7 @@ def _survivors(tiles: DataFrame, percent: int) -> DataFrame:
         if held:
             pairs.append(finish(pa.Table.from_batches(held)))
         yield told(pairs)
+        give_back_memory()
 
     order = tiles.select("tile", "set_id", "root", "compare", "n", "bits").repartition("tile").sortWithinPartitions("tile")
     return order.mapInArrow(run, "a long, head long, n long")
