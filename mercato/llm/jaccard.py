@@ -406,26 +406,35 @@ def _outside_tiles(opened: DataFrame, percent: int, tile: int) -> DataFrame:
     band = F.floor(F.log(F.col("n").cast("double")) / np.log(100 / percent) + 1e-9).cast("int")
     main = opened.groupBy("sign", "root").agg(F.count("*").alias("many")).groupBy("sign").agg(F.max(F.struct("many", "root")).alias("m"))
     known = freeze(opened.join(main, "sign").select("sign", "set_id", "root", "n", band.alias("band"), (F.col("root") != F.col("m.root")).alias("outside")))
-    asking = known.where("outside").groupBy("sign", "band").agg(F.sum("n").alias("all_n")).select("sign", "band", _blocks("all_n", tile).alias("ask_blocks"))
+    asking = (known.where("outside").groupBy("sign", "band").agg(F.sum("n").alias("all_n"))
+              .select("sign", "band", _blocks("all_n", tile).alias("ask_blocks")))
     there = known.groupBy("sign", "band").agg(F.sum("n").alias("all_n")).select("sign", "band", _blocks("all_n", tile).alias("own_blocks"))
+    asker = (known.where("outside").join(asking, ["sign", "band"])
+             .withColumn("k", F.pmod(F.xxhash64("set_id"), F.col("ask_blocks"))))
+    # a class meets another one in many buckets: tiles of the same first asker lie in one task, which makes their pairs once
+    leads = asker.groupBy("sign", "band", "k").agg(F.min("set_id").alias("lead"))
     # a tile is (asking band, its block, asked band, its block); asked: the same band or a neighbour
     meets = F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)]))
     zero = F.lit(0).cast("long")
+
+    def rows(frame: DataFrame, compare: bool) -> DataFrame:
+        place = ("ask_band", "k", "band", "j")
+        return frame.select("set_id", "root", F.concat_ws("/", "sign", *place).alias("tile"),
+                            F.concat_ws("/", "lead", *place).alias("beside"), F.lit(compare).alias("compare"))
+
     asked = (known.join(there, ["sign", "band"]).withColumn("ask_band", meets)
-             .join(asking.withColumnRenamed("band", "ask_band"), ["sign", "ask_band"])
-             .withColumn("k", F.explode(F.sequence(zero, F.col("ask_blocks") - 1)))
-             .select("set_id", "root", F.concat_ws("/", "sign", "ask_band", "k", "band", F.pmod(F.xxhash64("set_id"), F.col("own_blocks"))).alias("tile"), F.lit(False).alias("compare")))
-    askers = (known.where("outside").join(asking, ["sign", "band"])
-              .withColumn("k", F.pmod(F.xxhash64("set_id"), F.col("ask_blocks")))
-              .withColumn("other", meets).join(there.select("sign", F.col("band").alias("other"), "own_blocks"), ["sign", "other"])
-              .withColumn("j", F.explode(F.sequence(zero, F.col("own_blocks") - 1)))
-              .select("set_id", "root", F.concat_ws("/", "sign", "band", "k", "other", "j").alias("tile"), F.lit(True).alias("compare")))
-    return asked.unionByName(askers)
+             .join(leads.withColumnRenamed("band", "ask_band"), ["sign", "ask_band"])
+             .withColumn("j", F.pmod(F.xxhash64("set_id"), F.col("own_blocks"))))
+    askers = (asker.join(leads, ["sign", "band", "k"]).withColumnRenamed("band", "ask_band")
+              .withColumn("band", F.explode(F.array(*[F.col("ask_band") + d for d in (-1, 0, 1)])))
+              .join(there, ["sign", "band"])
+              .withColumn("j", F.explode(F.sequence(zero, F.col("own_blocks") - 1))))
+    return rows(asked, False).unionByName(rows(askers, True))
 
 
 def _survivors(tiles: DataFrame, percent: int) -> DataFrame:
-    """tiles(tile, set_id, root, compare, n, bits) -> a, head, n (of a): pairs of different components, one of
-    them asking, that could link by their sizes and bitmaps. Tiles come one after the other, sorted."""
+    """tiles(tile, beside, set_id, root, compare, n, bits) -> a, head, n (of a): pairs of different components, one
+    of them asking, that could link by their sizes and bitmaps. A task gets whole tiles, by ``beside``, one after the other."""
     def pairs_of(ids: np.ndarray, roots: np.ndarray, ask: np.ndarray, n: np.ndarray, bits: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         words = np.array([len(x) // 8 for x in bits])
         groups = {w: np.flatnonzero(words == w) for w in np.unique(words).tolist()}
@@ -491,7 +500,8 @@ def _survivors(tiles: DataFrame, percent: int) -> DataFrame:
         yield told(pairs)
         give_back_memory()
 
-    order = tiles.select("tile", "set_id", "root", "compare", "n", "bits").repartition("tile").sortWithinPartitions("tile")
+    order = (tiles.select("tile", "set_id", "root", "compare", "n", "bits", "beside").repartition("beside")
+             .sortWithinPartitions("tile").drop("beside"))
     return order.mapInArrow(run, "a long, head long, n long")
 
 
