@@ -35,8 +35,9 @@ from mercato.llm.common import free_names, freeze, read_table, sha256
 
 #: lines of the shortest run that is always found
 WINDOW = 2
-#: words of a line that counts as a run alone, told by its spaces as in ``SQL``
+#: words of a line that counts as a run alone, told by runs of white space
 LONG_WORDS = 8
+WHITE = r"\t-\r \u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 #: letters in a row from which on a line of a script without spaces is long
 LONG_UNSPACED = 24
 UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}\p{IsYi}\p{IsJavanese}]"
@@ -48,26 +49,24 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _long(line: Column, words: int, by_white_space: bool) -> Column:
-    """Whether a trimmed line has so many words: by its spaces alone, or by runs of white space;
-    then also a text of a script without spaces, by its length, is long."""
-    if not by_white_space:
-        return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) >= words - 1
-    split = F.size(F.filter(F.split(line, r"(?U)\s+"), lambda w: w != "")) >= words
+def _long(line: Column, words: int) -> Column:
+    """Whether a trimmed line has so many words, told by runs of white space; a text of a script
+    without spaces is long by its length. One look at a line, that ends with the last word asked for."""
+    many = F.regexp_like(line, F.lit(rf"^[{WHITE}]*+(?:[^{WHITE}]++[{WHITE}]++){{{words - 1}}}[^{WHITE}]"))
     unspaced = F.regexp_like(line, F.lit(rf"(?:{UNSPACED}{SIGNS}){{{LONG_UNSPACED}}}"))
     # no so many words in fewer characters; ASCII has a byte a character
-    return (((F.length(line) >= 2 * words - 1) & split)
+    return (((F.length(line) >= 2 * words - 1) & many)
             | ((F.length(line) >= LONG_UNSPACED) & (F.octet_length(line) > F.length(line)) & unspaced))
 
 
-def line_runs(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS, by_white_space: bool = False) -> DataFrame:
+def line_runs(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, body, line_nos): for each document with
     repeats, the numbers (from 0) of the lines to delete. ``body`` is the hash of its text."""
     lines = F.filter(F.transform(_lines(F.col("text")), lambda x, i: F.struct(i.alias("no"), F.trim(x).alias("line"))),
                      lambda x: x["line"] != "")
     items = F.transform(lines, lambda x: F.struct(
         x["no"].alias("no"), F.xxhash64(x["line"]).alias("h"),
-        _long(x["line"], long_words, by_white_space).alias("long")))
+        _long(x["line"], long_words).alias("long")))
     # repeated rows give equal run starts, which neither add nor remove a position
     base = (docs.where("text is not null")
             .select("doc_id", F.xxhash64("text").alias("body"), items.alias("items"))
@@ -103,35 +102,44 @@ def line_runs(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORD
             .groupBy("doc_id", "body").agg(F.sort_array(F.collect_set("no")).alias("line_nos")))
 
 
+def _flags(nos: Column) -> Column:
+    """Sorted numbers -> an array that is true at each of them, up to the last."""
+    before = F.concat(F.array(F.lit(-1)), F.slice(nos, F.lit(1), F.size(nos) - 1))
+    return F.flatten(F.zip_with(nos, before, lambda n, b: F.concat(
+        F.array_repeat(F.lit(False), n - b - 1), F.array(F.lit(True)))))
+
+
 def dedup_lines(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS,
-                report: bool = False, drop_emptied: bool = False, by_white_space: bool = False) -> DataFrame:
+                report: bool = False, drop_emptied: bool = False) -> DataFrame:
     """``docs`` with the later repeated runs deleted from ``text`` and n_chars set anew
     where there is such a column. ``drop_emptied`` leaves out documents of which only blank
     lines remain: all they said is said earlier. ``report`` adds n_lines, n_removed and n_runs (maximal
-    runs of deleted lines; blank lines between them don't part them). ``by_white_space`` tells a long
-    line's words by runs of white space, as the pipeline does; the query's ``SQL`` by spaces."""
+    runs of deleted lines; blank lines between them don't part them)."""
     k_id, k_body, nos, n_lines, n_removed, n_runs = free_names(
         docs.columns, "_k_id", "_k_body", "_nos", "n_lines", "n_removed", "n_runs")
-    found = line_runs(docs, window, long_words, by_white_space).select(
-        F.col("doc_id").alias(k_id), F.col("body").alias(k_body), F.col("line_nos").alias(nos))
+    gone_at = F.struct(_flags(F.col("line_nos")).alias("flags"), F.size("line_nos").alias("n"))
+    found = line_runs(docs, window, long_words).select(
+        F.col("doc_id").alias(k_id), F.col("body").alias(k_body), gone_at.alias(nos))
     joined = docs.join(found, docs["doc_id"].eqNullSafe(F.col(k_id)) & (F.xxhash64(docs["text"]) == F.col(k_body)), "left")
-    gone = F.col(nos)
-    kept = F.filter(_lines(F.col("text")), lambda x, i: ~F.array_contains(gone, i))
-    text = F.when(gone.isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    untouched = F.col(nos).isNull()
+    # lines with their flags, walked once: nothing is looked up for a line
+    marked = F.zip_with(_lines(F.col("text")), F.col(nos)["flags"], lambda x, f: F.struct(
+        x.alias("line"), F.coalesce(f, F.lit(False)).alias("gone")))
+    kept = F.transform(F.filter(marked, lambda x: ~x["gone"]), lambda x: x["line"])
+    text = F.when(untouched, F.col("text")).otherwise(F.array_join(kept, "\n"))
     out = joined
     if report:
-        full = F.transform(F.filter(F.transform(_lines(F.col("text")), lambda x, i: F.struct(i.alias("no"), F.trim(x).alias("line"))),
-                                    lambda x: x["line"] != ""), lambda x: x["no"])
-        flags = F.transform(full, lambda n: F.array_contains(gone, n))
-        starts = F.size(F.filter(flags, lambda f, i: f & ((i == 0) | ~F.element_at(flags, F.greatest(i, F.lit(1))))))
-        out = (out.withColumn(n_lines, F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(full)).cast("long"))
-               .withColumn(n_removed, F.coalesce(F.size(gone), F.lit(0)).cast("long"))
-               .withColumn(n_runs, F.when(gone.isNull(), F.lit(0)).otherwise(starts).cast("long")))
+        flags = F.transform(F.filter(marked, lambda x: F.trim(x["line"]) != ""), lambda x: x["gone"])
+        starts = F.zip_with(flags, F.concat(F.array(F.lit(False)), flags), lambda f, before: F.coalesce(f, F.lit(False)) & ~before)
+        full = F.size(F.filter(_lines(F.col("text")), lambda x: F.trim(x) != ""))
+        out = (out.withColumn(n_lines, F.when(F.col("text").isNull(), F.lit(0)).otherwise(full).cast("long"))
+               .withColumn(n_removed, F.coalesce(F.col(nos)["n"], F.lit(0)).cast("long"))
+               .withColumn(n_runs, F.when(untouched, F.lit(0)).otherwise(F.size(F.filter(starts, lambda s: s))).cast("long")))
     out = out.withColumn("text", text)
     if drop_emptied:
-        out = out.where(gone.isNull() | (F.trim(F.regexp_replace("text", "\n", "")) != ""))
+        out = out.where(untouched | (F.trim(F.regexp_replace("text", "\n", "")) != ""))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(gone.isNull(), F.col("n_chars")).otherwise(
+        out = out.withColumn("n_chars", F.when(untouched, F.col("n_chars")).otherwise(
             F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.drop(k_id, k_body, nos)
 
@@ -157,7 +165,8 @@ pairs AS (
   FROM items WHERE next_line IS NOT NULL),
 longs AS (
   SELECT doc_id, ix, row_number() OVER (PARTITION BY line ORDER BY doc_id, ix) AS seen
-  FROM items WHERE length(line) - length(replace(line, ' ', '')) >= 7),
+  FROM items WHERE len(list_filter(regexp_split_to_array(line, '[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'), w -> w <> '')) >= 8
+     OR regexp_matches(line, '(?:[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}\p{Yi}\p{Javanese}][0-9\x{3001}-\x{3004}\x{3008}-\x{3020}\x{30FB}\x{30FC}\x{FF01}-\x{FF65}\x{2018}-\x{201D}\x{2026}]{0,8}){24}')),
 gone AS (
   SELECT doc_id, ix FROM pairs WHERE seen > 1
   UNION SELECT doc_id, ix + 1 FROM pairs WHERE seen > 1

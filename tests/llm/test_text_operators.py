@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 
 import corpus_pipeline
 import corpus_helpers as H
@@ -24,6 +25,17 @@ def empty(spark):
 
 # --- line dedup
 
+WHITE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+LETTERS = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}\p{Yi}\p{Javanese}]"
+SIGNS = r"[0-9\u3001-\u3004\u3008-\u3020\u30FB\u30FC\uFF01-\uFF65\u2018-\u201D\u2026]{0,8}"
+
+
+def is_long(line):
+    """Eight words parted by white space, or 24 letters of a script without spaces."""
+    return (sum(w != "" for w in regex.split(WHITE, line)) >= 8
+            or regex.search(f"(?:{LETTERS}{SIGNS}){{24}}", line) is not None)
+
+
 def brute_lines(rows):
     """(doc_id, text) distinct -> text without later repeats; earlier by (doc_id, line)."""
     def items(t):
@@ -35,7 +47,7 @@ def brute_lines(rows):
         for a in range(len(it)):
             if a + 1 < len(it):
                 starts.append(((it[a][1], it[a + 1][1]), (i, t, a), [it[a][0], it[a + 1][0]]))
-            if it[a][1].count(" ") >= 7:
+            if is_long(it[a][1]):
                 starts.append(((it[a][1],), (i, t, a), [it[a][0]]))
     for key, (i, t, a), _ in starts:
         order = (-1 if i is None else i, a)
@@ -71,7 +83,18 @@ def test_line_dedup_edges(spark):
     assert {0, 1, 2, 3} <= set(ids) and 7 not in ids      # blank ones stay, a copy goes
 
 
-def test_pipeline_lines_are_told_by_white_space(spark):
+def test_line_dedup_of_many_lines(spark):
+    """Lines are walked once: 40,000 removed lines, with others and blank ones between them."""
+    long = "\n".join(["same line"] * 20_000 + [x for k in range(10_000) for x in (f"line {k}", "")] + ["same line"] * 20_000)
+    docs = spark.createDataFrame([(1, long), (2, "a\nb\nc\n\na\nb\nd\na\nb"), (3, None), (4, "")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in rows_of(line_dedup.dedup_lines(docs, report=True))}
+    assert got[1]["n_removed"] == 39_999 and got[1]["n_runs"] == 2 and got[1]["n_lines"] == 50_000
+    assert got[1]["text"] == "\n".join(["same line"] + [x for k in range(10_000) for x in (f"line {k}", "")])
+    assert (got[2]["text"], got[2]["n_removed"], got[2]["n_runs"]) == ("a\nb\nc\n\nd", 4, 2)
+    assert (got[3]["text"], got[3]["n_lines"], got[4]["text"], got[4]["n_lines"]) == (None, 0, "", 0)
+
+
+def test_lines_are_told_by_white_space(spark):
     tabs, thai, han = "a\tb\tc\td\te\tf\tg\th", "สวัสดีชาวโลกทุกคนในวันนี้ที่นี่", "我们在这个城市里住了很多年，每天早上都去河边散步，看看水。"
     wide, few, gap = "a\u00a0b\u2003c d e f g h", "Total        12", "a \t b  c d e f g"
     rows = []
