@@ -328,7 +328,8 @@ def replace_pii(docs: DataFrame, key: str = KEY, report: bool = False) -> DataFr
                      F.array_sort(F.array_distinct(F.flatten(F.collect_list("mentions")))).alias(parts_of)))
     parts = F.split(text, PATTERN, -1)
     parts = F.when(F.size(parts_of) == 0, parts).otherwise(F.transform(parts, lambda p: _mentions_replaced(p, F.col(parts_of))))
-    new = F.concat(F.array_join(F.transform(F.col(found), lambda e, i: F.concat(parts[i], e["new"])), ""), F.element_at(parts, -1))
+    # both arrays are walked once; behind the last part there is no entity
+    new = F.array_join(F.zip_with(parts, F.col(found), lambda p, e: F.concat(p, F.coalesce(e["new"], F.lit("")))), "")
     put = (holders.join(gathered, holders["doc_id"].eqNullSafe(F.col(k_id)) & (F.xxhash64(holders["text"]) == F.col(k_body)))
            .withColumn("text", new))
     if report:

@@ -28,3 +28,15 @@ def test_long_runs_end(spark, text):
     """10**5 parts of whatever a pattern repeats: no stack runs over."""
     n = spark.createDataFrame([(text,)], "text string").select(F.size(F.regexp_extract_all("text", F.lit(pii.PATTERN), 0)).alias("n")).first()["n"]
     assert n >= 0
+
+
+def test_text_of_many_entities(spark):
+    """Parts and surrogates are walked once: 3,000 phone numbers in one text."""
+    text = "; ".join(f"call 555-{200 + k // 10000:03d}-{k:04d} now" for k in range(3_000))
+    docs = spark.createDataFrame([(1, text), (2, "no entity"), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.replace_pii(docs, report=True).collect()}
+    assert got[1]["n_entities"] == 3_000 and got[1]["kinds"] == "phone"
+    parts = got[1]["text"].split("; ")
+    assert len(parts) == 3_000 == len(set(parts)) and all(p.startswith("call ") and p.endswith(" now") for p in parts)
+    assert not set(parts) & set(text.split("; "))
+    assert (got[2]["text"], got[3]["text"]) == ("no entity", None)
