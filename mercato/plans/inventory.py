@@ -13,7 +13,7 @@ from __future__ import annotations
 from decimal import Decimal
 from statistics import NormalDist
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mercato.functions.rounding import pd_round, ratio
@@ -41,6 +41,11 @@ def _cat(df: DataFrame, star: Star) -> DataFrame:
     return df.join(star.product.select("product_id", "cat_id"), "product_id")
 
 
+def _money(amount: Column | str) -> Column:
+    """A sum of amounts in cents, the same in any order of the rows: DECIMAL is summed, cast last."""
+    return F.sum((F.col(amount) if isinstance(amount, str) else amount).cast("decimal(28,2)")).cast("double")
+
+
 # ----------------------------------------------------------------- ABC
 
 def series_revenue(star: Star) -> DataFrame:
@@ -73,7 +78,7 @@ def abc_classification(star: Star, a: float = ABC_A, b: float = ABC_B) -> DataFr
 
 def abc_summary(abc: DataFrame) -> DataFrame:
     g = abc.groupBy("abc_class").agg(F.count(F.lit(1)).alias("num_skus"),
-                                     F.sum("total_revenue").alias("total_revenue"))
+                                     _money("total_revenue").alias("total_revenue"))
     allw = Window.partitionBy()  # at most three classes
     return g.select(
         "abc_class", "num_skus", F.round("total_revenue", 2).alias("total_revenue"),
@@ -177,7 +182,7 @@ def _impact_columns():
 def _impact_by_category(risk: DataFrame) -> DataFrame:
     holding, lost_profit = _impact_columns()
     return risk.groupBy("cat_id").agg(
-        F.sum(holding).alias("hc"), F.sum(lost_profit).alias("lp"),
+        _money(holding).alias("hc"), _money(lost_profit).alias("lp"),
         F.count_if(F.col("risk_level") == "HIGH").alias("high_risk"))
 
 
@@ -240,7 +245,7 @@ def inv_executive_summary(star: Star) -> DataFrame:
     r = risk.agg(F.struct(
         F.count_if(F.col("risk_level") == "HIGH").alias("high"),
         F.count_if(F.col("recommended_order_qty") > 0).alias("reorder"),
-        F.sum(hc + lp).alias("impact")).alias("r")).scalar()
+        _money(hc + lp).alias("impact")).alias("r")).scalar()
     return abc.select("class_a_skus", "class_b_skus", "class_c_skus",
                       r.getField("high").alias("high_risk_skus"),
                       r.getField("reorder").alias("reorder_now_skus"),
@@ -277,7 +282,7 @@ def kpi22_reorder_alerts(star: Star) -> DataFrame:
 def kpi23_abc_summary(star: Star) -> DataFrame:
     abc = abc_classification(star)
     g = abc.groupBy("abc_class").agg(
-        F.count(F.lit(1)).alias("num_skus"), F.sum("total_revenue").alias("rev"),
+        F.count(F.lit(1)).alias("num_skus"), _money("total_revenue").alias("rev"),
         F.avg("revenue_pct").alias("avg_pct"))
     return g.select(
         "abc_class", "num_skus",

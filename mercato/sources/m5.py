@@ -50,6 +50,10 @@ INPUT_FILES = {
 }
 
 
+#: column of the lines that don't fit
+BROKEN = "_broken_line"
+
+
 def missing_inputs(spark: SparkSession, raw_dir: str) -> list[str]:
     """All required inputs that do not exist (checked through the Hadoop
     file system, so shared storage works too)."""
@@ -69,31 +73,82 @@ def validate_inputs(spark: SparkSession, raw_dir: str) -> None:
         raise FileNotFoundError(f"missing input files in {raw_dir}: {', '.join(missing)}")
 
 
+def header_columns(spark: SparkSession, path: str) -> list[str]:
+    """Column names of the header line (one small read of the first line)."""
+    lines = spark.read.text(path).limit(1).collect()
+    return [c.strip().strip('"') for c in lines[0][0].split(",")] if lines else []
+
+
+def _check_header(path: str, columns: list[str], wanted: list[str]) -> None:
+    missing = [c for c in wanted if c not in columns]
+    twice = sorted({c for c in columns if columns.count(c) > 1})
+    if missing or twice:
+        raise ValueError(f"header of {path}: missing {missing}, repeated {twice}")
+
+
 def wide_schema(spark: SparkSession, path: str) -> T.StructType:
-    """Schema from the header line only (one small read of the first line)."""
-    header = spark.read.text(path).limit(1).collect()[0][0]
-    cols = [c.strip() for c in header.split(",")]
+    """Schema from the header line only."""
+    cols = header_columns(spark, path)
+    _check_header(path, cols, WIDE_ID_COLS)
     return T.StructType([T.StructField(c, T.StringType() if c in WIDE_ID_COLS else T.IntegerType())
                          for c in cols])
 
 
-def read_wide(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(wide_schema(spark, path)).csv(path, header=True)
+def header_schema(spark: SparkSession, path: str, schema: T.StructType) -> T.StructType:
+    """``schema``'s columns in the order of the file's header; columns it doesn't know are strings."""
+    cols = header_columns(spark, path)
+    _check_header(path, cols, schema.names)
+    return T.StructType([schema[c] if c in schema.names else T.StructField(c, T.StringType()) for c in cols])
+
+
+def _read(spark: SparkSession, path: str, schema: T.StructType, names: list[str], broken: bool | None) -> DataFrame:
+    """Columns ``names`` of a file: of all rows, a cell that doesn't fit being NULL (``broken`` None), of the
+    rows whose cells all fit (False), or the lines of the others as they stand in the file (True)."""
+    reader = spark.read.option("header", True).option("enforceSchema", False).option("dateFormat", "yyyy-MM-dd")
+    if broken is None:
+        return reader.schema(schema).csv(path).select(*names)
+    rows = (reader.option("columnPruning", False).option("columnNameOfCorruptRecord", BROKEN)
+            .schema(T.StructType([*schema.fields, T.StructField(BROKEN, T.StringType())])).csv(path))
+    # always true; Spark parses only the cells that are asked for, and a line is broken by any cell
+    parsed = F.length(F.concat_ws("", *[F.col(c).cast("string") for c in schema.names])) >= 0
+    if broken:
+        return rows.where(F.col(BROKEN).isNotNull() & parsed).select(BROKEN)
+    return rows.where(F.col(BROKEN).isNull() & parsed).select(*names)
+
+
+def read_wide(spark: SparkSession, path: str, broken: bool | None = None) -> DataFrame:
+    schema = wide_schema(spark, path)
+    return _read(spark, path, schema, schema.names, broken)
+
+
+def read_calendar(spark: SparkSession, path: str, broken: bool | None = None) -> DataFrame:
+    return _read(spark, path, header_schema(spark, path, CALENDAR_SCHEMA), CALENDAR_SCHEMA.names, broken)
+
+
+def read_prices(spark: SparkSession, path: str, broken: bool | None = None) -> DataFrame:
+    return _read(spark, path, header_schema(spark, path, PRICES_SCHEMA), PRICES_SCHEMA.names, broken)
 
 
-def read_calendar(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CALENDAR_SCHEMA).csv(path, header=True, dateFormat="yyyy-MM-dd")
+READERS = {"sales": read_wide, "calendar": read_calendar, "prices": read_prices}
 
 
-def read_prices(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PRICES_SCHEMA).csv(path, header=True)
+def quarantine_broken(spark: SparkSession, raw_dir: str, out_dir: str) -> dict[str, int]:
+    """Write the lines that have a cell of another type, or too few or too many cells, to a folder for
+    each input, as text; return how many there are of each. ``load_raw(..., whole_rows=True)`` leaves them out."""
+    counts = {}
+    for name, file in INPUT_FILES.items():
+        path = os.path.join(out_dir, name)
+        READERS[name](spark, os.path.join(raw_dir, file), broken=True).write.mode("overwrite").text(path)
+        counts[name] = spark.read.text(path).count()
+    return counts
 
 
-def load_raw(spark: SparkSession, raw_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def load_raw(spark: SparkSession, raw_dir: str, whole_rows: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sales, calendar and prices, read by the names of their headers. A cell that doesn't fit its column is
+    NULL, or with ``whole_rows`` its row is left out (see ``quarantine_broken``)."""
     validate_inputs(spark, raw_dir)
-    return (read_wide(spark, os.path.join(raw_dir, INPUT_FILES["sales"])),
-            read_calendar(spark, os.path.join(raw_dir, INPUT_FILES["calendar"])),
-            read_prices(spark, os.path.join(raw_dir, INPUT_FILES["prices"])))
+    broken = False if whole_rows else None
+    return tuple(READERS[name](spark, os.path.join(raw_dir, file), broken) for name, file in INPUT_FILES.items())
 
 
 def star_from_m5(wide: DataFrame, calendar: DataFrame, prices: DataFrame) -> Star:
