@@ -165,7 +165,7 @@ pairs AS (
   FROM items WHERE next_line IS NOT NULL),
 longs AS (
   SELECT doc_id, ix, row_number() OVER (PARTITION BY line ORDER BY doc_id, ix) AS seen
-  FROM items WHERE len(list_filter(regexp_split_to_array(line, '[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'), w -> w <> '')) >= 8
+  FROM items WHERE regexp_matches(line, '^[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]*(?:[^\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+){7}[^\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]')
      OR regexp_matches(line, '(?:[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}\p{Yi}\p{Javanese}][0-9\x{3001}-\x{3004}\x{3008}-\x{3020}\x{30FB}\x{30FC}\x{FF01}-\x{FF65}\x{2018}-\x{201D}\x{2026}]{0,8}){24}')),
 gone AS (
   SELECT doc_id, ix FROM pairs WHERE seen > 1
