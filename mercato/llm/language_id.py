@@ -144,6 +144,50 @@ def train(texts: list[str], langs: list[str]) -> Model:
     return Model(names, families, pairs, weights.astype(np.float32), np.array([b for _, b in machines]))
 
 
+def from_counts(counts: dict[str, np.ndarray]) -> Model:
+    """A model from how often each trigram (of ``BUCKETS``) is in all texts of each language: a machine weighs a trigram
+    by the logarithm of how much likelier it is in its family than in the others, or in one language than in another."""
+    names = sorted(counts)
+    families = sorted({_FAMILY_OF.get(n, n) for n in names})
+    family = np.array([families.index(_FAMILY_OF.get(n, n)) for n in names], np.int64)
+    often = np.array([0.99 * counts[n] / counts[n].sum() + 0.01 / BUCKETS for n in names]).reshape(len(names), BUCKETS)
+    pairs = [(i, j) for i, j in combinations(range(len(names)), 2) if family[i] == family[j]]
+    weights = [np.log(often[family == f].mean(axis=0) / often[family != f].mean(axis=0)) if len(families) > 1 else np.zeros(BUCKETS)
+               for f in range(len(families))]
+    weights += [np.log(often[i] / often[j]) for i, j in pairs]
+    weights = np.stack(weights, axis=1) if weights else np.zeros((BUCKETS, 0))
+    return Model(names, families, pairs, weights.astype(np.float32), np.zeros(weights.shape[1]))
+
+
+def count(docs: DataFrame) -> Model:
+    """docs(text, lang): ``from_counts`` of all rows whose lang isn't null; each text weighs the same (a milliard,
+    in whole numbers, that their sum has no order)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, np.ndarray] = {}
+        for batch in batches:
+            langs = column(batch, "lang").to_pylist()
+            for texts in chunks(column(batch, "text")):
+                bucket, at = trigrams(texts)
+                own = np.array(langs[texts.first:texts.first + len(at) - 1], object)
+                many = np.diff(at)
+                weight = np.repeat(10 ** 9 // np.maximum(1, many), many)
+                for lang in set(own.tolist()):
+                    of = np.repeat(own == lang, many)
+                    seen[lang] = seen.get(lang, 0) + np.bincount(bucket[of], weight[of], BUCKETS).astype(np.int64)
+        for lang, counts in seen.items():
+            some = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)),
+                                              pa.array(counts[some])], names=["lang", "bucket", "n"])
+
+    prepare_workers(docs.sparkSession)
+    known = docs.where("lang is not null and text is not null").select("text", "lang")
+    out: dict[str, np.ndarray] = {}
+    for r in (known.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket")
+              .agg(F.sum("n").alias("n")).collect()):           # at most BUCKETS a language
+        out.setdefault(r["lang"], np.zeros(BUCKETS))[r["bucket"]] = r["n"]
+    return from_counts(out)
+
+
 def predict(texts: Texts, model: Model) -> tuple[list[str], np.ndarray]:
     """lang and score of each row."""
     rows = len(texts.at) - 1
