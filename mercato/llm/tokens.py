@@ -1,25 +1,18 @@
 """Token ids of a public byte-level BPE vocabulary.
 
-The pattern that splits text before the merges never lets a piece cross a single
-space between two non-space characters. A text without two white-space characters
-in a row is therefore cut before each of its spaces, and the ids of a cut piece come
-from a table of pieces seen before: most words repeat. Other texts are encoded whole.
-The ids are those of ``tokenizers`` for the vocabulary; tests hold them against it.
+Texts are encoded whole. The ids are those of ``tokenizers`` for the vocabulary; tests hold
+them against it.
 """
 
 from __future__ import annotations
 
 import base64
 import os
-import re
 from collections.abc import Callable
 
 import numpy as np
 
 VOCABULARY = "byte_bpe_50k"
-#: pieces kept by a worker, some 200 bytes each; then the table starts anew
-KEPT = 300_000
-_ODD = re.compile(r"\s\s|^\s|\s\Z|<\|endoftext\|>")
 _SPECIAL = "<|endoftext|>"
 _made: dict[str, Callable[[str], np.ndarray]] = {}
 
@@ -30,21 +23,6 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return os.path.splitext(public_tokenizers.path(name + ".json"))[0]
 
 
-class _Pieces(dict):
-    """piece -> its ids as little-endian unsigned 32-bit numbers."""
-
-    def __init__(self, encode: Callable[[str], list[int]]):
-        self.encode = encode
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.encode(piece), "<u4").tobytes()
-        if len(piece) < 64:
-            if len(self) >= KEPT:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-
 def encoder(vocabulary: str) -> Callable[[str], np.ndarray]:
     """text -> ids. Kept for a worker's life."""
     if vocabulary in _made:
@@ -55,13 +33,9 @@ def encoder(vocabulary: str) -> Callable[[str], np.ndarray]:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
     bpe = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
                             special_tokens={_SPECIAL: len(ranks)})
-    pieces = _Pieces(bpe.encode_ordinary)
 
     def encode(text: str) -> np.ndarray:
-        if not text or _ODD.search(text):
-            return np.array(bpe.encode(text, allowed_special="all"), "<u4")
-        first, *rest = text.split(" ")
-        return np.frombuffer(b"".join([pieces[first], *[pieces[" " + piece] for piece in rest]]), "<u4")
+        return bpe.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
 
     _made[vocabulary] = encode
     return encode

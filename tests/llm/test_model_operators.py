@@ -11,7 +11,7 @@ import pytest
 
 import corpus_pipeline
 import corpus_helpers as H
-from mercato.llm import language_id, packing, pii, toxicity, url_filter
+from mercato.llm import language_id, packing, pii, tokens, toxicity, url_filter
 from mercato.llm.common import held_out
 from mercato.llm.tokens import encoder, vocabulary_path
 from pyspark.sql import functions as F
@@ -261,6 +261,24 @@ def test_tokens_are_those_of_the_tokenizer():
         assert encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_texts_are_encoded_whole(monkeypatch):
+    """One call a text, however many different words it has."""
+    import tiktoken
+    calls = []
+
+    def counted(name):
+        return lambda self, *args, **kw: (calls.append(name), getattr(tiktoken.Encoding, name)(self, *args, **kw))[1]
+    names = ("encode", "encode_ordinary", "encode_to_numpy")
+    kind = type("Counted", (tiktoken.Encoding,), {name: counted(name) for name in names})
+    text = " ".join(f"word{k}" for k in range(500))
+    want = encoder(vocabulary_path())(text).tolist()
+    with monkeypatch.context() as m:
+        m.setattr(tokens, "_made", {})
+        m.setattr(tiktoken, "Encoding", kind)
+        encode = tokens.encoder(vocabulary_path())
+    assert encode(text).tolist() == want and len(calls) == 1
+
+
 # --- url filters
 
 def brute_rule(url, rules):
