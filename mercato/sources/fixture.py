@@ -126,11 +126,11 @@ def star_from_testdata(spark: SparkSession, sf_dir: str) -> Star:
         F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "store_id")
 
     # One pass over lineitem: per (day, product, store) units and cents.
-    # part / supplier are joined on their keys; AQE turns either join into
-    # a broadcast only when the runtime size is under the threshold.
+    # part / supplier are joined on their keys, hashed by partition: lineitem isn't
+    # sorted (and spilled) for them once they are too large to be broadcast.
     daily = (
-        li.join(part, F.col("l_partkey") == F.col("p_partkey"))
-        .join(supp_store, F.col("l_suppkey") == F.col("s_suppkey"))
+        li.join(part.hint("shuffle_hash"), F.col("l_partkey") == F.col("p_partkey"))
+        .join(supp_store.hint("shuffle_hash"), F.col("l_suppkey") == F.col("s_suppkey"))
         .groupBy(F.to_date("l_shipdate").alias("date"), "product_id", "store_id")
         .agg(F.sum("l_quantity").cast("bigint").alias("qty"),
              F.sum(F.round(F.col("l_extendedprice") * 100)).cast("bigint").alias("cents"))

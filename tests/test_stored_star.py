@@ -32,3 +32,24 @@ def test_same_rows(stars, name):
     raw, stored = (star_queries()[name](s) for s in stars)
     assert raw.columns == stored.columns
     assert sorted(map(repr, raw.collect())) == sorted(map(repr, stored.collect()))
+
+
+def test_star_sorts_no_lineitem(spark, tmp_path):
+    """Parts and suppliers too many to be broadcast are hashed: lineitem isn't sorted for them."""
+    tables = {"lineitem": ([(1, 7, 2.0, 10.0, "2020-01-01"), (2, 8, 3.0, 9.5, "2020-01-02"), (1, 7, 1.0, 5.0, "2020-01-01"), (None, 7, 1.0, 5.0, "2020-01-01")],
+                           "l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_shipdate string"),
+              "part": ([(1, "Brand#11", "TIN"), (2, "Brand#12", "TIN"), (2, "Brand#12", "TIN")], "p_partkey long, p_brand string, p_type string"),
+              "supplier": ([(7, 0), (8, 1)], "s_suppkey long, s_nationkey long"),
+              "nation": ([(0, "PERU", 1), (1, "CHINA", 2)], "n_nationkey long, n_name string, n_regionkey long")}
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sales = star_from_testdata(spark, str(tmp_path)).sales
+        got = sorted((str(r["date"]), r["product_id"], r["store_id"], r["units_sold"]) for r in sales.collect())
+        plan = sales._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert got == [("2020-01-01", "Brand#11_TIN", "PERU", 3), ("2020-01-02", "Brand#12_TIN", "CHINA", 6)]
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
