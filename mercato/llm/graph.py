@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mercato.llm.common import freeze
+from mercato.llm.common import drop_unused, freeze
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -14,7 +14,8 @@ def components(edges: DataFrame) -> DataFrame:
     Large star and small star in turn: each node hands its larger neighbours, then its
     smaller ones, to the smallest it knows, until the edges are stars around their least
     node. A round is two aggregates and two joins; rounds grow with the logarithm of the
-    size. Minima are combined before the shuffle, so a hub costs its edges, not their square."""
+    size. Minima are combined before the shuffle, so a hub costs its edges, not their square.
+    Files of a round go with the next."""
     star = freeze(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
     while True:
@@ -28,6 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
                                            F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
                  .select("e.a", "e.b").where("a != b").distinct())
         star = freeze(small)
+        drop_unused(star.sparkSession)
         now = star.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 40))).first()
         if now == mark:
             break

@@ -47,7 +47,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mercato.llm.common import free_names, freeze, give_back_memory, prepare_workers, read_table
+from mercato.llm.common import drop_unused, free_names, freeze, give_back_memory, prepare_workers, read_table
 from mercato.llm.graph import components
 from mercato.llm.textbytes import NON_SPACE, Texts, chunks, column, mix, word_hashes
 
@@ -358,6 +358,7 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, tile: int
     per = Window.partitionBy("sign")
     rows = sent.withColumn("least", F.min(F.struct("a", "n")).over(per)).withColumn("most", F.max("a").over(per))
     buckets = freeze(rows.where("least.a < most").select("sign", "a", "n", F.col("least.a").alias("head"), F.col("least.n").alias("head_n")))
+    drop_unused(docs.sparkSession)       # the signatures dealt out are as large as the texts
     near = full.select(F.col("set_id").alias("a"), F.explode("near").alias("b"))
 
     alike = 100 * F.least("n", "head_n") >= percent * F.greatest("n", "head_n")
@@ -365,16 +366,22 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, tile: int
     asked = (buckets.select("a").unionByName(near.select("a")).unionByName(near.select(F.col("b").alias("a"))).distinct()
              .join(classes, F.col("a") == F.col("set_id")).select("doc_id", "set_id"))
     keys = freeze(_keys(plain, freeze(asked), size))
+    drop_unused(docs.sparkSession)
 
     edges = freeze(near.unionByName(_verified(stars.select("a", "head", "n"), keys, percent, tile)))
     found = freeze(components(edges))
+    drop_unused(docs.sparkSession)
 
     opened = _opened(full, buckets, classes, found)
     if not opened.isEmpty():
         tiles = _outside_tiles(opened, percent, tile).join(keys.select("set_id", "n", "bits"), "set_id")
         pairs = freeze(_survivors(tiles, percent).distinct())
+        del tiles
+        drop_unused(docs.sparkSession)
         edges = freeze(edges.unionByName(_verified(pairs, keys, percent, tile)))
         found = freeze(components(edges))
+    del keys, opened
+    drop_unused(docs.sparkSession)
     named = (found.join(classes.select(F.col("set_id").alias("node"), "doc_id"), "node")
              .groupBy("root").agg(F.min("doc_id").alias("component_id")))
     of_class = (classes.join(found, classes["set_id"] == found["node"], "left").join(named, "root", "left")
@@ -508,12 +515,13 @@ def _survivors(tiles: DataFrame, percent: int) -> DataFrame:
 def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``docs`` with the document of the smallest id of each component; rows of equal doc_id
     and text are one document."""
-    k_id, k_body, body = free_names(docs.columns, "_k_id", "_k_body", "_body")
+    # texts are dealt out once: by the columns that rows of one document agree in
+    own_id, no_id, body = key = free_names(docs.columns, "_id", "_no_id", "_body")
+    of = F.col("doc_id").cast("long")
     kept = (join(docs, size, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(F.col("doc_id").alias(k_id), F.col("body").alias(k_body)).distinct())
-    keyed = docs.withColumn(body, F.xxhash64("text"))
-    return (keyed.join(kept, keyed["doc_id"].eqNullSafe(F.col(k_id)) & (F.col(body) == F.col(k_body)))
-            .dropDuplicates(["doc_id", body]).drop(k_id, k_body, body))
+            .select(F.coalesce(of, F.lit(0)).alias(own_id), of.isNull().alias(no_id), F.col("body").alias(body)))
+    keyed = docs.withColumns({own_id: F.coalesce(of, F.lit(0)), no_id: of.isNull(), body: F.xxhash64("text")})
+    return keyed.join(kept, key, "left_semi").dropDuplicates([*key, "doc_id"]).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

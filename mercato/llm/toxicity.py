@@ -355,6 +355,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = BLOCK_ROWS, chars: int =
                              for k, w in enumerate(WIDTHS) for j in range(w)], axis=1)
     model = Model(shares, state.floor, state.weight, float(state.bias[0]), {}, language_id.count(found))
     model = model._replace(cut=_cuts(_logit_counts(found.where(spare) if apart else found, model)))
+    # the labelled texts are learned: an empty table takes their place, as the cleaner leaves written files
+    spark.createDataFrame([], found.schema).write.mode("overwrite").parquet(path)
     give_back_memory()
     return model
 
